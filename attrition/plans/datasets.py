@@ -25,29 +25,35 @@ from attrition.operators.active import active_intervals
 from attrition.operators.ended import net_lost
 
 
-def lost_by(net: DataFrame, name: str, code: Column) -> DataFrame:
-    """``count(distinct client_id)`` and ``sum(amount)`` per (month, code)."""
-    return (
-        net.groupBy("month", code.alias(name))
-        .agg(
-            F.count_distinct("client_id").alias("lost_clients"),
-            F.sum("amount").cast("double").alias("lost_amount"),
-        )
-        .orderBy("month", name)
+def lost_by(net: DataFrame, name: str, code: Column, exact: bool = False) -> DataFrame:
+    """``count(distinct client_id)`` and ``sum(amount)`` per (month, code).
+
+    ``exact`` keeps the DECIMAL sum (for further re-aggregation); otherwise
+    the amount is returned as DOUBLE.
+    """
+    total = F.sum("amount")
+    out = net.groupBy("month", code.alias(name)).agg(
+        F.count_distinct("client_id").alias("lost_clients"),
+        (total if exact else total.cast("double")).alias("lost_amount"),
     )
+    return out.orderBy("month", name)
 
 
-def lost_by_module_month(contracts: DataFrame, clients: DataFrame, window: Window) -> DataFrame:
+def lost_by_module_month(
+    contracts: DataFrame, clients: DataFrame, window: Window, exact: bool = False
+) -> DataFrame:
     net = net_lost(contracts, clients, window)
-    return lost_by(net, "module", F.lower(rules.module_of("product")))
+    return lost_by(net, "module", F.lower(rules.module_of("product")), exact)
 
 
-def lost_by_plan_month(contracts: DataFrame, clients: DataFrame, window: Window) -> DataFrame:
+def lost_by_plan_month(
+    contracts: DataFrame, clients: DataFrame, window: Window, exact: bool = False
+) -> DataFrame:
     # The add-on exclusion depends on the product only, so it commutes with
     # the latest-line rule and the renewal test (both keyed by product):
     # filtering before them is the same as after, and cheaper.
     net = net_lost(contracts, clients, window, base_plan_only=True)
-    return lost_by(net, "plan", F.lower(rules.plan_of("product")))
+    return lost_by(net, "plan", F.lower(rules.plan_of("product")), exact)
 
 
 def lost_detail(
