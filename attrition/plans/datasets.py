@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from attrition.functions import rules
 from attrition.functions.dates import Window
-from attrition.operators.active import active_intervals
+from attrition.operators.active import active_counts
 from attrition.operators.ended import net_lost
 
 
@@ -91,9 +91,7 @@ def active_by_plan_month(contracts: DataFrame, window: Window) -> DataFrame:
     base = contracts.filter(rules.is_base_plan_line("product")).select(
         "client_id", "start_date", "end_date", F.lower(rules.plan_of("product")).alias("plan")
     )
-    return (
-        active_intervals(base, window, keep=["client_id", "plan"])
-        .groupBy("month", "plan")
-        .agg(F.count_distinct("client_id").alias("active_clients"))
-        .orderBy("month", "plan")
-    )
+    counts = active_counts(base, window, group="plan", entity="client_id")
+    return counts.select(
+        "month", "plan", F.col("active").cast("long").alias("active_clients")
+    ).orderBy("month", "plan")

@@ -234,11 +234,25 @@ def latest_complete_month(rate: DataFrame, as_of: date) -> DataFrame:
     )
 
 
+def at_latest_complete_month(rate: DataFrame, as_of: date) -> DataFrame:
+    """Rows of ``rate`` at its last complete month (fallback: last month present).
+
+    The month is picked by a window over the rate frame itself (≤ 16 × 7
+    rows), so the frame is computed once instead of joined with its own
+    aggregate.
+    """
+    m0 = F.lit(first_of_month(as_of))
+    everything = W.partitionBy()
+    latest = F.coalesce(
+        F.max(F.when(F.col("month") < m0, F.col("month"))).over(everything),
+        F.max("month").over(everything),
+    )
+    return rate.withColumn("_latest", latest).filter(F.col("month") == F.col("_latest")).drop("_latest")
+
+
 def base_vs_lost_latest(rate: DataFrame, as_of: date) -> DataFrame:
     """Per plan at the last complete month: base and lost clients, with labels."""
-    latest = latest_complete_month(rate, as_of)
-    at = rate.join(F.broadcast(latest), "month", "left_semi")  # one-row side
-    return at.select(
+    return at_latest_complete_month(rate, as_of).select(
         "month",
         "plan",
         label_of("plan", rules.PLAN_LABELS).alias("label"),
@@ -249,11 +263,9 @@ def base_vs_lost_latest(rate: DataFrame, as_of: date) -> DataFrame:
 
 def plan_strip(spark: SparkSession, rate: DataFrame, as_of: date) -> DataFrame:
     """One cell per known plan, in label order: ``12.3%`` or a dash when missing or base 0."""
-    latest = latest_complete_month(rate, as_of)
-    at = rate.join(F.broadcast(latest), "month", "left_semi").select(
-        "plan", "active_clients", "loss_pct"
-    )
-    cells = label_dimension(spark, rules.PLAN_LABELS, "plan").join(at, "plan", "left")
+    at = at_latest_complete_month(rate, as_of).select("plan", "active_clients", "loss_pct")
+    # Both sides are bounded (7 labels; ≤ 7 plans in one month).
+    cells = label_dimension(spark, rules.PLAN_LABELS, "plan").join(F.broadcast(at), "plan", "left")
     text = F.when(
         F.col("active_clients").isNull() | (F.col("active_clients") == 0), F.lit(formats.DASH)
     ).otherwise(F.coalesce(formats.percent_1("loss_pct"), F.lit(formats.DASH)))
