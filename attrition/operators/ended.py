@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from attrition.functions import dates, rules
 from attrition.functions.dates import Window
+from attrition.operators.joins import broadcast_if_small
 from attrition.operators.latest import latest_per_key
 
 KEY = ["client_id", "product", "month"]
@@ -65,7 +66,10 @@ def open_cancelled(
     """Open lines of clients cancelled in the window (inner join, before de-duplication).
 
     The line takes the client's cancellation date as its end.  Duplicate
-    client rows fan out here; ``latest_per_key`` collapses them.
+    client rows fan out here; ``latest_per_key`` collapses them.  The
+    cancelled clients (a filtered slice of the dimension) are broadcast when
+    their counted size allows, so the open lines are never shuffled for this
+    join; otherwise it is a shuffle join.
     """
     cancelled = clients.filter(
         F.col("cancel_date").isNotNull() & window.contains("cancel_date")
@@ -73,7 +77,7 @@ def open_cancelled(
     lines = contracts.filter(F.col("end_date").isNull() & _keep(base_plan_only)).select(
         "client_id", "product", "start_date", "amount"
     )
-    return lines.join(cancelled, "client_id", "inner").select(
+    return lines.join(broadcast_if_small(cancelled), "client_id", "inner").select(
         "client_id", "product", "start_date", "ended_on", "amount"
     )
 

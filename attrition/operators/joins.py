@@ -1,0 +1,29 @@
+"""Join helpers: a broadcast that is only taken behind a size check.
+
+``broadcast()`` ships the whole side to every executor, so it is only safe
+for a side whose size is known.  ``broadcast_if_small`` counts the side first
+(one cheap job over an already filtered dimension) and broadcasts it only
+under the limit; beyond it the plain DataFrame is returned and the join falls
+back to a shuffle join (sort-merge, with AQE free to split skewed partitions).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS_CONF = "spark.attrition.broadcast.maxRows"
+DEFAULT_MAX_ROWS = 2_000_000
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    value = df.sparkSession.conf.get(MAX_ROWS_CONF, None)
+    return int(value) if value else DEFAULT_MAX_ROWS
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``."""
+    limit = broadcast_limit(df) if max_rows is None else max_rows
+    # A plain count is a partial aggregate per task; limit(n).count() would
+    # instead gather up to n rows from every partition into one task.
+    return F.broadcast(df) if df.count() <= limit else df

@@ -23,6 +23,7 @@ from attrition.functions import rules
 from attrition.functions.dates import Window
 from attrition.operators.active import active_counts
 from attrition.operators.ended import net_lost
+from attrition.operators.joins import broadcast_if_small
 
 
 def lost_by(net: DataFrame, name: str, code: Column, exact: bool = False) -> DataFrame:
@@ -64,9 +65,14 @@ def lost_detail(
     Left join on ``client_id``: a client listed twice in ``clients`` shows
     its lines twice, as the source does.  Sorted by month, then amount, both
     descending with NULLs last (set ``sort=False`` to skip the global sort).
+    The name lookup is broadcast only when the dimension's counted size allows.
     """
-    net = net_lost(contracts, clients, window)
-    names = clients.select("client_id", "client_name")
+    return with_names(net_lost(contracts, clients, window), clients, sort)
+
+
+def with_names(net: DataFrame, clients: DataFrame, sort: bool = True) -> DataFrame:
+    """Label net lost lines (module, plan, client name) for the detail dataset."""
+    names = broadcast_if_small(clients.select("client_id", "client_name"))
     out = net.join(names, "client_id", "left").select(
         "month",
         rules.module_display_of("product").alias("module"),

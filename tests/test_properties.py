@@ -116,3 +116,27 @@ def test_measured_counts_sf001(spark):
     tot = {r.month: (r.lost_clients, r.lost_amount) for r in catalog.QUERIES["monthly_totals"](spark, MID).collect()}
     assert tot[date(2001, 6, 1)] == (389, 30816625.55)
     assert tot[date(2001, 5, 1)] == (412, 40084292.79)
+
+
+def test_page_frames_equal_registered_queries(spark, small):
+    from attrition.plans.page import LossPage
+
+    c, k = small
+    page = LossPage(c, k, date(2001, 6, 15))
+    frames = page.frames()
+    for key, df in frames.items():
+        expected = catalog.QUERIES[key](spark, SMALL)
+        assert sorted(df.columns) == sorted(expected.columns), key
+        assert rows(df, *sorted(df.columns)) == rows(expected, *sorted(df.columns)), key
+
+
+def test_shuffle_join_fallback_gives_same_rows(spark, small):
+    from attrition.operators.joins import MAX_ROWS_CONF
+
+    c, k = small
+    ref = rows(datasets.lost_detail(c, k, WIN))
+    spark.conf.set(MAX_ROWS_CONF, "0")
+    try:
+        assert rows(datasets.lost_detail(c, k, WIN)) == ref
+    finally:
+        spark.conf.unset(MAX_ROWS_CONF)
