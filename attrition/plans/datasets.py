@@ -83,7 +83,15 @@ def with_names(net: DataFrame, clients: DataFrame, sort: bool = True) -> DataFra
         F.col("amount").cast("double").alias("lost_amount"),
     )
     if sort:
-        out = out.orderBy(F.col("month").desc_nulls_last(), F.col("lost_amount").desc_nulls_last())
+        # Month and amount descending, as required; client and product only
+        # break ties, which fixes the order of equal rows and lets the range
+        # partitioner spread a month with many equal amounts over several tasks.
+        out = out.orderBy(
+            F.col("month").desc_nulls_last(),
+            F.col("lost_amount").desc_nulls_last(),
+            F.col("client_id").asc_nulls_last(),
+            F.col("product").asc_nulls_last(),
+        )
     return out
 
 

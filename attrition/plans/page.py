@@ -26,6 +26,7 @@ from attrition.functions.dates import Window
 from attrition.operators.ended import net_lost
 from attrition.plans import datasets, reports
 from attrition.session import work_dir
+from attrition.sources.sinks import write_dataset
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -105,3 +106,14 @@ class LossPage:
             "plan_strip": reports.plan_strip(self.spark, rate, self.as_of),
             "detail_table": reports.detail_table(self.detail(), self.as_of, self.n_months),
         }
+
+    def write(self, path: str) -> dict[str, str]:
+        """Write the four datasets (amounts as DOUBLE) under ``path``, partitioned by month."""
+        double = lambda df: df.withColumn("lost_amount", F.col("lost_amount").cast("double"))
+        out = {
+            "lost_by_module_month": double(self.by_module()),
+            "lost_by_plan_month": double(self.by_plan()),
+            "lost_detail": self.detail(),
+            "active_by_plan_month": self.active(),
+        }
+        return {name: write_dataset(df, f"{path.rstrip('/')}/{name}") for name, df in out.items()}

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The source pipeline has no stream: no event-time source, watermark, windowed
+aggregate or state.  Its only notion of freshness is a one-hour result cache
+in front of batch queries, which is a serving concern and is not rebuilt
+here; a scheduled batch job (``LossPage(...).write(path)``) covers it.
+"""

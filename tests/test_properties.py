@@ -140,3 +140,14 @@ def test_shuffle_join_fallback_gives_same_rows(spark, small):
         assert rows(datasets.lost_detail(c, k, WIN)) == ref
     finally:
         spark.conf.unset(MAX_ROWS_CONF)
+
+
+def test_page_write_round_trip(spark, small, tmp_path):
+    from attrition.plans.page import LossPage
+
+    c, k = small
+    paths = LossPage(c, k, date(2001, 6, 15)).write(str(tmp_path / "out"))
+    back = spark.read.parquet(paths["lost_by_module_month"])
+    expected = catalog.QUERIES["lost_by_module_month"](spark, SMALL)
+    cols = sorted(expected.columns)
+    assert rows(back.select(*cols)) == rows(expected.select(*cols))
