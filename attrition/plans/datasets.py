@@ -24,6 +24,7 @@ from attrition.functions.dates import Window
 from attrition.operators.active import active_counts
 from attrition.operators.ended import net_lost
 from attrition.operators.joins import broadcast_if_small
+from attrition.plans.ordering import order_bounded
 
 
 def lost_by(net: DataFrame, name: str, code: Column, exact: bool = False) -> DataFrame:
@@ -37,7 +38,7 @@ def lost_by(net: DataFrame, name: str, code: Column, exact: bool = False) -> Dat
         F.count_distinct("client_id").alias("lost_clients"),
         (total if exact else total.cast("double")).alias("lost_amount"),
     )
-    return out.orderBy("month", name)
+    return order_bounded(out, "month", name)  # ≤ 16 months × 4 modules / 7 plans
 
 
 def lost_by_module_month(
@@ -106,6 +107,5 @@ def active_by_plan_month(contracts: DataFrame, window: Window) -> DataFrame:
         "client_id", "start_date", "end_date", F.lower(rules.plan_of("product")).alias("plan")
     )
     counts = active_counts(base, window, group="plan", entity="client_id")
-    return counts.select(
-        "month", "plan", F.col("active").cast("long").alias("active_clients")
-    ).orderBy("month", "plan")
+    out = counts.select("month", "plan", F.col("active").cast("long").alias("active_clients"))
+    return order_bounded(out, "month", "plan")  # ≤ 16 months × 7 plans

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from attrition.functions import formats, rules
 from attrition.functions.dates import first_of_month, months_after_cutoff
+from attrition.plans.ordering import order_bounded
 
 
 # -- labels -----------------------------------------------------------------
@@ -76,15 +77,14 @@ def complete_months(df: DataFrame, as_of: date) -> DataFrame:
 
 def monthly_totals(by_module: DataFrame) -> DataFrame:
     """Per month: summed amount and summed distinct counts over modules."""
-    return (
-        by_module.groupBy("month")
-        .agg(
-            F.coalesce(F.sum("lost_amount"), F.lit(0)).alias("lost_amount"),
-            F.coalesce(F.sum("lost_clients"), F.lit(0)).cast("long").alias("lost_clients"),
-        )
-        .select("month", formats.month_label("month").alias("month_label"), "lost_amount", "lost_clients")
-        .orderBy("month")
+    totals = by_module.groupBy("month").agg(
+        F.coalesce(F.sum("lost_amount"), F.lit(0)).alias("lost_amount"),
+        F.coalesce(F.sum("lost_clients"), F.lit(0)).cast("long").alias("lost_clients"),
+    )
+    out = totals.select(
+        "month", formats.month_label("month").alias("month_label"), "lost_amount", "lost_clients"
     )
+    return order_bounded(out, "month")
 
 
 def period_totals(by_module: DataFrame) -> DataFrame:
@@ -168,11 +168,8 @@ def format_amounts(totals: DataFrame) -> DataFrame:
 
 def month_axis(df: DataFrame) -> DataFrame:
     """Distinct ``(month, month_label)`` in month order: the category axis."""
-    return (
-        df.select("month", formats.month_label("month").alias("month_label"))
-        .distinct()
-        .orderBy("month")
-    )
+    axis = df.select("month", formats.month_label("month").alias("month_label")).distinct()
+    return order_bounded(axis, "month")
 
 
 # -- chart series -------------------------------------------------------------
@@ -189,7 +186,7 @@ def series(df: DataFrame, code: str, labels: list[tuple[str, str]], measure: str
         formats.month_label("month").alias("month_label"),
         F.col(measure),
     )
-    return out.orderBy("series_ord", "month")
+    return order_bounded(out, "series_ord", "month")
 
 
 # -- loss rate ----------------------------------------------------------------
@@ -211,12 +208,13 @@ def loss_rate(active_by_plan: DataFrame, lost_by_plan: DataFrame) -> DataFrame:
     """
     lost = lost_by_plan.select("month", "plan", "lost_clients")
     joined = active_by_plan.join(F.broadcast(lost), ["month", "plan"], "left")
-    return joined.select(
+    rate = joined.select(
         "month",
         "plan",
         "active_clients",
         F.coalesce(F.col("lost_clients"), F.lit(0)).cast("long").alias("lost_clients"),
-    ).withColumn("loss_pct", loss_pct("lost_clients", "active_clients")).orderBy("month", "plan")
+    ).withColumn("loss_pct", loss_pct("lost_clients", "active_clients"))
+    return order_bounded(rate, "month", "plan")
 
 
 def series_loss_pct(rate: DataFrame) -> DataFrame:
@@ -252,13 +250,14 @@ def at_latest_complete_month(rate: DataFrame, as_of: date) -> DataFrame:
 
 def base_vs_lost_latest(rate: DataFrame, as_of: date) -> DataFrame:
     """Per plan at the last complete month: base and lost clients, with labels."""
-    return at_latest_complete_month(rate, as_of).select(
+    out = at_latest_complete_month(rate, as_of).select(
         "month",
         "plan",
         label_of("plan", rules.PLAN_LABELS).alias("label"),
         "active_clients",
         "lost_clients",
-    ).orderBy("plan")
+    )
+    return order_bounded(out, "plan")
 
 
 def plan_strip(spark: SparkSession, rate: DataFrame, as_of: date) -> DataFrame:
@@ -269,9 +268,8 @@ def plan_strip(spark: SparkSession, rate: DataFrame, as_of: date) -> DataFrame:
     text = F.when(
         F.col("active_clients").isNull() | (F.col("active_clients") == 0), F.lit(formats.DASH)
     ).otherwise(F.coalesce(formats.percent_1("loss_pct"), F.lit(formats.DASH)))
-    return cells.select(
-        "series_ord", "plan", "label", "loss_pct", text.alias("loss_pct_text")
-    ).orderBy("series_ord")
+    out = cells.select("series_ord", "plan", "label", "loss_pct", text.alias("loss_pct_text"))
+    return order_bounded(out, "series_ord")
 
 
 # -- detail table ---------------------------------------------------------------

@@ -105,7 +105,9 @@ def _fingerprint(sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
-_SESSION_CACHE: dict[tuple[int, str], tuple[str, str]] = {}
+# (application id, directory) -> the loaded pair; DataFrames are immutable
+# and lazy, so one pair serves every query of the application.
+_SESSION_CACHE: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def derive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -124,25 +126,29 @@ def load(spark: SparkSession, sf_dir: str, materialize: bool = True) -> tuple[Da
     """
     if not materialize:
         return derive(spark, sf_dir)
-    key = (id(spark), os.path.abspath(sf_dir))
-    paths = _SESSION_CACHE.get(key)
-    if paths is None:
-        base = f"{work_dir(spark)}/attrition-fixtures/{_fingerprint(sf_dir)}"
-        try:
-            copy = spark.read.parquet(f"{base}/ready").first()["copy"]
-        except AnalysisException:
-            copy = None
-        if copy is None:
-            # Each writer uses its own folder; "ready" names a finished copy.
-            copy = f"{base}/{uuid.uuid4().hex[:12]}"
-            contracts, clients = derive(spark, sf_dir)
-            clients.write.mode("overwrite").parquet(f"{copy}/clients")
-            contracts.write.mode("overwrite").parquet(f"{copy}/contracts")
-            spark.createDataFrame([(copy,)], "copy string").coalesce(1).write.mode(
-                "overwrite"
-            ).parquet(f"{base}/ready")
-        paths = (f"{copy}/contracts", f"{copy}/clients")
-        _SESSION_CACHE[key] = paths
-    contracts = conform(spark.read.parquet(paths[0]), CONTRACTS_SCHEMA)
-    clients = conform(spark.read.parquet(paths[1]), CLIENTS_SCHEMA)
-    return contracts, clients
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    cached = _SESSION_CACHE.get(key)
+    if cached is not None:
+        return cached
+    base = f"{work_dir(spark)}/attrition-fixtures/{_fingerprint(sf_dir)}"
+
+    def read_pair(copy: str) -> tuple[DataFrame, DataFrame]:
+        return (
+            conform(spark.read.parquet(f"{copy}/contracts"), CONTRACTS_SCHEMA),
+            conform(spark.read.parquet(f"{copy}/clients"), CLIENTS_SCHEMA),
+        )
+
+    try:
+        pair = read_pair(spark.read.parquet(f"{base}/ready").first()["copy"])
+    except AnalysisException:  # no finished copy yet (or it was removed)
+        # Each writer uses its own folder; "ready" names a finished copy.
+        copy = f"{base}/{uuid.uuid4().hex[:12]}"
+        contracts, clients = derive(spark, sf_dir)
+        clients.write.mode("overwrite").parquet(f"{copy}/clients")
+        contracts.write.mode("overwrite").parquet(f"{copy}/contracts")
+        spark.createDataFrame([(copy,)], "copy string").coalesce(1).write.mode("overwrite").parquet(
+            f"{base}/ready"
+        )
+        pair = read_pair(copy)
+    _SESSION_CACHE[key] = pair
+    return pair
