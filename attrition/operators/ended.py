@@ -25,6 +25,8 @@ measured size is small, and otherwise splits a skewed partition of the lines.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,25 +111,32 @@ def ended_contracts(
     return closed.unionByName(open_)
 
 
-def renewal_keys(ended: DataFrame, contracts: DataFrame, window: Window | None = None) -> DataFrame:
-    """Distinct ``(client_id, product, month)`` of month-end lines restarted next month.
+def restarted_keys(contracts: DataFrame, window: Window | None = None) -> DataFrame:
+    """Distinct ``(client_id, product, month)`` such that a contract starts in the month after ``month``.
 
-    ``window`` (optional) is the window ``ended`` was cut with; it bounds the
-    start dates worth reading, which lets the scan of ``contracts`` skip data.
+    ``window`` (optional) bounds the start dates worth reading (the months
+    after the window's months), which lets the scan of ``contracts`` skip data.
     """
-    month_end = ended.filter(dates.is_month_end("ended_on")).select(*KEY).distinct()
     starts = contracts.filter(F.col("start_date").isNotNull())
     if window is not None:
         first = dates.shift_months(window.lo, 1)
         last = dates.last_of_month(dates.shift_months(window.month0, 1))
         starts = starts.filter(F.col("start_date").between(F.lit(first), F.lit(last)))
     # "starts in the month after m"  ⇔  m = (month of start) − 1 month.
-    restarted = starts.select(
+    return starts.select(
         "client_id",
         "product",
         F.add_months(dates.month_bucket("start_date"), -1).alias("month"),
     ).distinct()
-    return month_end.join(restarted, KEY, "left_semi")
+
+
+def renewal_keys(ended: DataFrame, contracts: DataFrame, window: Window | None = None) -> DataFrame:
+    """Distinct ``(client_id, product, month)`` of month-end lines restarted next month.
+
+    ``window`` (optional) is the window ``ended`` was cut with.
+    """
+    month_end = ended.filter(dates.is_month_end("ended_on")).select(*KEY).distinct()
+    return month_end.join(restarted_keys(contracts, window), KEY, "left_semi")
 
 
 def drop_renewed(ended: DataFrame, keys: DataFrame) -> DataFrame:
@@ -140,3 +149,31 @@ def net_lost(
 ) -> DataFrame:
     ended = ended_contracts(contracts, clients, window, base_plan_only)
     return drop_renewed(ended, renewal_keys(ended, contracts, window))
+
+
+def net_lost_per_key(
+    contracts: DataFrame, clients: DataFrame, window: Window, base_plan_only: bool = False
+) -> DataFrame:
+    """Net lost amount per ``(client_id, product, month)`` (input of the grouped datasets).
+
+    Equal to ``net_lost(...).groupBy(KEY).agg(sum(amount))``, but the lines
+    are aggregated *before* the renewal test: one partial aggregate yields
+    each key's amount and whether any of its lines ended on a month end, so a
+    key holding many lines is collapsed map-side, the month-end candidates
+    need no separate pass, and the anti join runs between two frames already
+    hash-partitioned on the key (no further shuffle of the lines), reading
+    the aggregate once.  Module
+    and plan are functions of ``product``, so per-(month, module/plan)
+    distinct clients and sums are unchanged by the pre-aggregation.
+    """
+    ended = ended_contracts(contracts, clients, window, base_plan_only)
+    per_key = ended.groupBy(*KEY).agg(
+        F.sum("amount").alias("amount"),
+        F.max(dates.is_month_end("ended_on")).alias("_month_end"),
+    )
+    p, r = per_key.alias("p"), restarted_keys(contracts, window).alias("r")
+    # One conditional anti join: a key is dropped only if it has a month-end
+    # line *and* restarted; keys without a month-end line never match.
+    same_key = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in KEY]
+    renewed = reduce(lambda a, b: a & b, same_key) & F.col("p._month_end")
+    return p.join(r, renewed, "left_anti").select(*[F.col(f"p.{k}") for k in KEY], F.col("p.amount"))

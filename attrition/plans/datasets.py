@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from attrition.functions import rules
 from attrition.functions.dates import Window
 from attrition.operators.active import active_counts
-from attrition.operators.ended import net_lost
+from attrition.operators.ended import net_lost, net_lost_per_key
 from attrition.operators.joins import broadcast_if_small
 from attrition.plans.ordering import order_bounded
 
@@ -44,7 +44,7 @@ def lost_by(net: DataFrame, name: str, code: Column, exact: bool = False) -> Dat
 def lost_by_module_month(
     contracts: DataFrame, clients: DataFrame, window: Window, exact: bool = False
 ) -> DataFrame:
-    net = net_lost(contracts, clients, window)
+    net = net_lost_per_key(contracts, clients, window)
     return lost_by(net, "module", F.lower(rules.module_of("product")), exact)
 
 
@@ -54,7 +54,7 @@ def lost_by_plan_month(
     # The add-on exclusion depends on the product only, so it commutes with
     # the latest-line rule and the renewal test (both keyed by product):
     # filtering before them is the same as after, and cheaper.
-    net = net_lost(contracts, clients, window, base_plan_only=True)
+    net = net_lost_per_key(contracts, clients, window, base_plan_only=True)
     return lost_by(net, "plan", F.lower(rules.plan_of("product")), exact)
 
 

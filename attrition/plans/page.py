@@ -46,6 +46,7 @@ class LossPage:
     window_months: int = 15
     materialize: bool = True
     _net: DataFrame | None = field(default=None, init=False, repr=False)
+    _small: dict = field(default_factory=dict, init=False, repr=False)
 
     @property
     def window(self) -> Window:
@@ -61,6 +62,13 @@ class LossPage:
             self._net = write_table(net, "net-lost") if self.materialize else net
         return self._net
 
+    def _shared(self, name: str, build) -> DataFrame:
+        """A frame several report frames read: computed once (≤ 16 × 7 rows) and written."""
+        if name not in self._small:
+            df = build()
+            self._small[name] = write_table(df, name) if self.materialize else df
+        return self._small[name]
+
     # datasets -------------------------------------------------------------
     def by_module(self, exact: bool = True) -> DataFrame:
         return datasets.lost_by(self.net(), "module", F.lower(rules.module_of("product")), exact)
@@ -84,9 +92,11 @@ class LossPage:
 
     def frames(self) -> dict[str, DataFrame]:
         """Every report frame of the page, keyed like the registered queries."""
-        mod = self._period(self.by_module())
-        plan = self._period(self.by_plan())
-        rate = self.rate()
+        mod = self._shared("by-module", lambda: self._period(self.by_module()))
+        plan = self._shared("by-plan", lambda: self._period(self.by_plan()))
+        rate = self._shared(
+            "rate", lambda: reports.loss_rate(self._period(self.active()), plan)
+        )
         totals = reports.monthly_totals(mod)
         amount = lambda df: df.withColumn("lost_amount", F.col("lost_amount").cast("double"))
         return {

@@ -58,13 +58,19 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
     Uses the cluster's ``spark.checkpoint.dir`` (or the context's checkpoint
-    dir).  Only when neither is set — local runs and tests — a fresh local
-    folder is created and registered as the checkpoint dir.
+    dir).  Only when neither is set *and* the master is local (tests, local
+    runs) a fresh local folder is created and registered as the checkpoint
+    dir; on a cluster a machine-local folder would not be shared, so that
+    case raises instead.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: configure a folder shared by all executors"
+        )
     local = tempfile.mkdtemp(prefix="attrition-ckpt-")
     sc.setCheckpointDir(local)
     return os.path.abspath(sc.getCheckpointDir() or local).rstrip("/")

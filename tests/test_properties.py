@@ -151,3 +151,10 @@ def test_page_write_round_trip(spark, small, tmp_path):
     expected = catalog.QUERIES["lost_by_module_month"](spark, SMALL)
     cols = sorted(expected.columns)
     assert rows(back.select(*cols)) == rows(expected.select(*cols))
+
+
+def test_work_dir_reads_session_setting(spark):
+    from attrition.session import work_dir
+
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert work_dir(spark) == configured.rstrip("/")
