@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from attrition.functions import dates, rules
 from attrition.functions.dates import Window
-from attrition.operators.joins import broadcast_if_small
+from attrition.operators.joins import broadcast_if_counted_small, broadcast_if_small
 from attrition.operators.latest import latest_per_key
 
 KEY = ["client_id", "product", "month"]
@@ -147,8 +147,18 @@ def drop_renewed(ended: DataFrame, keys: DataFrame) -> DataFrame:
 def net_lost(
     contracts: DataFrame, clients: DataFrame, window: Window, base_plan_only: bool = False
 ) -> DataFrame:
+    """Ended lines without the renewed ones (line level: the detail dataset).
+
+    The grouped datasets use ``net_lost_per_key`` instead, which needs no
+    up-front job: its lines are pre-aggregated before their one shuffle.
+    """
     ended = ended_contracts(contracts, clients, window, base_plan_only)
-    return drop_renewed(ended, renewal_keys(ended, contracts, window))
+    # The keys are computed up front: when they are small the anti join is a
+    # broadcast and the ended lines are never shuffled for it, whereas a
+    # runtime-only (AQE) decision comes after every independent shuffle
+    # stage, including that of the lines, has already started.
+    keys = broadcast_if_counted_small(renewal_keys(ended, contracts, window))
+    return drop_renewed(ended, keys)
 
 
 def net_lost_per_key(
@@ -177,3 +187,4 @@ def net_lost_per_key(
     same_key = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in KEY]
     renewed = reduce(lambda a, b: a & b, same_key) & F.col("p._month_end")
     return p.join(r, renewed, "left_anti").select(*[F.col(f"p.{k}") for k in KEY], F.col("p.amount"))
+

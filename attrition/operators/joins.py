@@ -9,9 +9,11 @@ back to a shuffle join (sort-merge, with AQE free to split skewed partitions).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from attrition.session import work_dir
+
 MAX_ROWS_CONF = "spark.attrition.broadcast.maxRows"
 DEFAULT_MAX_ROWS = 2_000_000
 
@@ -27,3 +29,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     # A plain count is a partial aggregate per task; limit(n).count() would
     # instead gather up to n rows from every partition into one task.
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Compute ``df`` once, cut its lineage, and return it with its row count.
+
+    A reliable checkpoint in the shared work folder (a lost executor re-reads
+    the files instead of recomputing); the row count is observed while the
+    checkpoint is written, so it costs no extra job.
+    """
+    work_dir(df.sparkSession)  # makes sure a checkpoint folder is set
+    seen = Observation("rows")
+    out = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return out, int(seen.get["n"])
+
+
+def broadcast_if_counted_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Materialize ``df`` and broadcast it when its counted size is under the limit."""
+    out, n = materialize_counted(df)
+    limit = broadcast_limit(df) if max_rows is None else max_rows
+    return F.broadcast(out) if n <= limit else out
