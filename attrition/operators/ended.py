@@ -36,7 +36,6 @@ from attrition.operators.joins import broadcast_if_counted_small, broadcast_if_s
 from attrition.operators.latest import latest_per_key
 
 KEY = ["client_id", "product", "month"]
-ENDED_COLUMNS = ["client_id", "product", "ended_on", "month", "amount"]
 
 
 def _keep(base_plan_only: bool) -> Column:

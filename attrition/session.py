@@ -50,7 +50,10 @@ def build_session(
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # no SparkContext on a Spark Connect session
+        pass
     return spark
 
 
@@ -63,11 +66,15 @@ def work_dir(spark: SparkSession) -> str:
     dir; on a cluster a machine-local folder would not be shared, so that
     case raises instead.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's configuration decides
+        sc = None
+    configured = configured or (sc.getCheckpointDir() if sc is not None else None)
     if configured:
         return configured.rstrip("/")
-    if not sc.master.startswith("local"):
+    if sc is None or not sc.master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set: configure a folder shared by all executors"
         )

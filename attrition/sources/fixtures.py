@@ -126,7 +126,7 @@ def load(spark: SparkSession, sf_dir: str, materialize: bool = True) -> tuple[Da
     """
     if not materialize:
         return derive(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (spark.conf.get("spark.app.id", None) or str(id(spark)), os.path.abspath(sf_dir))
     cached = _SESSION_CACHE.get(key)
     if cached is not None:
         return cached

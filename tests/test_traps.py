@@ -292,3 +292,11 @@ def test_formats(spark):  # X15–X18
         "14.4%",
         "Jan/26",
     )
+
+
+def test_last_n_months_lenient_text(spark):  # X11: bad text dropped, not raised
+    from attrition.functions.dates import months_after_cutoff
+
+    df = spark.createDataFrame([("2001-05-01",), ("not a date",), (None,), ("2000-01-01",)], "month string")
+    out = df.filter(months_after_cutoff("month", AS_OF, 15, lenient=True))
+    assert rows(out) == [("2001-05-01",)]
