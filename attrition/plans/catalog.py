@@ -271,6 +271,11 @@ def q_last_n_months_3(spark, contracts, clients):
     return _by_module(contracts, clients, n_months=3, exact=False)
 
 
+@register("last_n_months_all")
+def q_last_n_months_all(spark, contracts, clients):
+    return _by_module(contracts, clients, n_months=0, exact=False)
+
+
 @register("module_members")
 def q_module_members(spark, contracts, clients):
     return reports.module_members(_by_module(contracts, clients, exact=False))
@@ -336,6 +341,12 @@ def q_series_plan_clients(spark, contracts, clients):
     return reports.series(_by_plan(contracts, clients), "plan", rules.PLAN_LABELS, "lost_clients")
 
 
+@register("series_plan_amount_wide")
+def q_series_plan_amount_wide(spark, contracts, clients):
+    wide = reports.series_wide(_by_plan(contracts, clients), "plan", rules.PLAN_LABELS, "lost_amount")
+    return _money(wide, *[c for c, _ in rules.PLAN_LABELS])
+
+
 @register("loss_rate")
 def q_loss_rate(spark, contracts, clients):
     return _rate(contracts, clients)

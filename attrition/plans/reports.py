@@ -189,6 +189,16 @@ def series(df: DataFrame, code: str, labels: list[tuple[str, str]], measure: str
     return order_bounded(out, "series_ord", "month")
 
 
+def series_wide(df: DataFrame, code: str, labels: list[tuple[str, str]], measure: str) -> DataFrame:
+    """One row per month, one column per code (label order); NULL where absent.
+
+    The codes are listed, so ``pivot`` needs no extra job to discover them.
+    """
+    codes = [c for c, _ in labels]
+    wide = df.groupBy("month").pivot(code, codes).agg(F.sum(measure))
+    return order_bounded(wide.select("month", *codes), "month")
+
+
 # -- loss rate ----------------------------------------------------------------
 
 
