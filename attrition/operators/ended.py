@@ -15,12 +15,18 @@ one month-end renewal removes every ended line of that key.  Renewal evidence
 is looked up in the *unfiltered* contracts (any row, whatever its end date,
 amount or product class).
 
-Plan at scale: both sides of the renewal test are reduced to *distinct keys*
-with a map-side partial aggregate before they are shuffled, so the key join is
-one-to-one and no key can be skewed there.  Both distinct aggregates hash the
-same three columns, so the join reuses their partitioning.  The final
-anti-join is a plain ``left_anti``: AQE broadcasts the key set when its
-measured size is small, and otherwise splits a skewed partition of the lines.
+Plans at scale.  The restart evidence is reduced to *distinct keys* with a
+map-side partial aggregate before it is shuffled, keyed by ``month = start
+month − 1`` so that it hashes the same columns as the ended side.  Then:
+
+* ``net_lost`` (line level, for the detail): the renewal keys are computed up
+  front, checkpointed and counted; a small key set is broadcast, so the ended
+  lines are never shuffled for the anti join; a large one is joined by
+  sort-merge, where AQE splits a skewed partition of the lines;
+* ``net_lost_per_key`` (for the grouped datasets): the lines are aggregated
+  per key first (one partial aggregate: a hot key collapses map-side), then
+  one conditional anti join against the restart keys, both sides already
+  partitioned on the key.
 """
 
 from __future__ import annotations
@@ -171,9 +177,9 @@ def net_lost_per_key(
     key holding many lines is collapsed map-side, the month-end candidates
     need no separate pass, and the anti join runs between two frames already
     hash-partitioned on the key (no further shuffle of the lines), reading
-    the aggregate once.  Module
-    and plan are functions of ``product``, so per-(month, module/plan)
-    distinct clients and sums are unchanged by the pre-aggregation.
+    the aggregate once.  Module and plan are functions of ``product``, so
+    per-(month, module/plan) distinct clients and sums are unchanged by the
+    pre-aggregation.
     """
     ended = ended_contracts(contracts, clients, window, base_plan_only)
     per_key = ended.groupBy(*KEY).agg(
