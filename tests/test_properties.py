@@ -158,3 +158,22 @@ def test_work_dir_reads_session_setting(spark):
 
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert work_dir(spark) == configured.rstrip("/")
+
+
+def test_batch_entry_point(spark, small, tmp_path):
+    from attrition.__main__ import main
+
+    c, k = small
+    c.write.parquet(str(tmp_path / "contracts"))
+    k.write.parquet(str(tmp_path / "clients"))
+    paths = main([
+        "--contracts", str(tmp_path / "contracts"),
+        "--clients", str(tmp_path / "clients"),
+        "--out", str(tmp_path / "report"),
+        "--as-of", "2001-06-15",
+    ])
+    assert set(paths) == {"lost_by_module_month", "lost_by_plan_month", "lost_detail", "active_by_plan_month"}
+    back = spark.read.parquet(paths["active_by_plan_month"])
+    expected = catalog.QUERIES["active_by_plan_month"](spark, SMALL)
+    cols = sorted(expected.columns)
+    assert rows(back.select(*cols)) == rows(expected.select(*cols))
