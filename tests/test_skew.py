@@ -93,3 +93,33 @@ def test_hot_key_is_pre_aggregated(spark, skewed):
     assert keys.count("HashAggregate") >= 4  # both distinct key sets partially aggregated
     active = _explain(catalog.OPERATORS["active_by_plan_month"](spark, c, k))
     assert "partial_bit_or" in active and "Generate" in active
+
+
+def test_skewed_detail_without_broadcast(spark, skewed):
+    """No broadcast at all (ours or Spark's): every join is a sort-merge join."""
+    import duckdb
+
+    from attrition.operators.joins import MAX_ROWS_CONF
+
+    cpath, kpath = skewed
+    c, k = spark.read.parquet(cpath), spark.read.parquet(kpath)
+    off = {
+        MAX_ROWS_CONF: "0",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    for key, value in off.items():
+        spark.conf.set(key, value)
+    try:
+        sdf = catalog.OPERATORS["lost_detail"](spark, c, k)
+        s_rows = [tuple(r) for r in sdf.collect()]
+        assert "BroadcastHashJoin" not in _explain(sdf)
+    finally:
+        for key in off:
+            spark.conf.unset(key)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW contracts_in AS SELECT * FROM read_parquet('{cpath}/*.parquet')")
+    con.execute(f"CREATE VIEW clients_in AS SELECT * FROM read_parquet('{kpath}/*.parquet')")
+    res = con.execute(duck_oracle.oracle_texts_on_inputs()["lost_detail"])
+    d_cols = [d[0] for d in res.description]
+    assert rows_of(s_rows, sdf.columns) == rows_of(res.fetchall(), d_cols)
