@@ -300,3 +300,65 @@ def test_last_n_months_lenient_text(spark):  # X11: bad text dropped, not raised
     df = spark.createDataFrame([("2001-05-01",), ("not a date",), (None,), ("2000-01-01",)], "month string")
     out = df.filter(months_after_cutoff("month", AS_OF, 15, lenient=True))
     assert rows(out) == [("2001-05-01",)]
+
+
+def test_excluded_addons_fall_into_base_module(spark):  # T5
+    cs = [
+        contract(product="[TOTEM] Quiosque", end_date=D(2001, 5, 10)),
+        contract(product="[VIDEOS] Acervo", end_date=D(2001, 5, 10)),
+        contract(product="[STARTER] Módulo extra", end_date=D(2001, 5, 10)),
+    ]
+    c, k = frames(spark, cs)
+    assert rows(datasets.lost_by_module_month(c, k, WIN), "module", "lost_amount") == [("base", 300.0)]
+    assert datasets.lost_by_plan_month(c, k, WIN).count() == 0
+    assert rows(datasets.lost_detail(c, k, WIN), "module") == [("Base",)] * 3
+
+
+def test_base_counts_in_totals_not_in_module_series(spark):  # T6, T7
+    cs = [
+        contract(product="[PRO] Plano", end_date=D(2001, 5, 10)),
+        contract(product="[KIDS] Check-in", end_date=D(2001, 5, 12)),
+    ]
+    c, k = frames(spark, cs)
+    d1 = datasets.lost_by_module_month(c, k, WIN, exact=True)
+    tot = reports.monthly_totals(d1).first()
+    assert (tot.lost_clients, float(tot.lost_amount)) == (2, 200.0)  # one client, counted per module
+    assert rows(reports.module_members(d1), "module") == [("kids",)]
+
+
+def test_base_ignores_one_offs_and_cancellations(spark):  # T21
+    cs = [
+        contract(product="Setup inicial", start_date=D(2000, 1, 1)),
+        contract(client_id="c2", product="[PRO] Plano", start_date=D(2000, 1, 1)),
+    ]
+    ks = [client(), client("c2", "Two", cancel_date=D(2001, 5, 10))]
+    c, k = frames(spark, cs, ks)
+    active_may = {
+        (r.plan, r.active_clients)
+        for r in datasets.active_by_plan_month(c, WIN).collect()
+        if r.month == D(2001, 6, 1)
+    }
+    assert active_may == {("outros", 1), ("pro", 1)}  # Setup line and cancelled client stay active
+    assert rows(datasets.lost_by_plan_month(c, k, WIN), "plan") == [("pro",)]
+
+
+def test_totals_of_null_amounts_are_zero(spark):  # T23
+    from decimal import Decimal
+
+    d1 = spark.createDataFrame(
+        [(D(2001, 5, 1), "base", 1, None)], "month date, module string, lost_clients long, lost_amount decimal(28,2)"
+    )
+    assert reports.monthly_totals(d1).first().lost_amount == Decimal("0")
+    assert reports.period_totals(d1).first().lost_amount == Decimal("0")
+
+
+def test_zero_kpi_shows_dash(spark):  # T24
+    from decimal import Decimal
+
+    d1 = spark.createDataFrame(
+        [(D(2001, 5, 1), "base", 0, Decimal("0.00"))],
+        "month date, module string, lost_clients long, lost_amount decimal(28,2)",
+    )
+    kpi = reports.kpi_summary(d1).first()
+    assert (kpi.last_amount_text, kpi.last_clients_text) == ("—", "—")
+    assert kpi.period_amount_text == "R$ 0,00" and kpi.period_clients_text == "0"
