@@ -8,13 +8,12 @@ the net lines are computed once *without* the exclusion, written as a table
 in the shared work folder (cutting lineage: a lost executor re-reads the
 table instead of recomputing the pipeline), and D1/D2/D3 are read from it.
 
-The write replaces the source's one-hour result cache: each ``LossPage``
-holds its own copy; rebuild the page to refresh.
+The written copy replaces the source's one-hour result cache: each
+``LossPage`` holds its own; rebuild the page to refresh.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -30,11 +29,15 @@ from attrition.sources.sinks import write_dataset
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared work folder and read it back."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/attrition-tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Compute ``df`` once into the shared work folder and read it from there.
+
+    A reliable checkpoint: lineage is cut (a lost executor re-reads the files),
+    the plan's output partitioning is kept for downstream operators, and the
+    files are removed by Spark's cleaner once the frame is no longer used.
+    ``name`` only labels the call site.
+    """
+    work_dir(df.sparkSession)  # makes sure a checkpoint folder is set
+    return df.checkpoint(eager=True)
 
 
 @dataclass
