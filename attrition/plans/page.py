@@ -4,9 +4,9 @@ The dashboard needs D1 (by module), D2 (by plan), D3 (detail), D4 (active
 base) and the frames built on them.  D1–D3 all start from the same net lost
 lines; D2 only adds the add-on exclusion, which depends on the product alone
 and therefore commutes with the latest-line rule and the renewal test.  So
-the net lines are computed once *without* the exclusion, written as a table
-in the shared work folder (cutting lineage: a lost executor re-reads the
-table instead of recomputing the pipeline), and D1/D2/D3 are read from it.
+the net lines are computed once *without* the exclusion, checkpointed to the
+shared work folder (cutting lineage: a lost executor re-reads the files
+instead of recomputing the pipeline), and D1/D2/D3 are read from there.
 
 The written copy replaces the source's one-hour result cache: each
 ``LossPage`` holds its own; rebuild the page to refresh.
