@@ -9,7 +9,7 @@ back to a shuffle join (sort-merge, with AQE free to split skewed partitions).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attrition.session import work_dir
@@ -35,13 +35,12 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """Compute ``df`` once, cut its lineage, and return it with its row count.
 
     A reliable checkpoint in the shared work folder (a lost executor re-reads
-    the files instead of recomputing); the row count is observed while the
-    checkpoint is written, so it costs no extra job.
+    the files instead of recomputing); the count reads the checkpointed
+    files, not the original plan.
     """
     work_dir(df.sparkSession)  # makes sure a checkpoint folder is set
-    seen = Observation("rows")
-    out = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    return out, int(seen.get["n"])
+    out = df.checkpoint(eager=True)
+    return out, out.count()
 
 
 def broadcast_if_counted_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
