@@ -21,6 +21,7 @@ from attrition.functions import dates, rules
 from attrition.functions.dates import Window
 from attrition.operators import active, ended
 from attrition.plans import datasets, reports
+from attrition.plans import sql as sql_spelling
 from attrition.sources import fixtures
 
 AS_OF = date(2001, 6, 15)
@@ -228,6 +229,11 @@ def q_lost_by_module_month(spark, contracts, clients):
     return datasets.lost_by_module_month(contracts, clients, WINDOW)
 
 
+@register("lost_by_module_month_sql")
+def q_lost_by_module_month_sql(spark, contracts, clients):
+    return sql_spelling.lost_by_module_month(contracts, clients, WINDOW)
+
+
 @register("lost_by_plan_month")
 def q_lost_by_plan_month(spark, contracts, clients):
     return datasets.lost_by_plan_month(contracts, clients, WINDOW)
