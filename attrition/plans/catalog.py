@@ -390,4 +390,5 @@ def q_detail_projection(spark, contracts, clients):
 
 @register("detail_table")
 def q_detail_table(spark, contracts, clients):
-    return reports.detail_table(datasets.lost_detail(contracts, clients, WINDOW), AS_OF, N_MONTHS)
+    unsorted = datasets.lost_detail(contracts, clients, WINDOW, sort=False)
+    return reports.detail_table(unsorted, AS_OF, N_MONTHS)

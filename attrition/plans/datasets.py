@@ -83,17 +83,28 @@ def with_names(net: DataFrame, clients: DataFrame, sort: bool = True) -> DataFra
         "product",
         F.col("amount").cast("double").alias("lost_amount"),
     )
-    if sort:
-        # Month and amount descending, as required; client and product only
-        # break ties, which fixes the order of equal rows and lets the range
-        # partitioner spread a month with many equal amounts over several tasks.
-        out = out.orderBy(
-            F.col("month").desc_nulls_last(),
-            F.col("lost_amount").desc_nulls_last(),
-            F.col("client_id").asc_nulls_last(),
-            F.col("product").asc_nulls_last(),
-        )
-    return out
+    return sort_detail(out) if sort else out
+
+
+def sort_detail(detail: DataFrame) -> DataFrame:
+    """Month, then amount, both descending with NULLs last (the detail's order).
+
+    Client, product and name only break ties: they fix the order of rows that
+    differ and let the range partitioner spread a month with many equal
+    amounts.  Exact copies of a line cannot be split by any key, so a seeded
+    random salt comes last: copies (indistinguishable, so their mutual order
+    is invisible) land in several partitions instead of one task.
+    """
+    salted = detail.withColumn("_salt", F.rand(seed=17))
+    ordered = salted.orderBy(
+        F.col("month").desc_nulls_last(),
+        F.col("lost_amount").desc_nulls_last(),
+        F.col("client_id").asc_nulls_last(),
+        F.col("product").asc_nulls_last(),
+        F.col("client_name").asc_nulls_last(),
+        "_salt",
+    )
+    return ordered.drop("_salt")
 
 
 def active_by_plan_month(contracts: DataFrame, window: Window) -> DataFrame:

@@ -117,7 +117,9 @@ class LossPage:
             "series_loss_pct": reports.series_loss_pct(rate),
             "base_vs_lost_latest": reports.base_vs_lost_latest(rate, self.as_of),
             "plan_strip": reports.plan_strip(self.spark, rate, self.as_of),
-            "detail_table": reports.detail_table(self.detail(), self.as_of, self.n_months),
+            "detail_table": reports.detail_table(
+                datasets.with_names(self.net(), self.clients, sort=False), self.as_of, self.n_months
+            ),
         }
 
     def write(self, path: str) -> dict[str, str]:

@@ -298,6 +298,12 @@ def detail_projection(detail: DataFrame) -> DataFrame:
 
 
 def detail_table(detail: DataFrame, as_of: date, n_months: int) -> DataFrame:
-    """Detail for the selected period with the month as a label."""
-    kept = last_n_months(detail, as_of, n_months)
+    """Detail for the selected period, in detail order, with the month as a label.
+
+    The period filter runs before the (distributed) sort, so only kept rows
+    are sorted; ``detail`` may come sorted or not.
+    """
+    from attrition.plans.datasets import sort_detail
+
+    kept = sort_detail(last_n_months(detail, as_of, n_months))
     return detail_projection(kept).withColumn("month", formats.month_label("month"))

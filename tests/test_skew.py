@@ -123,3 +123,30 @@ def test_skewed_detail_without_broadcast(spark, skewed):
     res = con.execute(duck_oracle.oracle_texts_on_inputs()["lost_detail"])
     d_cols = [d[0] for d in res.description]
     assert rows_of(s_rows, sdf.columns) == rows_of(res.fetchall(), d_cols)
+
+
+def test_detail_sort_spreads_exact_copies(spark):
+    """A third of the detail rows are exact copies: the sort must not put them in one task."""
+    from attrition.plans.datasets import sort_detail
+
+    n = 30_000
+    copy = F.col("id") % 3 == 0
+    detail = spark.range(n).select(
+        F.lit("2001-05-01").cast("date").alias("month"),
+        F.lit("Base").alias("module"),
+        F.lit("PRO").alias("plan"),
+        F.when(copy, F.lit("hot")).otherwise(F.concat(F.lit("c"), F.col("id").cast("string"))).alias("client_id"),
+        F.lit("Client").alias("client_name"),
+        F.lit("[PRO] Plano").alias("product"),
+        F.when(copy, F.lit(100.0)).otherwise((F.col("id") % 997).cast("double")).alias("lost_amount"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ordered = sort_detail(detail.repartition(8))
+        sizes = [r["count"] for r in ordered.groupBy(F.spark_partition_id()).count().collect()]
+        first = ordered.first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == n
+    assert max(sizes) < n / 3  # the 10,000 copies are split over several partitions
+    assert first.lost_amount == 996.0  # order still by amount descending
