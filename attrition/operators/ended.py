@@ -68,7 +68,11 @@ def closed_ended(contracts: DataFrame, window: Window, base_plan_only: bool = Fa
 
 
 def open_cancelled(
-    contracts: DataFrame, clients: DataFrame, window: Window, base_plan_only: bool = False
+    contracts: DataFrame,
+    clients: DataFrame,
+    window: Window,
+    base_plan_only: bool = False,
+    distinct_clients: bool = False,
 ) -> DataFrame:
     """Open lines of clients cancelled in the window (inner join, before de-duplication).
 
@@ -76,11 +80,16 @@ def open_cancelled(
     client rows fan out here; ``latest_per_key`` collapses them.  The
     cancelled clients (a filtered slice of the dimension) are broadcast when
     their counted size allows, so the open lines are never shuffled for this
-    join; otherwise it is a shuffle join.
+    join; otherwise it is a shuffle join.  ``distinct_clients`` drops exact
+    copies of a (client, cancellation) pair first — harmless before the
+    latest-line rule (a maximum), and it stops a client listed many times
+    from multiplying its lines.
     """
     cancelled = clients.filter(
         F.col("cancel_date").isNotNull() & window.contains("cancel_date")
     ).select("client_id", F.col("cancel_date").alias("ended_on"))
+    if distinct_clients:
+        cancelled = cancelled.distinct()
     lines = contracts.filter(F.col("end_date").isNull() & _keep(base_plan_only)).select(
         "client_id", "product", "start_date", "amount"
     )
@@ -94,7 +103,7 @@ def latest_open_cancelled(
 ) -> DataFrame:
     """One open line per (client, product): latest start, then highest amount."""
     return latest_per_key(
-        open_cancelled(contracts, clients, window, base_plan_only),
+        open_cancelled(contracts, clients, window, base_plan_only, distinct_clients=True),
         ["client_id", "product"],
         ["start_date", "amount"],
     )
