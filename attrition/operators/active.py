@@ -75,10 +75,11 @@ def active_counts(
     An entity counts once per month because it occurs once per (entity,
     group).  NULL entities form one group whose months still appear, with a
     count of 0 (``count`` skips NULL), as ``count(distinct)`` would give.
-    Falls back to the explode path when the calendar exceeds 63 months.
+    Falls back to the explode path when the calendar exceeds 62 months (the
+    mask ``2^(hi+1) − 2^lo`` must stay within a signed 64-bit long).
     """
     n_months = window.months + 1
-    if n_months > 63:
+    if n_months > 62:
         return (
             active_intervals(contracts, window, keep=[entity, group])
             .groupBy("month", group)

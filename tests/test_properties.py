@@ -177,3 +177,19 @@ def test_batch_entry_point(spark, small, tmp_path):
     expected = catalog.QUERIES["active_by_plan_month"](spark, SMALL)
     cols = sorted(expected.columns)
     assert rows(back.select(*cols)) == rows(expected.select(*cols))
+
+
+@pytest.mark.parametrize("months", [15, 40, 61, 62, 70])
+def test_active_mask_path_equals_explode_count(spark, small, months):
+    from attrition.operators.active import active_counts, active_intervals
+
+    c, _ = small
+    base = c.select("client_id", "start_date", "end_date", rules.plan_of("product").alias("plan"))
+    w = Window(date(2001, 6, 15), months)
+    fast = active_counts(base, w, group="plan")
+    plain = (
+        active_intervals(base, w, keep=["client_id", "plan"])
+        .groupBy("month", "plan")
+        .agg(F.count_distinct("client_id").alias("active"))
+    )
+    assert rows(fast) == rows(plain)
