@@ -193,3 +193,18 @@ def test_active_mask_path_equals_explode_count(spark, small, months):
         .agg(F.count_distinct("client_id").alias("active"))
     )
     assert rows(fast) == rows(plain)
+
+
+@pytest.mark.parametrize("months", [0, 3, 70])
+def test_window_length_only_selects_months(spark, small, months):
+    """With unique clients, a month's losses do not depend on the window length."""
+    c, k = small
+    w15, w = Window(date(2001, 6, 15), 15), Window(date(2001, 6, 15), months)
+    lo = max(w15.lo, w.lo)
+    for build in (datasets.lost_by_module_month, datasets.lost_by_plan_month):
+        a = build(c, k, w15).filter(F.col("month") >= F.lit(lo))
+        b = build(c, k, w).filter(F.col("month") >= F.lit(lo))
+        assert rows(a) == rows(b)
+    a = datasets.active_by_plan_month(c, w15).filter(F.col("month") >= F.lit(lo))
+    b = datasets.active_by_plan_month(c, w).filter(F.col("month") >= F.lit(lo))
+    assert rows(a) == rows(b)
