@@ -208,3 +208,19 @@ def test_window_length_only_selects_months(spark, small, months):
     a = datasets.active_by_plan_month(c, w15).filter(F.col("month") >= F.lit(lo))
     b = datasets.active_by_plan_month(c, w).filter(F.col("month") >= F.lit(lo))
     assert rows(a) == rows(b)
+
+
+def test_lazy_derivation_equals_written_copy(spark, small):
+    c, k = small
+    lazy_c, lazy_k = fixtures.load(spark, SMALL, materialize=False)
+    assert rows(lazy_c) == rows(c) and rows(lazy_k) == rows(k)
+
+
+def test_scan_from_catalog_table(spark, small):
+    from attrition.sources.tables import CONTRACTS_SCHEMA, scan_contracts
+
+    c, _ = small
+    c.createOrReplaceTempView("contracts_view_for_test")
+    back = scan_contracts(spark, "contracts_view_for_test", fmt="table")
+    assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in CONTRACTS_SCHEMA]
+    assert rows(back) == rows(c)
