@@ -42,10 +42,14 @@ def dotted_int(v: Column | str) -> Column:
 
 
 def signed(v: Column | str, decimals: int, suffix: str = "") -> Column:
-    """``+1,234.56`` / ``-7`` — explicit sign, comma thousands; NULL in, NULL out."""
-    v = _col(v)
-    sign = F.when(v >= 0, F.lit("+")).otherwise(F.lit(""))
-    return F.concat(sign, grouped(v, decimals), F.lit(suffix))
+    """``+1,234.56`` / ``-7`` — explicit sign, comma thousands; NULL in, NULL out.
+
+    The plus goes on exactly when the formatted number has no minus, as in
+    Python's ``+`` format flag (so ``-0.0`` and ``-0.001`` give ``-0.00``).
+    """
+    text = grouped(v, decimals)
+    sign = F.when(text.startswith("-"), F.lit("")).otherwise(F.lit("+"))
+    return F.concat(sign, text, F.lit(suffix))
 
 
 def percent_1(v: Column | str) -> Column:
