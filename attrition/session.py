@@ -24,10 +24,6 @@ DEFAULT_CONF: dict[str, str] = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    # Coalesce small shuffle partitions up to the advisory size instead of
-    # keeping one per core: fewer, fuller tasks (Spark's advice for shared
-    # clusters); large shuffles are unaffected.
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Checkpointed intermediates are deleted once no DataFrame refers to them.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
