@@ -10,8 +10,10 @@ Output schemas (counts BIGINT, dates DATE, money DOUBLE):
 Money is summed as DECIMAL and cast to DOUBLE only at the end.  The group
 count is bounded by construction (≤16 months × 4 modules or 7 plans), so the
 final ORDER BY sorts a handful of rows; the distinct counts are planned by
-Spark as partial dedupe on (group, client) → shuffle → count, which spreads a
-hot client across map tasks before anything is shuffled.
+Spark as partial dedupe on (group, client) → shuffle → count, which collapses
+a hot client within each map task before anything is shuffled.  The grouped
+datasets read the per-key net amounts (``net_lost_per_key``), the detail the
+net lines (``net_lost``).
 """
 
 from __future__ import annotations
