@@ -31,3 +31,28 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["month", "module", "lost_clients", "lost_amount"]
     assert df.count() == 59  # FIXTURES §3, sf0.001
+
+
+def test_all_keys_without_aqe_or_broadcast(spark, con):
+    """Same results with AQE off, 3 shuffle partitions and no automatic broadcast."""
+    from attrition.operators.joins import MAX_ROWS_CONF
+
+    off = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "3",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        MAX_ROWS_CONF: "0",
+    }
+    before = {k: spark.conf.get(k, None) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        bad = [
+            key
+            for key in KEYS
+            if not compare(spark, con, key, SMALL, E.queries()[key], E.oracle_sql()[key]).get("match")
+        ]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert not bad, bad
