@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from attrition.functions import dates, rules
 from attrition.functions.dates import Window
-from attrition.operators.joins import broadcast_if_counted_small, broadcast_if_small
+from attrition.operators.joins import broadcast_if_counted_small, fits_broadcast
 from attrition.operators.latest import latest_per_key
 
 KEY = ["client_id", "product", "month"]
@@ -88,12 +88,16 @@ def open_cancelled(
     cancelled = clients.filter(
         F.col("cancel_date").isNotNull() & window.contains("cancel_date")
     ).select("client_id", F.col("cancel_date").alias("ended_on"))
+    # The raw slice's count bounds the de-duplicated one: one check serves both.
+    small = fits_broadcast(cancelled)
     if distinct_clients:
         cancelled = cancelled.distinct()
+    if small:
+        cancelled = F.broadcast(cancelled)
     lines = contracts.filter(F.col("end_date").isNull() & _keep(base_plan_only)).select(
         "client_id", "product", "start_date", "amount"
     )
-    return lines.join(broadcast_if_small(cancelled), "client_id", "inner").select(
+    return lines.join(cancelled, "client_id", "inner").select(
         "client_id", "product", "start_date", "ended_on", "amount"
     )
 

@@ -23,12 +23,17 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(value) if value else DEFAULT_MAX_ROWS
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``."""
+def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
+    """True when ``df`` has at most the broadcast row limit."""
     limit = broadcast_limit(df) if max_rows is None else max_rows
     # A plain count is a partial aggregate per task; limit(n).count() would
     # instead gather up to n rows from every partition into one task.
-    return F.broadcast(df) if df.count() <= limit else df
+    return df.count() <= limit
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
 def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
