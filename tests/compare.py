@@ -91,7 +91,9 @@ def main(argv):
     import __spark_entry__ as E
     from attrition.session import build_session
 
-    spark = build_session("local[8]", shuffle_partitions=8)
+    spark = build_session(
+        "local[8]", shuffle_partitions=8, extra={"spark.ui.showConsoleProgress": "false"}
+    )
     con = duck_connect(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0
