@@ -30,6 +30,8 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--format", default="parquet", help="reader format, or 'table' for catalog tables")
     p.add_argument("--as-of", type=date.fromisoformat, default=None)
     p.add_argument("--window-months", type=int, default=15)
+    p.add_argument("--n-months", type=int, default=15, help="report period: 3, 6, 12, 15 or 0 (all)")
+    p.add_argument("--frames", action="store_true", help="also write every report frame")
     p.add_argument("--master", default=None)
     return p.parse_args(argv)
 
@@ -40,8 +42,13 @@ def main(argv=None) -> dict[str, str]:
     as_of = args.as_of or datetime.now(timezone.utc).date()
     contracts = scan_contracts(spark, args.contracts, args.format)
     clients = scan_clients(spark, args.clients, args.format)
-    page = LossPage(contracts, clients, as_of, window_months=args.window_months)
-    return page.write(args.out)
+    page = LossPage(
+        contracts, clients, as_of, n_months=args.n_months, window_months=args.window_months
+    )
+    written = page.write(args.out)
+    if args.frames:
+        written.update(page.write_frames(f"{args.out.rstrip('/')}/frames"))
+    return written
 
 
 if __name__ == "__main__":

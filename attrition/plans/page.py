@@ -132,3 +132,10 @@ class LossPage:
             "active_by_plan_month": self.active(),
         }
         return {name: write_dataset(df, f"{path.rstrip('/')}/{name}") for name, df in out.items()}
+
+    def write_frames(self, path: str) -> dict[str, str]:
+        """Write every report frame (each at most a few hundred rows except the detail) under ``path``."""
+        return {
+            name: write_dataset(df, f"{path.rstrip('/')}/{name}", partition_by=None)
+            for name, df in self.frames().items()
+        }

@@ -171,8 +171,14 @@ def test_batch_entry_point(spark, small, tmp_path):
         "--clients", str(tmp_path / "clients"),
         "--out", str(tmp_path / "report"),
         "--as-of", "2001-06-15",
+        "--frames",
     ])
-    assert set(paths) == {"lost_by_module_month", "lost_by_plan_month", "lost_detail", "active_by_plan_month"}
+    datasets_written = {"lost_by_module_month", "lost_by_plan_month", "lost_detail", "active_by_plan_month"}
+    assert datasets_written < set(paths) and "plan_strip" in paths
+    strip = spark.read.parquet(paths["plan_strip"])
+    assert rows(strip, "plan", "loss_pct_text") == rows(
+        catalog.QUERIES["plan_strip"](spark, SMALL), "plan", "loss_pct_text"
+    )
     back = spark.read.parquet(paths["active_by_plan_month"])
     expected = catalog.QUERIES["active_by_plan_month"](spark, SMALL)
     cols = sorted(expected.columns)
