@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, ByteType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from attrition.session import work_dir
 
@@ -20,6 +21,7 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, np.ndarray] = {}
+_TYPES = {"int": IntegerType(), "long": LongType(), "double": DoubleType(), "string": StringType(), "binary": BinaryType(), "array<tinyint>": ArrayType(ByteType())}
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -108,3 +110,8 @@ def shingle_hashes(hashes: np.ndarray, k: int, short: bool = True) -> np.ndarray
 def signed(x: np.ndarray) -> np.ndarray:
     """The same bits as Spark's signed long."""
     return x.view(np.int64)
+
+
+def plus(schema: StructType, **kinds: str) -> StructType:
+    """``schema`` with further columns of the given types."""
+    return StructType([*schema.fields, *(StructField(n, _TYPES[k]) for n, k in kinds.items())])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attrition.llm import part_enum
+from attrition.llm import line_dedup, packing, part_enum, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -23,11 +25,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by compression distance."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op3_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without repeats of lines that stand on many sites."""
+    clean = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return clean.select("doc_id", "text", "n_lines", "n_removed")
+
+
+@register("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two lengths of every document."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.digests(pieces)
+
+
+@register("op5_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen runs of the documents along a Hilbert curve."""
+    return sharding.document_shards(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @register("op7_ngram_jaccard_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked at 85 % Jaccard of four-word shingles."""
     return part_enum.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+LINE_DEDUP_SQL = f"""
+WITH cut AS (
+  SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents
+), one AS (
+  SELECT doc_id, source, unnest(parts) AS raw, unnest(range(len(parts))) AS place FROM cut
+), line AS (
+  SELECT doc_id, source, place, trim(raw) AS t FROM one WHERE length(trim(raw)) >= {line_dedup.MIN_CHARS}
+), boiler AS (
+  SELECT t, arg_min(doc_id, (doc_id, place)) AS d0, arg_min(place, (doc_id, place)) AS a0
+  FROM line GROUP BY t HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
+), gone AS (
+  SELECT DISTINCT l.doc_id, l.place FROM line l JOIN boiler b USING (t) WHERE (l.doc_id, l.place) <> (b.d0, b.a0)
+), per AS (
+  SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id
+)
+SELECT c.doc_id,
+       array_to_string(list_transform(list_filter(range(len(c.parts)), lambda i: NOT list_contains(coalesce(p.places, []), i)),
+                                      lambda i: c.parts[i + 1]), chr(10)) AS text,
+       CAST(len(c.parts) AS INT) AS n_lines,
+       CAST(len(coalesce(p.places, [])) AS INT) AS n_removed
+FROM cut c LEFT JOIN per p USING (doc_id)
+"""
+
+
 def oracle_texts() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": LINE_DEDUP_SQL}
