@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm import line_dedup, packing, part_enum, sharding, toxicity
+from attrition.llm import cap_filters, decontaminate, line_dedup, packing, part_enum, secret_scan, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op1_url_filter")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 @register("op2_toxicity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by compression distance."""
@@ -65,6 +71,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_enum.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@register("op8_embedding_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of embeddings linked at a cosine of 0.9."""
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op9_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that documents contain."""
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(docs))
+
+
 LINE_DEDUP_SQL = f"""
 WITH cut AS (
   SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents
@@ -89,5 +114,27 @@ FROM cut c LEFT JOIN per p USING (doc_id)
 """
 
 
+CONTAINED_SQL = f"""
+WITH word AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') FROM benchmark
+), shingle AS (
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - {decontaminate.WORDS - 2}),
+           lambda p: array_to_string(w[p:p + {decontaminate.WORDS - 1}], ' '))) AS s
+  FROM word WHERE len(w) >= {decontaminate.WORDS}
+), size AS (
+  SELECT id AS item_id, count(*) AS n_item FROM shingle WHERE kind = 'i' GROUP BY id
+), met AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared
+  FROM shingle d JOIN shingle i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL
+)
+SELECT doc_id, item_id, CAST(n_shared AS BIGINT) AS n_shared, CAST(n_item AS BIGINT) AS n_item
+FROM met JOIN size USING (item_id) WHERE 100 * n_shared >= {decontaminate.PERCENT} * n_item
+"""
+
+
 def oracle_texts() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL}
+    return {"op3_line_dedup": LINE_DEDUP_SQL, "op9_decontamination": CONTAINED_SQL}
