@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrition.llm import cap_filters, decontaminate, line_dedup, packing, part_enum, secret_scan, sharding, toxicity, url_filter
+from attrition.llm import cap_filters, decontaminate, katz, line_dedup, packing, part_enum, secret_scan, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,6 +65,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op6_lm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz back-off scores of every document."""
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 @register("op7_ngram_jaccard_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked at 85 % Jaccard of four-word shingles."""
@@ -138,3 +144,11 @@ FROM met JOIN size USING (item_id) WHERE 100 * n_shared >= {decontaminate.PERCEN
 
 def oracle_texts() -> dict[str, str]:
     return {"op3_line_dedup": LINE_DEDUP_SQL, "op9_decontamination": CONTAINED_SQL}
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline`` on all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
