@@ -52,6 +52,11 @@ def signed(v: Column | str, decimals: int, suffix: str = "") -> Column:
     return F.concat(sign, text, F.lit(suffix))
 
 
+def plain_amount(v: Column | str) -> Column:
+    """``R$ 1234.56``: two decimals, no grouping; NULL in, NULL out."""
+    return F.concat(F.lit("R$ "), F.call_function("format_number", _col(v).cast("double"), F.lit("0.00")))
+
+
 def percent_1(v: Column | str) -> Column:
     """``12.3%`` (one decimal, no grouping); NULL in, NULL out."""
     return F.concat(F.call_function("format_number", _col(v).cast("double"), F.lit("0.0")), F.lit("%"))

@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from attrition.functions.dates import Window, month_bucket
 
 
+#: Months a mask holds (``2^(hi+1) − 2^lo`` must stay within a signed long).
+BLOCK = 60
+
+
 def covered_months(df: DataFrame, window: Window) -> tuple:
     s, e = F.col("start_date"), F.col("end_date")
     cal_lo, cal_hi = F.lit(window.lo), F.lit(window.month0)
@@ -65,7 +69,7 @@ def active_counts(
     .agg(count_distinct(entity))``, computed without exploding every line:
 
     1. each line becomes a bit mask of the calendar months it covers
-       (bit i = month ``window.lo + i``);
+       (bit i = month ``window.lo + i`` of the mask's block);
     2. masks are OR-ed per (entity, group) — a fixed-width hash aggregate
        that Spark pre-aggregates map-side, so an entity holding a large share
        of the lines is collapsed before the shuffle;
@@ -74,37 +78,35 @@ def active_counts(
 
     An entity counts once per month because it occurs once per (entity,
     group).  NULL entities form one group whose months still appear, with a
-    count of 0 (``count`` skips NULL), as ``count(distinct)`` would give.
-    Falls back to the explode path when the calendar exceeds 62 months (the
-    mask ``2^(hi+1) − 2^lo`` must stay within a signed 64-bit long).
+    count of 0 (``count`` skips NULL), as ``count(distinct)`` would give.  A
+    mask holds ``BLOCK`` months; a line that reaches into several blocks of the
+    calendar has a mask for each.
     """
-    n_months = window.months + 1
-    if n_months > 62:
-        return (
-            active_intervals(contracts, window, keep=[entity, group])
-            .groupBy("month", group)
-            .agg(F.count_distinct(entity).alias("active"))
-        )
     s, e = F.col("start_date"), F.col("end_date")
     touches = s.isNotNull() & (s <= F.lit(window.month0)) & (e.isNull() | (e > F.lit(window.lo)))
     lo, hi = covered_months(contracts, window)
-    i_lo = _month_index(F.col("_lo"), window.lo)
-    i_hi = _month_index(F.col("_hi"), window.lo)
-    one = F.lit(1).cast("long")
-    mask = F.call_function("shiftleft", one, i_hi + 1) - F.call_function("shiftleft", one, i_lo)
-    per_entity = (
+    first, last = _month_index(F.col("_lo"), window.lo), _month_index(F.col("_hi"), window.lo)
+    spans = (
         contracts.filter(touches)
         .select(entity, group, lo.alias("_lo"), hi.alias("_hi"))
         .filter(F.col("_lo") <= F.col("_hi"))
-        .select(entity, group, mask.alias("_mask"))
-        .groupBy(entity, group)
+        .select(entity, group, first.alias("_first"), last.alias("_last"))
+    )
+    blocks = F.sequence(F.floor(F.col("_first") / BLOCK).cast("int"), F.floor(F.col("_last") / BLOCK).cast("int"))
+    cut = spans.select(entity, group, "_first", "_last", F.explode(blocks).alias("_block"))
+    low = F.greatest(F.col("_first") - F.col("_block") * BLOCK, F.lit(0))
+    high = F.least(F.col("_last") - F.col("_block") * BLOCK, F.lit(BLOCK - 1))
+    one = F.lit(1).cast("long")
+    mask = F.call_function("shiftleft", one, high + 1) - F.call_function("shiftleft", one, low)
+    per_entity = (
+        cut.select(entity, group, "_block", mask.alias("_mask"))
+        .groupBy(entity, group, "_block")
         .agg(F.bit_or("_mask").alias("_mask"))
     )
     bits = F.filter(
-        F.sequence(F.lit(0), F.lit(n_months - 1)),
+        F.sequence(F.lit(0), F.lit(BLOCK - 1)),
         lambda i: F.call_function("shiftright", F.col("_mask"), i).bitwiseAND(F.lit(1)) == 1,
     )
-    months = per_entity.select(entity, group, F.explode(bits).alias("_i"))
-    return months.groupBy(F.add_months(F.lit(window.lo), F.col("_i")).alias("month"), group).agg(
-        F.count(entity).alias("active")
-    )
+    months = per_entity.select(entity, group, "_block", F.explode(bits).alias("_i"))
+    month = F.add_months(F.lit(window.lo), F.col("_block") * BLOCK + F.col("_i"))
+    return months.groupBy(month.alias("month"), group).agg(F.count(entity).alias("active"))

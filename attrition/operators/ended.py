@@ -15,30 +15,22 @@ one month-end renewal removes every ended line of that key.  Renewal evidence
 is looked up in the *unfiltered* contracts (any row, whatever its end date,
 amount or product class).
 
-Plans at scale.  The restart evidence is reduced to *distinct keys* with a
-map-side partial aggregate before it is shuffled, keyed by ``month = start
-month − 1`` so that it hashes the same columns as the ended side.  Then:
-
-* ``net_lost`` (line level, for the detail): the renewal keys are computed up
-  front, checkpointed and counted; a small key set is broadcast, so the ended
-  lines are never shuffled for the anti join; a large one is joined by
-  sort-merge, where AQE splits a skewed partition of the lines;
-* ``net_lost_per_key`` (for the grouped datasets): the lines are aggregated
-  per key first (one partial aggregate: a hot key collapses map-side), then
-  one conditional anti join against the restart keys, both sides already
-  partitioned on the key.
+Plans at scale.  Both forms rest on one frame, ``key_totals``: a single scan of
+the contracts emits a tagged row for a line's end and one for its start, and one
+aggregation per ``(client_id, product, month)`` (partial first: a hot key
+collapses in each map task) holds the key's amount, whether a line of it ended
+on a month end, and whether it restarted.  The grouped datasets read the keys
+that are not renewed from it, without any join; the detail drops its lines by
+the renewed keys in an anti join that AQE may broadcast or split.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrition.functions import dates, rules
 from attrition.functions.dates import Window
-from attrition.operators.joins import broadcast_if_counted_small, fits_broadcast
 from attrition.operators.latest import latest_per_key
 
 KEY = ["client_id", "product", "month"]
@@ -77,10 +69,9 @@ def open_cancelled(
     """Open lines of clients cancelled in the window (inner join, before de-duplication).
 
     The line takes the client's cancellation date as its end.  Duplicate
-    client rows fan out here; ``latest_per_key`` collapses them.  The
-    cancelled clients (a filtered slice of the dimension) are broadcast when
-    their counted size allows, so the open lines are never shuffled for this
-    join; otherwise it is a shuffle join.  ``distinct_clients`` drops exact
+    client rows fan out here; ``latest_per_key`` collapses them.  Spark
+    broadcasts the cancelled clients (a filtered slice of the dimension) when
+    their measured bytes allow.  ``distinct_clients`` drops exact
     copies of a (client, cancellation) pair first — harmless before the
     latest-line rule (a maximum), and it stops a client listed many times
     from multiplying its lines.
@@ -88,12 +79,8 @@ def open_cancelled(
     cancelled = clients.filter(
         F.col("cancel_date").isNotNull() & window.contains("cancel_date")
     ).select("client_id", F.col("cancel_date").alias("ended_on"))
-    # The raw slice's count bounds the de-duplicated one: one check serves both.
-    small = fits_broadcast(cancelled)
     if distinct_clients:
         cancelled = cancelled.distinct()
-    if small:
-        cancelled = F.broadcast(cancelled)
     lines = contracts.filter(F.col("end_date").isNull() & _keep(base_plan_only)).select(
         "client_id", "product", "start_date", "amount"
     )
@@ -162,21 +149,58 @@ def drop_renewed(ended: DataFrame, keys: DataFrame) -> DataFrame:
     return ended.join(keys, KEY, "left_anti")
 
 
-def net_lost(
+def key_totals(
     contracts: DataFrame, clients: DataFrame, window: Window, base_plan_only: bool = False
 ) -> DataFrame:
-    """Ended lines without the renewed ones (line level: the detail dataset).
+    """``client_id, product, month, amount, ended, month_end, restarted`` per key.
 
-    The grouped datasets use ``net_lost_per_key`` instead, which needs no
-    up-front job: its lines are pre-aggregated before their one shuffle.
+    ``ended`` counts the key's ended lines; a key of restarts alone has none.
+    Starts count whatever the line's end, amount or class (unfiltered evidence).
     """
-    ended = ended_contracts(contracts, clients, window, base_plan_only)
-    # The keys are computed up front: when they are small the anti join is a
-    # broadcast and the ended lines are never shuffled for it, whereas a
-    # runtime-only (AQE) decision comes after every independent shuffle
-    # stage, including that of the lines, has already started.
-    keys = broadcast_if_counted_small(renewal_keys(ended, contracts, window))
-    return drop_renewed(ended, keys)
+    first = dates.shift_months(window.lo, 1)
+    last = dates.last_of_month(dates.shift_months(window.month0, 1))
+    cancel, end, start = F.col("cancel_date"), F.col("end_date"), F.col("start_date")
+    ended_on = dates.effective_end(cancel, end)
+    closes = end.isNotNull() & (window.contains(cancel) | (cancel.isNull() & window.contains(end))) & _keep(base_plan_only)
+    starts = start.between(F.lit(first), F.lit(last))
+
+    def tag(month: Column, amount: Column, ended: int, month_end: Column, restarted: bool) -> Column:
+        parts = (month, amount, F.lit(ended), month_end, F.lit(restarted))
+        return F.struct(*[c.alias(n) for c, n in zip(parts, ("month", "amount", "ended", "month_end", "restarted"), strict=True)])
+
+    nothing = F.lit(None).cast(contracts.schema["amount"].dataType)
+    end_row = F.when(closes, tag(dates.month_bucket(ended_on), F.col("amount"), 1, dates.is_month_end(ended_on), False))
+    start_row = F.when(starts, tag(F.add_months(dates.month_bucket(start), -1), nothing, 0, F.lit(False), True))
+    tagged = contracts.filter(closes | starts).select("client_id", "product", F.explode(F.array_compact(F.array(end_row, start_row))).alias("t"))
+    lines = tagged.select("client_id", "product", "t.*")
+    latest = latest_open_cancelled(contracts, clients, window, base_plan_only)
+    open_lines = latest.select(
+        "client_id",
+        "product",
+        tag(dates.month_bucket("ended_on"), F.col("amount"), 1, dates.is_month_end("ended_on"), False).alias("t"),
+    ).select("client_id", "product", "t.*")
+    return (
+        lines.unionByName(open_lines)
+        .groupBy(*KEY)
+        .agg(
+            F.sum("amount").alias("amount"),
+            F.sum("ended").alias("ended"),
+            F.max("month_end").alias("month_end"),
+            F.max("restarted").alias("restarted"),
+        )
+    )
+
+
+#: A key with a NULL part matches no restart, so it is never renewed.
+RENEWED = "month_end AND restarted AND client_id IS NOT NULL AND product IS NOT NULL"
+
+
+def net_lost(
+    contracts: DataFrame, clients: DataFrame, window: Window, base_plan_only: bool = False
+) -> DataFrame:
+    """Ended lines without the renewed ones (line level: the detail dataset)."""
+    renewed = key_totals(contracts, clients, window, base_plan_only).filter(RENEWED).select(*KEY)
+    return drop_renewed(ended_contracts(contracts, clients, window, base_plan_only), renewed)
 
 
 def net_lost_per_key(
@@ -184,25 +208,9 @@ def net_lost_per_key(
 ) -> DataFrame:
     """Net lost amount per ``(client_id, product, month)`` (input of the grouped datasets).
 
-    Equal to ``net_lost(...).groupBy(KEY).agg(sum(amount))``, but the lines
-    are aggregated *before* the renewal test: one partial aggregate yields
-    each key's amount and whether any of its lines ended on a month end, so a
-    key holding many lines is collapsed map-side, the month-end candidates
-    need no separate pass, and the anti join runs between two frames already
-    hash-partitioned on the key (no further shuffle of the lines), reading
-    the aggregate once.  Module and plan are functions of ``product``, so
-    per-(month, module/plan) distinct clients and sums are unchanged by the
-    pre-aggregation.
+    Equal to ``net_lost(...).groupBy(KEY).agg(sum(amount))``.  Module and plan
+    are functions of ``product``, so per-(month, module/plan) distinct clients
+    and sums are unchanged by the pre-aggregation.
     """
-    ended = ended_contracts(contracts, clients, window, base_plan_only)
-    per_key = ended.groupBy(*KEY).agg(
-        F.sum("amount").alias("amount"),
-        F.max(dates.is_month_end("ended_on")).alias("_month_end"),
-    )
-    p, r = per_key.alias("p"), restarted_keys(contracts, window).alias("r")
-    # One conditional anti join: a key is dropped only if it has a month-end
-    # line *and* restarted; keys without a month-end line never match.
-    same_key = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in KEY]
-    renewed = reduce(lambda a, b: a & b, same_key) & F.col("p._month_end")
-    return p.join(r, renewed, "left_anti").select(*[F.col(f"p.{k}") for k in KEY], F.col("p.amount"))
-
+    totals = key_totals(contracts, clients, window, base_plan_only)
+    return totals.filter(f"ended > 0 AND NOT coalesce({RENEWED}, false)").select(*KEY, "amount")

@@ -40,7 +40,7 @@ OPERATORS: dict[str, Operator] = {}
 
 def _on_test_tables(op: Operator) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        contracts, clients = fixtures.load(spark, sf_dir)
+        contracts, clients = fixtures.derive(spark, sf_dir)
         return op(spark, contracts, clients)
 
     run.__name__ = op.__name__
@@ -282,6 +282,20 @@ def q_last_n_months_all(spark, contracts, clients):
     return _by_module(contracts, clients, n_months=0, exact=False)
 
 
+@register("last_n_months_text")
+def q_last_n_months_text(spark, contracts, clients):
+    """The period filter on months as text, some of which are no dates."""
+    text = F.when(F.col("lost_clients") % 5 == 0, "oops").otherwise(F.col("month").cast("string"))
+    d1 = datasets.lost_by_module_month(contracts, clients, WINDOW).withColumn("month", text)
+    return reports.last_n_months(d1, AS_OF, N_MONTHS)
+
+
+@register("kpi_summary_empty")
+def q_kpi_summary_empty(spark, contracts, clients):
+    """The key figures of a period without losses (it starts a century after the last)."""
+    return reports.kpi_summary(_by_module(contracts, clients, n_months=-1200))
+
+
 @register("module_members")
 def q_module_members(spark, contracts, clients):
     return reports.module_members(_by_module(contracts, clients, exact=False))

@@ -25,7 +25,6 @@ from attrition.functions import rules
 from attrition.functions.dates import Window
 from attrition.operators.active import active_counts
 from attrition.operators.ended import net_lost, net_lost_per_key
-from attrition.operators.joins import broadcast_if_small
 from attrition.plans.ordering import order_bounded
 
 
@@ -68,14 +67,13 @@ def lost_detail(
     Left join on ``client_id``: a client listed twice in ``clients`` shows
     its lines twice, as the source does.  Sorted by month, then amount, both
     descending with NULLs last (set ``sort=False`` to skip the global sort).
-    The name lookup is broadcast only when the dimension's counted size allows.
     """
     return with_names(net_lost(contracts, clients, window), clients, sort)
 
 
 def with_names(net: DataFrame, clients: DataFrame, sort: bool = True) -> DataFrame:
     """Label net lost lines (module, plan, client name) for the detail dataset."""
-    names = broadcast_if_small(clients.select("client_id", "client_name"))
+    names = clients.select("client_id", "client_name")
     out = net.join(names, "client_id", "left").select(
         "month",
         rules.module_display_of("product").alias("module"),
@@ -93,20 +91,28 @@ def sort_detail(detail: DataFrame) -> DataFrame:
 
     Client, product and name only break ties: they fix the order of rows that
     differ and let the range partitioner spread a month with many equal
-    amounts.  Exact copies of a line cannot be split by any key, so a seeded
-    random salt comes last: copies (indistinguishable, so their mutual order
-    is invisible) land in several partitions instead of one task.
+    amounts.  Exact copies of a row are counted first and numbered, and the
+    number comes last: copies land in several partitions instead of one task,
+    and since it depends on the rows alone, a task that runs again sends every
+    row where it went before.
     """
-    salted = detail.withColumn("_salt", F.rand(seed=17))
-    ordered = salted.orderBy(
+    columns = detail.columns
+    counted = detail.groupBy(*columns).agg(F.count("*").alias("_copies"))
+    numbered = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    ordered = numbered.orderBy(
         F.col("month").desc_nulls_last(),
         F.col("lost_amount").desc_nulls_last(),
         F.col("client_id").asc_nulls_last(),
         F.col("product").asc_nulls_last(),
         F.col("client_name").asc_nulls_last(),
-        "_salt",
+        "_copy",
     )
-    return ordered.drop("_salt")
+    return ordered.select(*columns)
+
+
+def sort_within_months(detail: DataFrame) -> DataFrame:
+    """The detail in order within each task's rows, for files laid out by month."""
+    return detail.sortWithinPartitions(F.col("month").asc(), F.col("lost_amount").desc_nulls_last())
 
 
 def active_by_plan_month(contracts: DataFrame, window: Window) -> DataFrame:

@@ -1,11 +1,10 @@
 """Global order for frames that are small by construction.
 
 The aggregated datasets and report frames have at most 16 months × 7 plans
-rows whatever the input size.  For them a global ``orderBy`` (range
-partitioning: a sampling job plus a shuffle) costs more than the data: the
-rows are gathered into the single partition they already nearly fit in
-(``coalesce`` is narrow: no shuffle) and sorted there.  Frames whose size grows
-with the input (the loss detail) keep the distributed ``orderBy``.
+rows whatever the input size.  ``repartition(1)`` moves only those result rows,
+after the last aggregation, so the aggregation itself stays parallel; a
+range-partitioned ``orderBy`` would add a sampling job.  Frames whose size grows
+with the input (the loss detail) use the distributed ``orderBy``.
 """
 
 from __future__ import annotations
@@ -15,4 +14,4 @@ from pyspark.sql import Column, DataFrame
 
 def order_bounded(df: DataFrame, *cols: str | Column) -> DataFrame:
     """``df.orderBy(*cols)`` for a frame with a small, fixed upper bound on rows."""
-    return df.coalesce(1).sortWithinPartitions(*cols)
+    return df.repartition(1).sortWithinPartitions(*cols)

@@ -4,18 +4,20 @@ The dashboard needs D1 (by module), D2 (by plan), D3 (detail), D4 (active
 base) and the frames built on them.  D1–D3 all start from the same net lost
 lines; D2 only adds the add-on exclusion, which depends on the product alone
 and therefore commutes with the latest-line rule and the renewal test.  So
-the net lines are computed once *without* the exclusion, checkpointed to the
-shared work folder (cutting lineage: a lost executor re-reads the files
-instead of recomputing the pipeline), and D1/D2/D3 are read from there.
+the net lines are computed once *without* the exclusion, written to the
+shared work folder as Parquet by month, and D1/D2/D3 are read from there.
 
 The written copy replaces the source's one-hour result cache: each
-``LossPage`` holds its own; rebuild the page to refresh.
+``LossPage`` holds its own in ``folder``, which the caller deletes; rebuild the
+page to refresh.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +30,14 @@ from attrition.session import work_dir
 from attrition.sources.sinks import write_dataset
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Compute ``df`` once into the shared work folder and read it from there.
+def write_table(df: DataFrame, folder: str, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet under ``folder`` and read from there.
 
-    A reliable checkpoint: lineage is cut (a lost executor re-reads the files),
-    the plan's output partitioning is kept for downstream operators, and the
-    files are removed by Spark's cleaner once the frame is no longer used.
-    ``name`` only labels the call site.
+    A lost executor re-reads files instead of recomputing the pipeline, and
+    readers prune columns and, with ``by``, partitions.
     """
-    work_dir(df.sparkSession)  # makes sure a checkpoint folder is set
-    return df.checkpoint(eager=True)
+    path = write_dataset(df, f"{folder}/{name}", partition_by=by)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 @dataclass
@@ -51,6 +51,11 @@ class LossPage:
     _net: DataFrame | None = field(default=None, init=False, repr=False)
     _small: dict = field(default_factory=dict, init=False, repr=False)
 
+    @cached_property
+    def folder(self) -> str:
+        """Where this page's written frames are."""
+        return f"{work_dir(self.spark)}/attrition-page/{uuid.uuid4().hex}"
+
     @property
     def window(self) -> Window:
         return Window(self.as_of, self.window_months)
@@ -62,14 +67,14 @@ class LossPage:
     def net(self) -> DataFrame:
         if self._net is None:
             net = net_lost(self.contracts, self.clients, self.window)
-            self._net = write_table(net, "net-lost") if self.materialize else net
+            self._net = write_table(net, self.folder, "net-lost", "month") if self.materialize else net
         return self._net
 
     def _shared(self, name: str, build) -> DataFrame:
         """A frame several report frames read: computed once (≤ 16 × 7 rows) and written."""
         if name not in self._small:
             df = build()
-            self._small[name] = write_table(df, name) if self.materialize else df
+            self._small[name] = write_table(df, self.folder, name) if self.materialize else df
         return self._small[name]
 
     # datasets -------------------------------------------------------------
@@ -128,7 +133,7 @@ class LossPage:
         out = {
             "lost_by_module_month": double(self.by_module()),
             "lost_by_plan_month": double(self.by_plan()),
-            "lost_detail": self.detail(),
+            "lost_detail": datasets.sort_within_months(datasets.with_names(self.net(), self.clients, sort=False)),
             "active_by_plan_month": self.active(),
         }
         return {name: write_dataset(df, f"{path.rstrip('/')}/{name}") for name, df in out.items()}

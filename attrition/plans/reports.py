@@ -26,6 +26,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from attrition.functions import formats, rules
 from attrition.functions.dates import first_of_month, months_after_cutoff
@@ -60,8 +61,12 @@ def series_ord(code: Column | str, labels: list[tuple[str, str]]) -> Column:
 
 
 def last_n_months(df: DataFrame, as_of: date, n_months: int, col: str = "month") -> DataFrame:
-    """Keep rows with ``col >= as_of − n months`` (day precision); 0 keeps all."""
-    return df.filter(months_after_cutoff(col, as_of, n_months))
+    """Keep rows with ``col >= as_of − n months`` (day precision); 0 keeps all.
+
+    A text column is parsed; text that is no date drops its row (0 still keeps all).
+    """
+    text = isinstance(df.schema[col].dataType, StringType)
+    return df.filter(months_after_cutoff(col, as_of, n_months, lenient=text))
 
 
 def module_members(by_module: DataFrame) -> DataFrame:
@@ -299,10 +304,13 @@ def detail_projection(detail: DataFrame) -> DataFrame:
 
 
 def detail_table(detail: DataFrame, as_of: date, n_months: int) -> DataFrame:
-    """Detail for the selected period, in detail order, with the month as a label.
+    """Detail for the selected period, in detail order, with month and amount as shown too.
 
-    The period filter runs before the (distributed) sort, so only kept rows
+    ``month`` stays a date, so a stored copy can be sorted again.  The period filter runs before the (distributed) sort, so only kept rows
     are sorted; ``detail`` may come sorted or not.
     """
     kept = sort_detail(last_n_months(detail, as_of, n_months))
-    return detail_projection(kept).withColumn("month", formats.month_label("month"))
+    shown = detail_projection(kept)
+    return shown.select(
+        "*", formats.month_label("month").alias("month_label"), formats.plain_amount("lost_amount").alias("amount_text")
+    )

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from attrition.functions import rules
-from attrition.functions.dates import Window
+from attrition.functions.dates import Window, last_of_month, shift_months
 
 
 def _q(s: str) -> str:
@@ -35,48 +35,47 @@ def run_sql(spark: SparkSession, text: str, args: dict | None = None, **frames:
 
 
 LOST_BY_MODULE_MONTH = f"""
-WITH closed AS (
-  SELECT client_id, product, coalesce(cancel_date, end_date) AS ended_on, amount
+WITH tagged AS (
+  SELECT client_id, product, inline(array_compact(array(
+    CASE WHEN end_date IS NOT NULL
+          AND (cancel_date BETWEEN :lo AND :hi OR (cancel_date IS NULL AND end_date BETWEEN :lo AND :hi))
+          AND {_not_like_all('product', rules.ONE_OFF_PATTERNS)}
+         THEN named_struct('month', trunc(coalesce(cancel_date, end_date), 'MM'), 'amount', amount, 'ended', 1,
+                           'month_end', coalesce(cancel_date, end_date) = last_day(coalesce(cancel_date, end_date)),
+                           'restarted', false) END,
+    CASE WHEN start_date BETWEEN :next AND :until
+         THEN named_struct('month', add_months(trunc(start_date, 'MM'), -1), 'amount', CAST(NULL AS DECIMAL(29, 9)),
+                           'ended', 0, 'month_end', false, 'restarted', true) END)))
   FROM {{contracts}}
-  WHERE end_date IS NOT NULL
-    AND coalesce(cancel_date, end_date) BETWEEN :lo AND :hi
-    AND {_not_like_all('product', rules.ONE_OFF_PATTERNS)}
+  WHERE (end_date IS NOT NULL
+         AND (cancel_date BETWEEN :lo AND :hi OR (cancel_date IS NULL AND end_date BETWEEN :lo AND :hi)))
+     OR start_date BETWEEN :next AND :until
 ),
 open_latest AS (
-  SELECT client_id, product, ended_on, amount FROM (
-    SELECT m.client_id, m.product, c.cancel_date AS ended_on, m.amount,
-           row_number() OVER (PARTITION BY m.client_id, m.product
-                              ORDER BY m.start_date DESC NULLS LAST, m.amount DESC NULLS LAST,
-                                       c.cancel_date DESC NULLS LAST) AS rn
-    FROM {{contracts}} m JOIN {{clients}} c ON m.client_id = c.client_id
-    WHERE m.end_date IS NULL
-      AND c.cancel_date BETWEEN :lo AND :hi
-      AND {_not_like_all('m.product', rules.ONE_OFF_PATTERNS)}
-  ) WHERE rn = 1
+  SELECT m.client_id, m.product, max(struct(m.start_date, m.amount, c.cancel_date)) AS top
+  FROM {{contracts}} m
+  JOIN (SELECT DISTINCT client_id, cancel_date FROM {{clients}} WHERE cancel_date BETWEEN :lo AND :hi) c
+    ON m.client_id = c.client_id
+  WHERE m.end_date IS NULL AND {_not_like_all('m.product', rules.ONE_OFF_PATTERNS)}
+  GROUP BY m.client_id, m.product
 ),
-ended AS (
-  SELECT client_id, product, ended_on, trunc(ended_on, 'MM') AS month, amount FROM closed
-  UNION ALL
-  SELECT client_id, product, ended_on, trunc(ended_on, 'MM') AS month, amount FROM open_latest
-),
-restarted AS (
-  SELECT DISTINCT client_id, product, add_months(trunc(start_date, 'MM'), -1) AS month
-  FROM {{contracts}} WHERE start_date IS NOT NULL
-),
-renewed AS (
-  SELECT DISTINCT client_id, product, month FROM ended
-  WHERE ended_on = last_day(ended_on)
-    AND (client_id, product, month) IN (SELECT client_id, product, month FROM restarted)
-),
-net AS (
-  SELECT e.* FROM ended e LEFT ANTI JOIN renewed r
-    ON e.client_id = r.client_id AND e.product = r.product AND e.month = r.month
+per_key AS (
+  SELECT client_id, product, month, sum(amount) AS amount, sum(ended) AS ended,
+         max(month_end) AS month_end, max(restarted) AS restarted
+  FROM (SELECT * FROM tagged
+        UNION ALL
+        SELECT client_id, product, trunc(top.cancel_date, 'MM'), top.amount, 1,
+               top.cancel_date = last_day(top.cancel_date), false
+        FROM open_latest)
+  GROUP BY client_id, product, month
 )
 SELECT month,
        lower({_case('product', rules.MODULE_RULES, rules.MODULE_DEFAULT)}) AS module,
        count(DISTINCT client_id) AS lost_clients,
        CAST(sum(amount) AS DOUBLE) AS lost_amount
-FROM net
+FROM per_key
+WHERE ended > 0
+  AND NOT coalesce(month_end AND restarted AND client_id IS NOT NULL AND product IS NOT NULL, false)
 GROUP BY 1, 2
 ORDER BY 1, 2
 """
@@ -87,7 +86,12 @@ def lost_by_module_month(contracts: DataFrame, clients: DataFrame, window: Windo
     return run_sql(
         contracts.sparkSession,
         LOST_BY_MODULE_MONTH,
-        {"lo": window.lo, "hi": window.hi},
+        {
+            "lo": window.lo,
+            "hi": window.hi,
+            "next": shift_months(window.lo, 1),
+            "until": last_of_month(shift_months(window.month0, 1)),
+        },
         contracts=contracts,
         clients=clients,
     )

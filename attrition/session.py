@@ -52,10 +52,6 @@ def build_session(
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    try:
-        spark.sparkContext.setLogLevel("ERROR")
-    except Exception:  # no SparkContext on a Spark Connect session
-        pass
     return spark
 
 

@@ -10,22 +10,14 @@ expressions, from ``lineitem``, ``orders`` and ``customer``:
               one contract line per line item, with a product picked from
               ``PRODUCTS`` so that every rule branch is populated.
 
-``load`` writes the derived pair once per session into the shared work folder
-(Parquet) and reads it back, so every query downstream gets pushdown and
-pruning on a real table instead of recomputing the lineitem⋈orders join.
+``derive`` is lazy and keeps no copy: every query reads the given tables.
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from attrition.session import work_dir
 from attrition.sources.tables import CLIENTS_SCHEMA, CONTRACTS_SCHEMA, conform
 
 # The product catalogue of the test adapter, by index
@@ -93,62 +85,9 @@ def derive_contracts(lineitem: DataFrame, orders: DataFrame, clients: DataFrame)
     return conform(lines.join(cancel, "client_id", "left"), CONTRACTS_SCHEMA)
 
 
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    for name in ("customer", "orders", "lineitem"):
-        path = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(path)
-            h.update(f"{name}:{st.st_size}:{st.st_mtime_ns}".encode())
-        except OSError:
-            h.update(name.encode())
-    return h.hexdigest()[:16]
-
-
-# (application id, directory) -> the loaded pair; DataFrames are immutable
-# and lazy, so one pair serves every query of the application.
-_SESSION_CACHE: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
-
-
 def derive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lazy derivation straight from the test tables (no write)."""
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     clients = conform(derive_clients(read("customer")), CLIENTS_SCHEMA)
     contracts = derive_contracts(read("lineitem"), read("orders"), clients)
     return contracts, clients
-
-
-def load(spark: SparkSession, sf_dir: str, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``(contracts, clients)`` for a test-data directory.
-
-    With ``materialize`` the pair is written once to the shared work folder
-    (a fresh sub-folder per content fingerprint) and read back as Parquet.
-    """
-    if not materialize:
-        return derive(spark, sf_dir)
-    key = (spark.conf.get("spark.app.id", None) or str(id(spark)), os.path.abspath(sf_dir))
-    cached = _SESSION_CACHE.get(key)
-    if cached is not None:
-        return cached
-    base = f"{work_dir(spark)}/attrition-fixtures/{_fingerprint(sf_dir)}"
-
-    def read_pair(copy: str) -> tuple[DataFrame, DataFrame]:
-        return (
-            conform(spark.read.parquet(f"{copy}/contracts"), CONTRACTS_SCHEMA),
-            conform(spark.read.parquet(f"{copy}/clients"), CLIENTS_SCHEMA),
-        )
-
-    try:
-        pair = read_pair(spark.read.parquet(f"{base}/ready").first()["copy"])
-    except AnalysisException:  # no finished copy yet (or it was removed)
-        # Each writer uses its own folder; "ready" names a finished copy.
-        copy = f"{base}/{uuid.uuid4().hex[:12]}"
-        contracts, clients = derive(spark, sf_dir)
-        clients.write.mode("overwrite").parquet(f"{copy}/clients")
-        contracts.write.mode("overwrite").parquet(f"{copy}/contracts")
-        spark.createDataFrame([(copy,)], "copy string").coalesce(1).write.mode("overwrite").parquet(
-            f"{base}/ready"
-        )
-        pair = read_pair(copy)
-    _SESSION_CACHE[key] = pair
-    return pair

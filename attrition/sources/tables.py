@@ -18,7 +18,7 @@ CONTRACTS_SCHEMA = T.StructType(
         T.StructField("start_date", T.DateType()),
         T.StructField("end_date", T.DateType()),
         T.StructField("cancel_date", T.DateType()),
-        T.StructField("amount", T.DecimalType(18, 2)),
+        T.StructField("amount", T.DecimalType(29, 9)),
     ]
 )
 
@@ -32,8 +32,19 @@ CLIENTS_SCHEMA = T.StructType(
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project and cast to ``schema`` (dates with a strict ``CAST AS DATE``)."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    """Project and cast to ``schema`` (dates with a strict ``CAST AS DATE``).
+
+    A decimal column with more places than the schema's keeps them all: no
+    amount is rounded before it is summed.
+    """
+    return df.select(*[F.col(f.name).cast(_wide(df.schema[f.name].dataType, f.dataType)).alias(f.name) for f in schema.fields])
+
+
+def _wide(source: T.DataType, target: T.DataType) -> T.DataType:
+    both = isinstance(source, T.DecimalType) and isinstance(target, T.DecimalType)
+    if both and source.scale > target.scale:
+        return T.DecimalType(min(38, max(source.precision, 20 + source.scale)), source.scale)
+    return target
 
 
 def scan_contracts(spark: SparkSession, source: str, fmt: str = "parquet") -> DataFrame:
@@ -45,7 +56,3 @@ def scan_contracts(spark: SparkSession, source: str, fmt: str = "parquet") -> Da
 def scan_clients(spark: SparkSession, source: str, fmt: str = "parquet") -> DataFrame:
     df = spark.table(source) if fmt == "table" else spark.read.format(fmt).load(source)
     return conform(df, CLIENTS_SCHEMA)
-
-
-def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)

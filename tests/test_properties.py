@@ -21,7 +21,7 @@ WIN = Window(date(2001, 6, 15), 15)
 
 @pytest.fixture(scope="module")
 def small(spark):
-    return fixtures.load(spark, SMALL)
+    return fixtures.derive(spark, SMALL)
 
 
 def test_ended_is_net_plus_removed(spark, small):
@@ -92,7 +92,7 @@ def test_as_of_within_month(spark, small, day):
 
 
 def test_measured_counts_sf001(spark):
-    c, k = fixtures.load(spark, MID)
+    c, k = fixtures.derive(spark, MID)
     assert (c.count(), c.filter("end_date is not null").count(), c.filter("cancel_date is not null").count()) == (
         60000,
         29936,
@@ -130,18 +130,6 @@ def test_page_frames_equal_registered_queries(spark, small):
         assert rows(df, *sorted(df.columns)) == rows(expected, *sorted(df.columns)), key
 
 
-def test_shuffle_join_fallback_gives_same_rows(spark, small):
-    from attrition.operators.joins import MAX_ROWS_CONF
-
-    c, k = small
-    ref = rows(datasets.lost_detail(c, k, WIN))
-    spark.conf.set(MAX_ROWS_CONF, "0")
-    try:
-        assert rows(datasets.lost_detail(c, k, WIN)) == ref
-    finally:
-        spark.conf.unset(MAX_ROWS_CONF)
-
-
 def test_page_write_round_trip(spark, small, tmp_path):
     from attrition.plans.page import LossPage
 
@@ -185,7 +173,7 @@ def test_batch_entry_point(spark, small, tmp_path):
     assert rows(back.select(*cols)) == rows(expected.select(*cols))
 
 
-@pytest.mark.parametrize("months", [15, 40, 61, 62, 70])
+@pytest.mark.parametrize("months", [15, 40, 59, 60, 62, 63, 200])
 def test_active_mask_path_equals_explode_count(spark, small, months):
     from attrition.operators.active import active_counts, active_intervals
 
@@ -216,12 +204,6 @@ def test_window_length_only_selects_months(spark, small, months):
     assert rows(a) == rows(b)
 
 
-def test_lazy_derivation_equals_written_copy(spark, small):
-    c, k = small
-    lazy_c, lazy_k = fixtures.load(spark, SMALL, materialize=False)
-    assert rows(lazy_c) == rows(c) and rows(lazy_k) == rows(k)
-
-
 def test_scan_from_catalog_table(spark, small):
     from attrition.sources.tables import CONTRACTS_SCHEMA, scan_contracts
 

@@ -99,12 +99,9 @@ def test_skewed_detail_without_broadcast(spark, skewed):
     """No broadcast at all (ours or Spark's): every join is a sort-merge join."""
     import duckdb
 
-    from attrition.operators.joins import MAX_ROWS_CONF
-
     cpath, kpath = skewed
     c, k = spark.read.parquet(cpath), spark.read.parquet(kpath)
     off = {
-        MAX_ROWS_CONF: "0",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     }
