@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from attrition.llm.common import plus
 
 #: Labelled texts a class that training may read (toxic, ordinary), and their length.
-SAMPLE, SAMPLE_CHARS = (3_000, 9_000), 20_000
+SAMPLE, SAMPLE_CHARS = (2_000, 5_000), 20_000
 THRESHOLD = 0.3
 WINDOW, GRAM, CONTEXT = 192, 5, 12
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 2_048
@@ -86,27 +86,38 @@ def _hashes(data: bytes, k: int) -> np.ndarray:
     return out
 
 
-def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each n-gram, and after how many different contexts it stands."""
-    grams, both = [], []
+def _held(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``ordered``."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.searchsorted(ordered, values).clip(0, len(ordered) - 1)] == values
+
+
+def _contexts(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each n-gram (of ``only``), and after how many different contexts it stands."""
+    both: list[np.ndarray] = [np.empty((0, 2), np.uint64)]
     for text in texts:
         padded = b" " * CONTEXT + text
         before = _hashes(padded, CONTEXT)
         after = _hashes(padded, GRAM)[CONTEXT:]
-        grams.append(after)
-        both.append(after * np.uint64(0x9E3779B97F4A7C15) + before[: len(after)])
-    grams, both = np.concatenate([*grams, np.empty(0, np.uint64)]), np.concatenate([*both, np.empty(0, np.uint64)])
-    _, first = np.unique(both, return_index=True)
-    return np.unique(grams[first], return_counts=True)
+        before = before[: len(after)]
+        if only is not None:
+            met = _held(only, after)
+            after, before = after[met], before[met]
+        both.append(np.stack([after, after * np.uint64(0x9E3779B97F4A7C15) + before], axis=1))
+    found = np.concatenate(both)
+    _, first = np.unique(found[:, 1], return_index=True)
+    return np.unique(found[first, 0], return_counts=True)
 
 
 def _toxic_grams(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
     """Hashes of the n-grams that set the toxic texts apart."""
     grams, counts = _contexts(toxic)
-    others, other_counts = _contexts(ordinary)
-    at = np.searchsorted(others, grams).clip(0, max(0, len(others) - 1))
-    met = np.where(others[at] == grams, other_counts[at], 0) if len(others) else np.zeros(len(grams))
-    odds = (counts / max(1, counts.sum())) / ((met + 0.5) / max(1, other_counts.sum()))
+    grams, counts = grams[counts >= 4], counts[counts >= 4]
+    others, other_counts = _contexts(ordinary, grams)
+    met = np.zeros(len(grams))
+    met[np.searchsorted(grams, others)] = other_counts
+    odds = (counts / sum(map(len, toxic))) / ((met + 0.5) / max(1, sum(map(len, ordinary))))
     evidence = 2 * counts * np.log(np.maximum(odds, 1e-9))
     return grams[(odds >= ODDS) & (evidence >= EVIDENCE)]
 
@@ -119,7 +130,7 @@ def _toxic_dictionary(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     chosen = _toxic_grams(toxic, ordinary)
     places: dict[bytes, set[bytes]] = {}
     for text in toxic:
-        hit = np.flatnonzero(np.isin(_hashes(text, GRAM), chosen))
+        hit = np.flatnonzero(_held(chosen, _hashes(text, GRAM)))
         for at in dict.fromkeys(text.rfind(b" ", 0, int(h) + 2) for h in hit):
             end = text.find(b" ", at + 1)
             places.setdefault(text[at:end], set()).add(text[max(0, at - CONTEXT) : at])
