@@ -37,7 +37,9 @@ from attrition.llm.common import mix, signed, staged, word_hashes
 VOCABULARY, K = 65_000, 5
 HOT = 2e-5
 #: Tokens a bucket holds, about, and bytes of text a task looks at at once.
-BUCKET_TOKENS, AT_ONCE = 2_000_000, 8 << 20
+BUCKET_TOKENS, AT_ONCE = 2_000_000, 4 << 20
+#: Texts whose sums go together: 2 to the power of this.
+TOGETHER = 10
 SCORE_SCHEMA = "bucket int, kind int, row array<long>, key array<long>, x array<double>, y array<double>, known array<long>"
 
 
@@ -254,11 +256,23 @@ def _answered(held):
             known.append(k)
         texts, at = np.unique(np.concatenate(rows), return_inverse=True)
         add = lambda v: np.bincount(at, np.concatenate(v), len(texts))
-        return pd.DataFrame({"row": texts.astype(np.int64), "base": add(base), "score": add(score), "known": add(known).astype(np.int64)})
+        texts = texts.astype(np.int64)
+        cuts = np.flatnonzero(np.diff(texts >> TOGETHER)) + 1
+        columns = (texts, add(base), add(score), add(known).astype(np.int64))
+        parts = [np.split(c, cuts) if len(texts) else [] for c in columns]
+        runs = [int(t[0] >> TOGETHER) for t in parts[0]]
+        return pd.DataFrame({"run": np.array(runs, np.int64), **dict(zip(("rows", "base", "score", "known"), parts, strict=True))})
 
     return run
 
 
+def _summed(parts: pd.DataFrame) -> pd.DataFrame:
+    """What the buckets say of one run of texts, added up by text."""
+    texts, at = np.unique(np.concatenate(parts["rows"].tolist()), return_inverse=True)
+    add = lambda c: np.bincount(at, np.concatenate(parts[c].tolist()), len(texts))
+    return pd.DataFrame({"row": texts, "base_score": add("base"), "score": add("score"), "n_known": add("known").astype(np.int64)})
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Row numbers as ``_asked`` gives them, and the numbers of tokens."""
     number = TaskContext.get().partitionId() << 33
@@ -336,9 +350,9 @@ def katz_scores(docs: DataFrame, vocabulary: int = VOCABULARY, hot_share: float
     )
     asked = docs.select("text").mapInArrow(_asked(held, buckets), SCORE_SCHEMA)
     sums = asked.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInPandas(
-        _answered(held), "row long, base double, score double, known long"
+        _answered(held), "run long, rows array<long>, base array<double>, score array<double>, known array<long>"
     )
-    scores = sums.groupBy("row").agg(F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.sum("known").alias("n_known"))
+    scores = sums.groupBy("run").applyInPandas(_summed, "row long, base_score double, score double, n_known long")
     rows = docs.mapInArrow(_numbered, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long")
     return rows.join(scores, "row").select(
         "doc_id",
