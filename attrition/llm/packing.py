@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from attrition.llm.common import plus
 
 LONGEST, END_ID = 2048, 1
-#: Signs between a letter or digit and white space.
-SIGNS = re.compile(rb"(?<=[0-9A-Za-z])([!-/:-@\[-`{-~]+)(?=[\t-\r ]|\Z)")
+#: Signs between a letter (ASCII or Latin-1, in UTF-8) or digit and white space.
+SIGNS = re.compile(
+    rb"([!-/:-@\[-`{-~](?:(?<=[0-9A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*)(?=[\t-\r ]|\Z)"
+)
 #: A special token of the tokenizer.
 MARK = "<|startoftext|>"
 #: Runs a task remembers, and the bytes of text it looks up at once.
@@ -116,6 +118,18 @@ class Encoder:
             yield self._lookup(runs)
 
 
+def _held_encoder(tokenizer_json: str) -> Encoder:
+    """The encoder of this Python worker, which Spark keeps for its next task, with what it remembers."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_attrition_encoders", {})
+    key = hash(tokenizer_json)
+    if key not in held:
+        held.clear()
+        held[key] = Encoder(tokenizer_json)
+    return held[key]
+
+
 def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST) -> DataFrame:
     """One row per piece of each row of ``docs(doc_id, text, ...)``.
 
@@ -130,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST) -> DataFrame:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(definition.value)
+        encoder = _held_encoder(definition.value)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             out: dict[str, list] = {"doc_id": [], "start": [], "length": [], "doc_tokens": []}
