@@ -17,9 +17,10 @@ would match at random) unless a set has more of them than that.
 
 *Search.*  Equal sets carry one key and are collapsed in the map tasks.  A
 signature that only one set has needs no look; the others form buckets.  Round
-by round, growing numbers of bucket members (the first; the next two; the next
-four; ...) are compared with those after them that are not yet in their
-component; a bucket whose sets are all connected is done.  So a bucket of
+by round, growing numbers of bucket members (the first; the next six; four
+times as many; ...) are compared with those after them that are not yet in their
+component, unless their sizes or their parities (of the shingles in 256 bins)
+show that too many shingles differ; a bucket whose sets are all connected is done.  So a bucket of
 near copies costs about one comparison a set, and no possible link is left out.
 Every pair is verified on the full shingle sets.
 
@@ -32,15 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrition.llm.common import mix, shingle_hashes, signed, staged, word_hashes
+from attrition.llm.common import mix, plus, shingle_hashes, signed, staged, word_hashes
 from attrition.llm.components import components
 
 #: Least share of the union, in per cent, and words a shingle.
 PERCENT, WORDS = 85, 4
 SUBPARTS = 3
+#: Columns with the parities of a set's shingle counts in 64 bins each.
+PARITIES = ("p0", "p1", "p2", "p3")
 #: Candidate ids that may be broadcast (8 bytes each); more are shuffled.
 BROADCAST_IDS = 1_000_000
 _PLACE = np.uint64(0x9FB21C651E98DF25)
@@ -97,14 +100,18 @@ def signatures(shingles: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarr
 def _nodes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, spreads = [], [], []
             for text in batch.column("text").to_pylist():
                 s = np.unique(shingle_hashes(word_hashes(text), k))
                 keys.append(set_key(s) if len(s) else None)
                 sizes.append(len(s))
+                odd = np.bincount((s & np.uint64(64 * len(PARITIES) - 1)).astype(np.int64), minlength=64 * len(PARITIES)) & 1
+                spreads.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            parities = np.concatenate([*spreads, np.empty(0, np.int64)]).reshape(-1, len(PARITIES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())],
-                names=["doc_id", "key", "n"],
+                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())]
+                + [pa.array(parities[:, i]) for i in range(len(PARITIES))],
+                names=["doc_id", "key", "n", *PARITIES],
             )
 
     return run
@@ -217,20 +224,24 @@ def _buckets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _candidate_texts(docs: DataFrame, sets: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
-    wanted = staged(buckets.select("key").distinct().join(sets, "key").select("key", "n", F.col("rep").alias("doc_id")), "cand")
+    wanted = staged(buckets.select("key").distinct().join(sets, "key").select("key", F.col("rep").alias("doc_id")), "cand")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    found = docs.join(wanted, "doc_id").select("key", "n", "text")
-    return found.mapInArrow(_checked_texts(k), "key long, n long, text string").dropDuplicates(["key"])
+    found = docs.join(wanted, "doc_id").select("key", "text")
+    return found.mapInArrow(_checked_texts(k), "key long, text string").dropDuplicates(["key"])
+
+
+def _may_link(percent: int) -> Column:
+    """Sizes and parities allow a link: each parity that differs takes a shingle that differs."""
+    sizes = F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_a"))) for p in PARITIES), F.lit(0))
+    return sizes & (apart * (100 + percent) <= (F.col("n") + F.col("n_a")) * (100 - percent))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    a = texts.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("text").alias("text_b"))
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    near = pairs.join(a.select("a", "n_a"), "a").join(b.select("b", "n_b"), "b")
-    near = near.filter(small * 100 >= large * percent).select("a", "b")
-    both = near.join(b.drop("n_b"), "b").join(a.drop("n_a"), "a").select("a", "text_a", "b", "text_b")
+    a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(b, "b").join(a, "a").select("a", "text_a", "b", "text_b")
     return both.mapInArrow(_verified(k, percent), "a long, b long")
 
 
@@ -248,23 +259,25 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = WORDS)
 
 def _classes(docs: DataFrame, percent: int, k: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    nodes = staged(docs.mapInArrow(_nodes(k), docs.select("doc_id").schema.add("key", "long").add("n", "long")), "sets")
+    nodes = staged(docs.mapInArrow(_nodes(k), plus(docs.select("doc_id").schema, key="long", n="long", **dict.fromkeys(PARITIES, "long"))), "sets")
     usable = nodes.filter("key IS NOT NULL AND doc_id IS NOT NULL")
-    sets = usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    sets = usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in PARITIES])
     known = docs.filter("doc_id IS NOT NULL")
-    buckets = staged(_buckets(known, k, percent), "buckets")
+    buckets = staged(_buckets(known, k, percent).join(sets.drop("rep"), "key"), "buckets")
     texts = staged(_candidate_texts(known, sets, buckets, k), "texts")
 
     links, tested, first = None, None, 1
     open_rows = buckets.withColumn("root", F.col("key"))
     while (top := open_rows.agg(F.max("rank")).first()[0]) is not None and first < top:
-        lead = open_rows.filter(F.col("rank").between(first, 2 * first - 1)).select(
-            "sig", F.col("key").alias("a"), F.col("rank").alias("rank_a"), F.col("root").alias("root_a")
+        until = 2 if first == 1 else 4 * first
+        lead = open_rows.filter(F.col("rank").between(first, until - 1)).select(
+            "sig", *[F.col(c).alias(f"{c}_a") for c in ("key", "rank", "root", "n", *PARITIES)]
         )
         pairs = (
             lead.join(open_rows, "sig")
             .filter("rank > rank_a AND root <> root_a")
-            .select("a", F.col("key").alias("b"))
+            .filter(_may_link(percent))
+            .select(F.col("key_a").alias("a"), F.col("key").alias("b"))
             .distinct()
         )
         if tested is not None:
@@ -272,13 +285,13 @@ def _classes(docs: DataFrame, percent: int, k: int) -> DataFrame:
         pairs = staged(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = staged(_verify(pairs, texts, k, percent), "found")
-        first *= 2
+        first = until
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
         roots = staged(components(links), "roots")
         rows = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
-            "sig", "key", "rank", F.coalesce("root", "key").alias("root")
+            "sig", "key", "rank", "n", *PARITIES, F.coalesce("root", "key").alias("root")
         )
         undone = rows.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
         open_rows = staged(rows.join(undone.select("sig"), "sig", "left_semi"), "open")
@@ -311,6 +324,6 @@ def keep_representatives(docs: DataFrame, percent: int = PERCENT, k: int = WORDS
     plain = marked.filter("_rows IS NULL").select(*docs.columns)
     # Several rows of one doc_id: each is judged by its own text's set.
     several = marked.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    keyed = several.mapInArrow(_with_key(k), several.schema.add("_key", "long"))
+    keyed = several.mapInArrow(_with_key(k), plus(several.schema, _key="long"))
     gone = classes.filter("doc_id <> component_id").select("doc_id", F.col("key").alias("_key")).distinct()
     return plain.unionByName(keyed.join(gone, ["doc_id", "_key"], "left_anti").select(*docs.columns))
