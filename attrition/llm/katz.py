@@ -1,24 +1,31 @@
 """Katz back-off scores of texts.
 
 A text is its words, then one end token; the word before the first is the end
-token too.  The model knows every word's training count.  The ``VOCABULARY``
-most frequent words and the end token are classes of their own, all other words
-share one class.  P(word | before) = P(class | class before) P(word | class).
+token too.  The model knows every word and every run of up to ``ORDER`` words
+of the training texts, with its count.  (``katz_scores`` can be asked to keep
+only the most frequent words apart; all others then share one class, and
+P(word | before) = P(class | classes before) P(word | class).)
 
 *Counts.*  Good-Turing discounts d_r (Katz's, for counts up to ``K``) take mass
-from seen words and class pairs.  At the lowest level it goes to unseen words.
-A class pair that was met has d c / c(before); any other backs off to the
-class's unigram times the context's weight a(before), which is exactly the mass
-left over the unigram mass of the classes not met there.  So each context's
+from seen words and runs.  At the lowest level it goes to unseen words.  A run
+that was met has d c / c(before); any other backs off to the run without its
+first word, times the context's weight a(before), which is exactly the mass left
+over the lower level's mass of the words not met there.  So each context's
 probabilities, an unseen word's among them, add up to one.
 
-*Tables.*  Unigram and pair counts are tables, partitioned by a hash into
-buckets whose number follows the number of tokens.  To score, a task sends each
-bucket the keys its texts ask for, packed; where they meet the bucket's part of
-the table, a pair that is not in it backs off, and sums by text come back.
-Tasks are sent only what is bounded: the vocabulary's counts and weights, and
-the pairs that make up more than a share ``HOT`` of all (at most 1 / HOT of
-them), so a very common pair never gathers in a bucket.
+*Sums.*  A text's score is a sum over its runs, each with one value: log P of a
+word; for a longer run that was met, what it changes against backing off; and
+for each run its weight as a context.  Runs that were not met have the value 0.
+(The words that are contexts and those that are scored are the same, as the end
+token stands at both ends.)
+
+*Tables.*  Words and runs are known by 64-bit hashes, that of a run coming from
+those of its context and of its end.  Counts, contexts and values are tables
+that are joined.  To score, a task sends each bucket the keys its texts ask for,
+packed; where they meet the bucket's part of the table, sums by text come back.
+Tasks are sent only what is bounded: the runs that make up more than a share
+``HOT`` of all (at most 1 / HOT of each length), so a very common one never
+gathers in a bucket.
 """
 
 from __future__ import annotations
@@ -29,12 +36,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrition.llm.common import mix, signed, staged, word_hashes
 
-VOCABULARY, K = 65_000, 5
+ORDER, K = 3, 5
+#: Keys of the end token and of the class that words beyond a given vocabulary share.
+END, OTHER = np.uint64(0), np.uint64(1)
+_CONTEXT, _TAIL = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 HOT = 2e-5
 #: Tokens a bucket holds, about, and bytes of text a task looks at at once.
 BUCKET_TOKENS, AT_ONCE = 2_000_000, 4 << 20
@@ -88,36 +98,42 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(counts)], names=["word", "c"])
 
 
-class Vocabulary:
-    """Classes: 0 to n - 1 the words by hash, n the end token, n + 1 the other words."""
+def _chain(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all tokens, texts in a row; the text of each and its place there."""
+    lengths = np.array([len(g) + 1 for g in group])
+    flat = np.full(lengths.sum(), END, np.uint64)
+    ends = np.cumsum(lengths) - 1
+    inside = np.ones(len(flat), bool)
+    inside[ends] = False
+    flat[inside] = np.concatenate(group)
+    return flat, np.repeat(np.arange(len(group)), lengths), np.arange(len(flat)) - np.repeat(ends - lengths + 1, lengths)
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
-        self.end, self.other = len(hashes), len(hashes) + 1
 
-    def chain(self, group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class of each token and of the one before, texts in a row, and the words' hashes (0 at ends)."""
-        lengths = np.array([len(g) + 1 for g in group])
-        flat = np.zeros(lengths.sum(), np.uint64)
-        ends = np.cumsum(lengths) - 1
-        inside = np.ones(len(flat), bool)
-        inside[ends] = False
-        flat[inside] = np.concatenate(group)
-        now = np.full(len(flat), self.other)
-        if len(self.hashes):
-            at = np.searchsorted(self.hashes, flat).clip(0, len(self.hashes) - 1)
-            met = self.hashes[at] == flat
-            now[met] = at[met]
-        now[ends] = self.end
-        return now, np.concatenate([[self.end], now[:-1]]), flat
+def _classes(flat: np.ndarray, kept: np.ndarray | None) -> np.ndarray:
+    """The tokens' classes; ``kept`` are the sorted keys of classes of their own, if not all are."""
+    return flat if kept is None else np.where(np.isin(flat, kept), flat, OTHER)
 
 
-def _pair(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    return before.astype(np.uint64) << np.uint64(32) | now.astype(np.uint64)
+def _run_key(context: np.ndarray, tail: np.ndarray, k: int) -> np.ndarray:
+    return mix(context * _CONTEXT + tail * _TAIL + np.uint64(k))
+
+
+def _runs(flat: np.ndarray, place: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 2: the last tokens' places in ``flat``, and keys of the runs, their contexts and tails."""
+    keys = np.concatenate([[END], flat])
+    for k in range(2, order + 1):
+        context, tail = keys[:-1], keys[1:]
+        keys = _run_key(context, tail, k)
+        at = np.flatnonzero(place[k - 2 :] >= k - 2)
+        yield k, at + k - 2, keys[at], context[at], tail[at]
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(keys) >> np.uint64(33)).astype(np.int64) % buckets
+    return (keys >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _bucket_sql(key: str, buckets: int) -> Column:
+    return (F.shiftrightunsigned(key, 33) % buckets).cast("int")
 
 
 def _split(order_by: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,84 +146,64 @@ def _lists(values: np.ndarray, begins: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(values, kind))
 
 
-def _pairs(vocabulary, buckets: int):
+def _counted(kept, k: int, buckets: int):
+    """Runs of ``k`` words by bucket, packed, each once for a group of texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(vocabulary.value)
         for batch in batches:
             for _, group in _parts(batch):
-                now, before, _ = words.chain(group)
-                keys, counts = np.unique(_pair(before, now), return_counts=True)
-                order, begins = _split(_bucket(keys, buckets), buckets)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(buckets), pa.int32()),
-                        _lists(signed(keys[order]), begins, pa.int64()),
-                        _lists(counts[order], begins, pa.int64()),
-                    ],
-                    names=["bucket", "keys", "counts"],
-                )
+                flat, _, place = _chain(group)
+                for length, _, keys, context, tail in _runs(_classes(flat, kept and kept.value), place, k):
+                    if length == k:
+                        keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+                        order, begins = _split(_bucket(keys, buckets), buckets)
+                        lists = [(signed(context[first][order]), begins), (signed(tail[first][order]), begins), (counts[order], begins)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.arange(buckets), pa.int32()), *(_lists(v, at, pa.int64()) for v, at in lists)],
+                            names=["bucket", "context", "tail", "c"],
+                        )
 
     return run
 
 
-def _added(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's packed counts, added up by key."""
-    keys, places = np.unique(np.concatenate(rows["keys"].tolist()), return_inverse=True)
-    counts = np.bincount(places, np.concatenate(rows["counts"].tolist())).astype(np.int64)
-    return pd.DataFrame({"bucket": rows["bucket"].iloc[0] if len(rows) else 0, "key": keys, "c": counts})
-
-
-def _context_sums(d: np.ndarray, unigram):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = unigram.value
-        for rows in parts:
-            key, c = rows["key"].to_numpy(), rows["c"].to_numpy()
-            before, now = key >> 32, key & 0xFFFFFFFF
-            known, at = np.unique(before, return_inverse=True)
-            sums = [np.bincount(at, w, len(known)) for w in (c, discounted(c, d), p[now])]
-            yield pd.DataFrame(dict(zip(("before", "total", "kept", "below"), [known, *sums], strict=True)))
+def _added(k: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """A bucket's packed counts, added up by run."""
+        context, tail, c = (np.concatenate(rows[x].tolist()) for x in ("context", "tail", "c"))
+        keys, first, places = np.unique(_run_key(context.view(np.uint64), tail.view(np.uint64), k), return_index=True, return_inverse=True)
+        counts = np.bincount(places, c, len(keys)).astype(np.int64)
+        return pd.DataFrame({"key": signed(keys), "context": context[first], "tail": tail[first], "c": counts})
 
     return run
 
 
-class Model:
-    """What tasks are sent: bounded arrays."""
-
-    def __init__(self, hashes, counts, base, unigram, weights, totals, d2, hot, unseen, d1, n):
-        self.hashes, self.counts, self.base, self.unigram = hashes, counts, base, unigram
-        self.weights, self.totals, self.d2, self.hot = weights, totals, d2, hot
-        self.unseen, self.d1, self.n = unseen, d1, n
-
-    def state(self) -> tuple:
-        return tuple(vars(self).values())
-
-
-def _asked(held, buckets: int):
-    """For each run of texts: what each bucket has to look up, and what is known here."""
+def _asked(held, kept, order: int, buckets: int):
+    """For each group of texts: what each bucket has to look up, and what is known here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*held.value)
-        words = Vocabulary(m.hashes)
+        hot, values, bases = held.value
         number = TaskContext.get().partitionId() << 33
+
+        def known_here(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(hot):
+                return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+            at = np.searchsorted(hot, keys).clip(0, len(hot) - 1)
+            return hot[at] == keys, at
+
         for batch in batches:
             for _, group in _parts(batch):
-                now, before, flat = words.chain(group)
-                lengths = np.array([len(g) + 1 for g in group])
-                text = np.repeat(np.arange(len(group)), lengths)
+                flat, text, place = _chain(group)
                 rows = number + np.arange(len(group))
                 number += len(group)
-                other = now == words.other
-                base = np.bincount(text, np.where(other, 0, m.base[now]), len(group))
-                known = np.bincount(text, ~other & (m.counts[now] > 0), len(group)).astype(np.int64)
-                keys = _pair(before, now)
-                at = np.searchsorted(m.hot[0], keys).clip(0, max(0, len(m.hot[0]) - 1))
-                hot = m.hot[0][at] == keys if len(m.hot[0]) else np.zeros(len(keys), bool)
-                score = np.bincount(text, np.where(hot, m.hot[1][at] if len(m.hot[0]) else 0, 0), len(group))
-                yield _message(0, rows % buckets, buckets, rows, np.arange(len(group)), base, score, known)
-                cold = ~hot
-                yield _message(1, _bucket(keys[cold], buckets), buckets, rows[text[cold]], signed(keys[cold]))
-                strangers = flat[other]
-                yield _message(2, _bucket(strangers, buckets), buckets, rows[text[other]], signed(strangers))
+                met, at = known_here(flat)
+                add = lambda t, v: np.bincount(t, v, len(group))  # noqa: B023, E731
+                base, score, known = add(text[met], bases[at[met]]), add(text[met], values[at[met]]), add(text[met], None)
+                yield _message(1, _bucket(flat[~met], buckets), buckets, rows[text[~met]], signed(flat[~met]))
+                for _, last, keys, _, _ in _runs(_classes(flat, kept and kept.value), place, order):
+                    met, at = known_here(keys)
+                    score = score + add(text[last][met], values[at[met]])
+                    yield _message(2, _bucket(keys[~met], buckets), buckets, rows[text[last][~met]], signed(keys[~met]))
+                yield _message(0, rows % buckets, buckets, rows, np.arange(len(group)), base, score, known.astype(np.int64))
 
     return run
 
@@ -222,11 +218,13 @@ def _message(kind: int, bucket, buckets: int, row, key, x=None, y=None, known=No
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", "row", "key", "x", "y", "known"])
 
 
-def _answered(held):
-    """A bucket's questions meet its part of the tables; sums by text."""
+def _answered(unseen: float, unseen_base: float):
+    """A bucket's questions meet its part of the table; sums by text.
+
+    ``unseen`` and ``unseen_base`` are the values of a word that is in no table.
+    """
 
-    def run(asked: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
-        m = Model(*held.value)
+    def run(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         rows, base, score, known = [], [], [], []
         flat = lambda part, c: np.concatenate([np.empty(0, np.int64), *part[c].tolist()])
         own = asked[asked["kind"] == 0]
@@ -234,26 +232,18 @@ def _answered(held):
         base.append(flat(own, "x"))
         score.append(flat(own, "y"))
         known.append(flat(own, "known"))
+        table = table.sort_values("key")
+        keys, values, bases = (table[c].to_numpy() for c in ("key", "v", "base"))
         for kind in (1, 2):
-            part, table = asked[asked["kind"] == kind], tables[tables["kind"] == kind].sort_values("key")
+            part = asked[asked["kind"] == kind]
             row, key = flat(part, "row").astype(np.int64), flat(part, "key").astype(np.int64)
-            keys, counts = table["key"].to_numpy(), table["c"].to_numpy()
             at = np.searchsorted(keys, key).clip(0, max(0, len(keys) - 1))
-            c = np.where(keys[at] == key, counts[at], 0) if len(keys) else np.zeros(len(key), np.int64)
-            if kind == 1:
-                before, now = key >> 32, key & 0xFFFFFFFF
-                with np.errstate(divide="ignore"):
-                    seen = np.log10(discounted(c, m.d2) / m.totals[before])
-                    p = np.where(c > 0, seen, np.log10(m.weights[before]) + np.log10(m.unigram[now]))
-                b, k = np.zeros(len(key)), np.zeros(len(key), np.int64)
-            else:
-                mass = np.where(c > 0, discounted(c, m.d1) / m.n[0], m.unseen)
-                p = np.log10(mass) - np.log10(m.unigram[-1])
-                b, k = np.log10((c + 0.1) / m.n[1]), (c > 0).astype(np.int64)
+            met = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            found = lambda of, missing: np.where(met, of[at], missing) if len(keys) else np.full(len(key), missing)  # noqa: B023, E731
             rows.append(row)
-            base.append(b)
-            score.append(p)
-            known.append(k)
+            score.append(found(values, unseen if kind == 1 else 0.0))
+            base.append(found(bases, unseen_base) if kind == 1 else np.zeros(len(key)))
+            known.append(met.astype(np.int64) if kind == 1 else np.zeros(len(key), np.int64))
         texts, at = np.unique(np.concatenate(rows), return_inverse=True)
         add = lambda v: np.bincount(at, np.concatenate(v), len(texts))
         texts = texts.astype(np.int64)
@@ -283,74 +273,82 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows, pa.array(n, pa.int64())], names=["doc_id", "row", "n_tokens"])
 
 
-def katz_scores(docs: DataFrame, vocabulary: int = VOCABULARY, hot_share: float = HOT, buckets: int | None = None) -> DataFrame:
+def katz_scores(
+    docs: DataFrame, vocabulary: int | None = None, hot_share: float = HOT, buckets: int | None = None, order: int = 2
+) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs(doc_id, text, ...)``.
 
-    Null and blank texts are the end token alone.  Rows that repeat train and
-    are scored each.  Further columns are ignored.  An empty table gives an
-    empty result; without training rows every probability is that of the
-    unseen word, 1.
+    ``order`` is the length of the longest runs.  With a ``vocabulary``, only so
+    many words are classes of their own.  Null and blank texts are the end token
+    alone.  Rows that repeat train and are scored each.  Further columns are
+    ignored.  An empty table gives an empty result; without training rows every
+    probability is that of the unseen word, 1.
     """
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     send = spark.sparkContext.broadcast
     learn = docs.filter(training())
-    words = staged(learn.select("text").mapInArrow(_unigrams, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "unigrams")
     texts = learn.count()
-    spread = {r["c"]: r["n"] for r in words.filter(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    if 0 < texts <= K + 1:
-        spread[texts] = spread.get(texts, 0) + 1
-    n, v = total + texts, types + (texts > 0)
-    d1 = discounts(spread)
-    top = words.orderBy(F.desc("c"), "word").limit(vocabulary).collect()  # the vocabulary's bound
-    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, top_counts = hashes[order], np.array([r["c"] for r in top], np.int64)[order]
-    kept = words.agg(F.sum(_discount_sql("c", d1))).first()[0] or 0.0
-    kept += float(discounted(np.array([texts]), d1)[0])
-    scale = n if 0 < kept < n else n + 1  # some mass is left in any case
+    ends = spark.createDataFrame([(int(END), texts)] if texts else [], "key long, c long")
+    words = learn.select("text").mapInArrow(_unigrams, "word long, c long").groupBy(F.col("word").alias("key")).agg(F.sum("c").alias("c"))
+    words = staged(words.unionByName(ends), "unigrams")
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    d = discounts(_spread(words))
+    kept = words.agg(F.sum(_discount_sql("c", d))).first()[0] or 0.0
+    scale = max(n if 0 < kept < n else n + 1, 1)  # some mass is left in any case
     unseen = 1 - kept / scale if n else 1.0
-    counts = np.concatenate([top_counts, [texts], [0]])
-    unigram = discounted(counts, d1) / max(scale, 1)
-    unigram[-1] = 1 - unigram[:-1].sum()
-    base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
-
-    buckets = buckets or max(16, n // BUCKET_TOKENS)
-    sent_words, sent_unigram = send(hashes), send(unigram)
-    packed = learn.select("text").mapInArrow(_pairs(sent_words, buckets), "bucket int, keys array<long>, counts array<long>")
-    pairs = staged(packed.groupBy("bucket").applyInPandas(_added, "bucket int, key long, c long"), "pairs")
-    spread = {r["c"]: r["n"] for r in pairs.filter(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    d2 = discounts(spread)
-    sums = pairs.mapInPandas(_context_sums(d2, sent_unigram), "before long, total double, kept double, below double")
-    sums = sums.groupBy("before").agg(*[F.sum(c).alias(c) for c in ("total", "kept", "below")]).collect()  # a row for each class
-    totals, weights = np.ones(len(counts)), np.ones(len(counts))
-    for r in sums:
-        whole = r["total"] if r["kept"] < r["total"] * (1 - 1e-9) else r["total"] + 1
-        totals[r["before"]] = whole
-        free = 1 - r["below"]
-        if free > 1e-12:
-            weights[r["before"]] = (1 - r["kept"] / whole) / free
-        else:  # every class was met: what is left goes back to them
-            totals[r["before"]], weights[r["before"]] = r["kept"], 1e-300
-    hot = pairs.filter(F.col("c") > hot_share * n).select("key", "c").collect()  # at most 1 / hot_share rows
-    hot_keys = np.array([r["key"] for r in hot], np.int64)
-    hot_order = np.argsort(hot_keys.view(np.uint64))
-    hot_keys, hot_counts = hot_keys[hot_order], np.array([r["c"] for r in hot], np.int64)[hot_order]
-    hot_scores = np.log10(discounted(hot_counts, d2) / totals[hot_keys >> 32])
-    model = Model(
-        hashes, counts, base, unigram, weights, totals, d2, (hot_keys.view(np.uint64), hot_scores), unseen, d1,
-        (max(scale, 1), n + 0.1 * (v + 1)),
-    )
-    held = send(model.state())
-
-    rare = words.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"word": signed(hashes)}), "word long")), "word", "left_anti")
-    word_bucket = F.pandas_udf(lambda w: pd.Series(_bucket(w.to_numpy().view(np.uint64), buckets)), "int")
-    tables = pairs.select("bucket", F.lit(1).alias("kind"), "key", "c").unionByName(
-        rare.select(word_bucket("word").alias("bucket"), F.lit(2).alias("kind"), F.col("word").alias("key"), "c")
-    )
-    asked = docs.select("text").mapInArrow(_asked(held, buckets), SCORE_SCHEMA)
-    sums = asked.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInPandas(
-        _answered(held), "run long, rows array<long>, base array<double>, score array<double>, known array<long>"
+    words = words.withColumn("p", _discount_sql("c", d) / scale)
+    lower, own, owned = words, None, F.col("key")
+    if vocabulary is not None:
+        top = words.filter(F.col("key") != int(END)).orderBy(F.desc("c"), "key").limit(vocabulary).union(words.filter(F.col("key") == int(END))).collect()
+        own = send(np.sort(np.array([int(END), *(r["key"] for r in top)], np.int64).view(np.uint64)))
+        rest = spark.createDataFrame([(int(OTHER), 0, 1 - sum(r["p"] for r in top))], words.schema)
+        lower = spark.createDataFrame(top, words.schema).unionByName(rest)
+        owned = F.when(F.col("key").isin([r["key"] for r in top]), F.col("key")).otherwise(F.lit(int(OTHER)))
+
+    buckets = buckets or max(16, n * (order - 1) // BUCKET_TOKENS)
+    levels = [words.select("key", "c", F.log10("p").alias("g"), owned.alias("class"))]
+    weights = []
+    for k in range(2, order + 1):
+        packed = learn.select("text").mapInArrow(_counted(own, k, buckets), "bucket int, context array<long>, tail array<long>, c array<long>")
+        runs = packed.groupBy("bucket").applyInPandas(_added(k), "key long, context long, tail long, c long")
+        below = lower.select(F.col("key").alias("tail"), F.col("p").alias("below"))
+        runs = staged(runs.join(below, "tail").select("key", "context", "c", "below"), "runs")
+        d = discounts(_spread(runs))
+        runs = runs.withColumn("cut", _discount_sql("c", d))
+        sums = runs.groupBy("context").agg(*[F.sum(x).alias(y) for x, y in (("c", "total"), ("cut", "kept"), ("below", "met"))])
+        weights.append(staged(sums.select("context", *_context_columns()), "contexts"))
+        lower = runs.join(weights[-1], "context").withColumn("p", F.col("cut") / F.col("whole"))
+        lower = staged(lower.select("key", "c", "p", (F.log10("p") - F.col("weight") - F.log10("below")).alias("g")), "values")
+        levels.append(lower.select("key", "c", "g", F.col("key").alias("class")))
+
+    tables, hot = [], []
+    norm = n + 0.1 * (v + 1)
+    for i, level in enumerate(levels):
+        base = F.log10((F.col("c") + 0.1) / norm) if i == 0 else F.lit(0.0)
+        value = level.select("key", "c", "g", "class", base.alias("base"))
+        common = value.filter(F.col("c") > hot_share * n)  # at most 1 / hot_share rows
+        if i < len(weights):
+            weight = weights[i].select(F.col("context").alias("class"), "weight")
+            some = weight.join(F.broadcast(common.select("class").distinct()), "class")
+            value, common = value.join(weight, "class", "left"), common.join(F.broadcast(some), "class", "left")
+        else:
+            value, common = (x.withColumn("weight", F.lit(0.0)) for x in (value, common))
+        last = ["key", (F.col("g") + F.coalesce("weight", F.lit(0.0))).alias("v"), "base"]
+        tables.append(value.filter(F.col("c") <= hot_share * n).select(_bucket_sql("key", buckets).alias("bucket"), *last))
+        hot += common.select(*last).collect()
+    hot.sort(key=lambda r: r["key"] % 2**64)
+    held = send((np.array([r["key"] for r in hot], np.int64).view(np.uint64), *(np.array([r[c] for r in hot], float) for c in ("v", "base"))))
+    stranger = np.log10(unseen)
+    if vocabulary is not None and weights:
+        stranger += next((r["weight"] for r in weights[0].filter(F.col("context") == int(OTHER)).collect()), 0.0)
+
+    table = tables[0]
+    for more in tables[1:]:
+        table = table.unionByName(more)
+    asked = docs.select("text").mapInArrow(_asked(held, own, order, buckets), SCORE_SCHEMA)
+    sums = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(
+        _answered(float(stranger), float(np.log10(0.1 / norm))),
+        "run long, rows array<long>, base array<double>, score array<double>, known array<long>",
     )
     scores = sums.groupBy("run").applyInPandas(_summed, "row long, base_score double, score double, n_known long")
     rows = docs.mapInArrow(_numbered, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long")
@@ -365,6 +363,22 @@ def katz_scores(docs: DataFrame, vocabulary: int = VOCABULARY, hot_share: float
     )
 
 
+def _spread(counts: DataFrame) -> dict[int, int]:
+    """How many have each of the counts that are discounted, and the next one."""
+    return {r["c"]: r["n"] for r in counts.filter(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
+
+
+def _context_columns() -> list[Column]:
+    """What a context's counts are divided by, and log10 of its weight."""
+    whole = F.when(F.col("kept") < F.col("total") * (1 - 1e-9), F.col("total").cast("double")).otherwise(F.col("total") + 1.0)
+    free = 1 - F.col("met")
+    some = free > 1e-12  # else every class was met: what is left goes back to them
+    return [
+        F.when(some, whole).otherwise(F.col("kept")).alias("whole"),
+        F.when(some, F.log10((1 - F.col("kept") / whole) / F.greatest(free, F.lit(1e-12)))).otherwise(F.lit(-300.0)).alias("weight"),
+    ]
+
+
 def _discount_sql(c: str, d: np.ndarray):
     out = F.col(c).cast("double")
     for r in range(1, len(d)):

@@ -68,7 +68,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_lm_scoring")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Katz back-off scores of every document."""
-    return katz.katz_scores(table(spark, sf_dir, "documents"))
+    return katz.katz_scores(table(spark, sf_dir, "documents"), order=katz.ORDER)
 
 
 @register("op7_ngram_jaccard_join")

@@ -234,6 +234,63 @@ def test_katz_empty(spark):
     assert all(r.score == 0 for r in alone.collect())
 
 
+def test_katz_keeps_every_word_apart(spark):
+    """More words than any bound: 70,000 once each, then rare words in pairs and triples that only their own counts tell apart."""
+    many = " ".join(f"w{i}" for i in range(70_000))
+    texts = [many, many, many, *["zza zzb zzc"] * 2, *["zzd zze zzf"] * 2, "filler"]
+    learns = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][: len(texts)]
+    tests = [i for i in range(100) if not zlib.crc32(str(i).encode()) % 10][:2]
+    rows = [*zip(learns, texts, strict=True), *zip(tests, ["zza zzb zzc", "zza zzb zzf"], strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for order in (2, 3):
+        got = {r.doc_id: r.score for r in katz.katz_scores(docs, buckets=5, order=order).collect()}
+        assert got[tests[0]] > got[tests[1]] + 0.5  # the pair zzb zzc was met, zzb zzf was not
+        assert got[tests[0]] == pytest.approx(got[learns[3]])
+
+
+def plain_katz_any_order(rows, order):
+    """P(word | history) by recursion over runs of all words, END at both ends."""
+    learn = [[None, *words(t), None] for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 10 != 0]
+    counts = {k: Counter(tuple(t[i - k + 1 : i + 1]) for t in learn for i in range(max(1, k - 1), len(t))) for k in range(1, order + 1)}
+    d = {k: katz.discounts(Counter(c.values())) for k, c in counts.items()}
+    cut = lambda k, g: counts[k][g] * (d[k][counts[k][g]] if counts[k][g] < len(d[k]) else 1)
+    n, kept = sum(counts[1].values()), sum(cut(1, g) for g in counts[1])
+    scale = n if kept < n else n + 1
+    after = {}
+    for k in range(2, order + 1):
+        for g in counts[k]:
+            after.setdefault(g[:-1], []).append(g)
+
+    def p(g):
+        k = len(g)
+        if k == 1:
+            return cut(1, g) / scale if g in counts[1] else 1 - kept / scale
+        met = after.get(g[:-1], [])
+        if not met:
+            return p(g[1:])
+        total, held = sum(counts[k][m] for m in met), sum(cut(k, m) for m in met)
+        whole = total if held < total * (1 - 1e-9) else total + 1
+        return cut(k, g) / whole if g in counts[k] else (1 - held / whole) / (1 - sum(p(m[1:]) for m in met)) * p(g[1:])
+
+    return p, counts
+
+
+def test_katz_order_three_equals_a_plain_version(spark):
+    chance = random.Random(14)
+    texts = [" ".join(chance.choice("aabbcdefgh") for _ in range(chance.randrange(40))) for _ in range(60)]
+    docs = documents(spark, [*texts, None, "", "never a b seen words a here"], [(None, "a b c", None, None, 0, None, None, None)] * 2)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    p, counts = plain_katz_any_order(rows, 3)
+    got = {r.doc_id: r for r in katz.katz_scores(docs, hot_share=0.01, buckets=7, order=3).collect()}
+    for i, t in rows:
+        chain = [None, *words(t), None]
+        want = sum(math.log10(p(tuple(chain[max(0, j - 2) : j + 1]))) for j in range(1, len(chain)))
+        assert got[i].score == pytest.approx(want)
+    vocabulary = [*counts[1], (b"unseen",)]
+    for history in ((None,), (b"a",), (b"a", b"b"), (None, b"a"), (b"never", b"a")):
+        assert sum(p((*history, *w)) for w in vocabulary) == pytest.approx(1)
+
+
 # decontamination
 
 
