@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from attrition.llm import decontaminate, line_dedup, packing, part_enum, toxicity
 from attrition.llm.common import staged
 
+#: What near copies share in the stage (op7 has its own).
+NEAR_PERCENT, NEAR_WORDS = 80, 5
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go."""
@@ -34,8 +37,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return part_enum.keep_representatives(docs)
+    """One document of each group of near copies stays: ``NEAR_PERCENT`` of the shingles of ``NEAR_WORDS`` words are shared."""
+    return part_enum.keep_representatives(docs, percent=NEAR_PERCENT, k=NEAR_WORDS)
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,6 +182,47 @@ def test_oracles(spark, key):
     assert compare(spark, duck_connect(small), key, small, queries.QUERIES[key], queries.oracle_texts()[key])["match"]
 
 
+def test_near_copies_of_the_stage(spark):
+    """Five-word similarities from 0.80 go, though four-word ones are below 0.85; less similar ones stay."""
+
+    def changed(seed, places):
+        w = prose(seed, 100).split()
+        for at in places:
+            w[at] = f"changed{seed}x{at}"
+        return " ".join(w)
+
+    def similarity(a, b, k):
+        a, b = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.split(), b.split()))
+        return len(a & b) / len(a | b)
+
+    texts = [changed(40, []), changed(40, [30, 60]), changed(41, []), changed(41, [20, 40, 60]), changed(42, []), changed(42, [50])]
+    assert 0.80 <= similarity(*texts[:2], 5) <= 0.83 and similarity(*texts[:2], 4) < 0.85
+    assert similarity(*texts[2:4], 5) < 0.80 < similarity(*texts[4:], 5)
+    docs = documents(spark, texts, odd_rows(100))
+    kept = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < 100) == [0, 2, 3, 4]
+
+
+def test_near_copies_equal_brute_force_at_five_words(spark):
+    chance = random.Random(17)
+    texts = []
+    for i in range(25):
+        base = prose(i, chance.choice([1, 4, 5, 9, 30, 60, 120])).split()
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(chance.randrange(0, 4)):
+                copy[chance.randrange(len(copy))] = f"new{chance.randrange(9)}"
+            texts.append(" ".join(copy))
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in map(ascii_words, texts)]
+    links = [
+        (a, b) for a in range(len(texts)) for b in range(a) if 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b])
+    ]
+    want = closure(range(len(texts)), links)
+    kept = corpus_pipeline.without_near_copies(spark, documents(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, root in want.items() if i == root)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
