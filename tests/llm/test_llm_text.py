@@ -350,5 +350,34 @@ def test_network_adds_what_looks_like_a_secret(spark):
     assert secret_scan.train(documents(spark, ["none here"])) is None
 
 
+def test_thresholds_keep_the_recall():
+    """Unlabelled keys among the other candidates score high; the secrets' recall holds all the same, and the cost is told."""
+    chance = random.Random(13)
+    key = lambda n: "".join(chance.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(n)) + "a1"
+    at = lambda before, inside, after=" after": secret_scan.view(before + inside + after, len(before), len(before) + len(inside))
+    bare = lambda: at(" " * 24, key(28), " " * 8)
+    secrets = [(at(" password = ", key(28)), "mixed", 1) for _ in range(600)]
+    plain = [(at(" write to ", f"user.{i}@mail-server-number{i}.example.com"), "mixed", 0) for i in range(570)]
+    hidden = [(bare(), "mixed", 0) for _ in range(30)]
+    more = [(at(" write to ", f"user.{i}@mail-server-number{i}.example.com"), "mixed") for i in range(2000, 3500)]
+    net = secret_scan.fit(secrets + plain + hidden, more)
+    fresh = [at(" password = ", key(28)) for _ in range(1000)] + [bare() for _ in range(1000)]
+    assert (net.score(fresh) >= net.thresholds["mixed"]).mean() >= 0.9
+    assert net.recalls["mixed"] >= secret_scan.RECALL
+    rate, number = net.false_rates["mixed"]
+    assert number > 1500 and 0 < rate < 0.05
+
+
+def test_recall_counts_blanked_contexts():
+    """A network that reads nothing but the context gets a threshold that lets the blanked secrets through."""
+    net = secret_scan.Network(np.zeros((secret_scan.REACH, 68, 1)), np.zeros(1), np.ones(1), -2.0)
+    net.kernel[0, secret_scan._CODES[ord("=")], 0] = 4.0
+    held = [(secret_scan.view(f"key = {'ab12' * 6}", 6, 30), "mixed", 1)] * 20
+    held += [(secret_scan.view(f"see {'cd34' * 6}", 4, 28), "mixed", 0)] * 1200
+    net.set_thresholds(held)
+    blank = net.score([secret_scan.view(" " * 30 + "ab12" * 6, 30, 54)])[0]
+    assert net.thresholds["mixed"] <= blank and net.recalls["mixed"] == 1 and net.false_rates["mixed"] == (1.0, 1200)
+
+
 def test_schema_is_what_the_tests_use():
     assert "doc_id long" in SCHEMA
