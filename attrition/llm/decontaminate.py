@@ -7,11 +7,14 @@ a quarter.  An item of which a window holds ``PERCENT`` per cent has at least a
 fifth of the window's shingles in common with it, so of ``HASHES`` independent
 minima one at least is equal but for a chance below 1 in 5,000 (at full
 containment, below 1 in 100,000).  Block minima of one class are made of those
-of the class before.  Whatever the minima propose is verified: the share of the
-item's distinct shingles that the whole document holds.
-
-Items are read in blocks of about ``BLOCK`` rows, one pass over the documents
-for each; a block's index is all that tasks are sent.
+of the class before.  An item of at most ``FEW`` distinct shingles fills too
+little of its window for that, so its shingles are looked up themselves.
+Whatever is proposed is verified: the share of the item's distinct shingles
+that the whole document holds.
+
+Items are read in blocks of about ``BLOCK_BYTES``, one pass over the documents
+for each; a block's index is all that tasks are sent, and where there are
+several, each block's result is written before the next is read.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrition.llm.common import plus, shingle_hashes, word_hashes
+from attrition.llm.common import plus, shingle_hashes, staged, word_hashes
 
 PERCENT, WORDS = 80, 5
 HASHES, SMALLEST = 40, 8
-#: Items searched for in one pass, and shingles whose minima are held at once.
-BLOCK, HELD = 20_000, 100_000
+#: Distinct shingles of an item up to which it is found by each of them.
+FEW = 4
+#: UTF-8 bytes of the items searched for in one pass (each row counts 64 more), and shingles whose minima are held at once.
+BLOCK_BYTES, HELD = 8 << 20, 100_000
 _FACTORS = np.random.default_rng(5).integers(1, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SALTS = np.random.default_rng(6).integers(1, 2**32, HASHES, dtype=np.uint32)
 
@@ -44,16 +49,23 @@ class Index:
 
     def __init__(self, items: list[tuple], k: int = WORDS):
         self.sets, self.ids = [], []
+        few: list[tuple[int, int]] = []
         by_class: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in items:
             found = shingle_hashes(word_hashes(text), k, short=False)
             if len(found):
-                size = 0
-                while SMALLEST << size < len(found):
-                    size += 1
-                by_class.setdefault(size, []).append((len(self.sets), _values(found).min(1)))
-                self.sets.append(np.unique(found))
+                own = np.unique(found)
+                if len(own) <= FEW:
+                    few += [(s, len(self.sets)) for s in own.tolist()]
+                else:
+                    size = 0
+                    while SMALLEST << size < len(found):
+                        size += 1
+                    by_class.setdefault(size, []).append((len(self.sets), _values(found).min(1)))
+                self.sets.append(own)
                 self.ids.append(item_id)
+        few.sort()
+        self.few = np.array([s for s, _ in few], np.uint64), np.array([i for _, i in few], np.int64)
         self.classes = {}
         for size, rows in sorted(by_class.items()):
             minima = np.stack([m for _, m in rows])
@@ -82,6 +94,7 @@ class Index:
             keys, item, table = self.classes[size]
             wide = minima
             for shift in (1, 2, 4):
+                shift = min(shift, wide.shape[1])
                 last = np.repeat(wide[:, -1:], shift, axis=1)
                 wide = np.minimum(wide, np.concatenate([wide[:, shift:], last], axis=1))
             row, at = np.nonzero(table[wide & np.uint32(len(table) - 1)])
@@ -94,12 +107,15 @@ class Index:
     def matches(self, shingle_lists: list[np.ndarray], percent: int = PERCENT) -> list[list[tuple[int, int]]]:
         """For each list the items it contains, with the number of shared shingles."""
         out: list[list[tuple[int, int]]] = [[] for _ in shingle_lists]
-        if not self.classes:
+        if not self.sets:
             return out
         proposed: set[tuple[int, int]] = set()
         group: list[tuple[int, np.ndarray]] = []
         held = 0
         for doc, found in enumerate(shingle_lists):
+            proposed.update((doc, item) for item in self._with_few(found))
+            if not self.classes:
+                continue
             for at in range(0, len(found), HELD):  # parts overlap by the longest window
                 part = found[max(0, at - self.longest) : at + HELD]
                 group.append((doc, part))
@@ -119,6 +135,15 @@ class Index:
                 out[doc].append((item, shared))
         return out
 
+    def _with_few(self, found: np.ndarray) -> list[int]:
+        """Items of few shingles of which ``found`` holds one."""
+        keys, item = self.few
+        if not len(keys):
+            return []
+        low, high = np.searchsorted(keys, found), np.searchsorted(keys, found, side="right")
+        met = np.flatnonzero(high > low)
+        return [int(i) for at in met for i in item[low[at] : high[at]]]
+
     def _proposed(self, group: list[tuple[int, np.ndarray]]) -> set[tuple[int, int]]:
         if not group:
             return set()
@@ -133,12 +158,14 @@ class Index:
         return pairs
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
+def _blocks(items: DataFrame) -> Iterator[tuple[list[tuple], bool]]:
+    """The items block by block, each with whether it is the only one."""
     items = items.select("item_id", "text")
-    parts = max(1, -(-items.count() // BLOCK))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64)
+    parts = max(1, -(-(items.agg(F.sum(size)).first()[0] or 0) // BLOCK_BYTES))
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     for part in range(parts):
-        yield [(r[0], r[1]) for r in items.filter(place == part).distinct().collect()]
+        yield [(r[0], r[1]) for r in items.filter(place == part).distinct().collect()], parts == 1
 
 
 def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
@@ -154,7 +181,7 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k: int
     item_type = items.select("item_id").schema.fields[0]
     schema = plus(type(docs.schema)([docs.schema["doc_id"], item_type]), n_shared="long", n_item="long")
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(items):
+    for block, alone in _blocks(items):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -169,7 +196,10 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k: int
                 arrays = [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "n_shared", "n_item"])
 
-        out = out.unionByName(docs.mapInArrow(run, schema))
+        found = docs.mapInArrow(run, schema)
+        if alone:
+            return found
+        out = out.unionByName(staged(found, "contained"))
     return out
 
 
@@ -179,7 +209,7 @@ def _arrow(field) -> pa.DataType:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """The rows of ``docs`` that contain no test item, with all their columns."""
-    for block in _blocks(items):
+    for block, alone in _blocks(items):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -190,4 +220,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT,
                 yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = docs if alone else staged(docs, "uncontaminated")
     return docs

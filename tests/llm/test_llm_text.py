@@ -15,7 +15,7 @@ import pytest
 from llm_data import SCHEMA, documents, odd_rows, prose
 
 from attrition.llm import decontaminate, katz, line_dedup, packing, secret_scan, sharding, toxicity
-from attrition.llm.common import word_hashes, words
+from attrition.llm.common import shingle_hashes, word_hashes, words
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -317,6 +317,34 @@ def test_items_in_long_documents(spark):
     assert decontaminate.contained(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 6, 7, 8, 9, 12, 13, 30, 59, 140, 400])
+def test_every_text_length_alone(size):
+    """A text by itself, shorter or longer than an item's window, with and without the item."""
+    item = prose(size, size)
+    index = decontaminate.Index([(1, item), (2, prose(99, 3)), (3, None)])
+    shingles = lambda t: shingle_hashes(word_hashes(t), 5, short=False)
+    want = len(np.unique(shingles(item)))
+    for before in [0, 1, 2, 3, 5, 8, 13, 40, 100, 3 * size]:
+        for after in [0, 1, 7, 2 * size]:
+            text = " ".join([prose(1000 + before, before), item, prose(2000 + after, after)])
+            assert index.matches([shingles(text)]) == [[(0, want)]]
+    for length in range(5, 4 * size + 20, max(1, size // 12)):
+        assert index.matches([shingles(prose(3000 + length, length))]) == [[]]
+    assert index.matches([shingles(None), shingles("a b c d")]) == [[], []]
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    """Several blocks give what one gives."""
+    items = [prose(i, 5 + i % 40) for i in range(60)]
+    docs = documents(spark, [f"{prose(500 + i, 50)} {items[i]} {prose(700 + i, 9)}" for i in range(0, 60, 3)], odd_rows(100))
+    bench = spark.createDataFrame([*enumerate(items), (70, None)], "item_id long, text string")
+    once = sorted(map(tuple, decontaminate.contained(docs, bench).collect()))
+    clean = decontaminate.drop_contaminated(docs, bench).count()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4_000)
+    assert sorted(map(tuple, decontaminate.contained(docs, bench).collect())) == once and len(once) >= 20
+    assert decontaminate.drop_contaminated(docs, bench).count() == clean == docs.count() - 20
+
+
 # secrets
 
 
