@@ -9,11 +9,13 @@ expressions (``trunc``, ``add_months``, ``last_day``).
 from __future__ import annotations
 
 import calendar
+from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType
 
 
 def _col(c: Column | str) -> Column:
@@ -63,11 +65,74 @@ class Window:
     def hi(self) -> date:
         return last_of_month(self.as_of)
 
+    def calendar(self) -> list[date]:
+        """First days of the window's months and of the running one."""
+        return [shift_months(self.lo, i) for i in range(self.months + 1)]
+
     def contains(self, d: Column | str) -> Column:
         d = _col(d)
         return (d >= F.lit(self.lo)) & (d <= F.lit(self.hi))
 
 
+def stored(name: str) -> str:
+    """Name under which a scan keeps a date column's stored form, when that is a timestamp."""
+    return f"{name}__stored"
+
+
+@dataclass(frozen=True)
+class Day:
+    """A date column, or the timestamps behind it, to be compared with days.
+
+    A bound on ``CAST(timestamp AS DATE)`` does not reach the scan; the same
+    bound on the timestamps does: from the day's first instant, and up to but
+    not including the next day's (in the session's time zone, as the cast).
+    """
+
+    column: Column
+    kind: DataType
+
+    def _instant(self, d: date) -> Column:
+        return F.lit(d).cast(self.kind)
+
+    @property
+    def _exact(self) -> bool:
+        return isinstance(self.kind, DateType)
+
+    def missing(self) -> Column:
+        return self.column.isNull()
+
+    def present(self) -> Column:
+        return self.column.isNotNull()
+
+    def until(self, d: date) -> Column:
+        """On or before ``d``."""
+        return self.column <= F.lit(d) if self._exact else self.column < self._instant(d + timedelta(days=1))
+
+    def since(self, d: date) -> Column:
+        """On or after ``d``."""
+        return self.column >= (F.lit(d) if self._exact else self._instant(d))
+
+    def after(self, d: date) -> Column:
+        return self.column > F.lit(d) if self._exact else self.column >= self._instant(d + timedelta(days=1))
+
+    def between(self, lo: date, hi: date) -> Column:
+        return self.since(lo) & self.until(hi)
+
+
+def on_days(df: DataFrame, test: Callable[[Callable[[str], Day]], Column]) -> Column:
+    """``test`` on the date columns of ``df``, so that the scan can use it.
+
+    ``test`` is given a function from a column's name to its ``Day``.  Where
+    ``df`` keeps the stored timestamps of some date columns, the same test on
+    those is added; it is equal, so rows are neither lost nor gained.
+    """
+    exact = lambda name: Day(F.col(name), DateType())
+    at_rest = lambda name: Day(F.col(stored(name)), df.schema[stored(name)].dataType) if stored(name) in df.columns else exact(name)
+    if any(stored(name) in df.columns for name in df.columns):
+        return test(exact) & test(at_rest)
+    return test(exact)
+
+
 def to_date(c: Column | str) -> Column:
     """Strict cast to DATE (ANSI: malformed input raises)."""
     return _col(c).cast("date")

@@ -19,9 +19,12 @@ dropped explicitly (``greatest`` would ignore the NULL).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attrition.functions import dates
 from attrition.functions.dates import Window, month_bucket
 
 
@@ -38,15 +41,22 @@ def covered_months(df: DataFrame, window: Window) -> tuple:
     return lo, hi
 
 
+def touches(contracts: DataFrame, window: Window) -> Column:
+    """Necessary for a line to be active in the calendar; literal bounds prune row groups at the scan."""
+
+    def test(day):
+        start, end = day("start_date"), day("end_date")
+        return start.present() & start.until(window.month0) & (end.missing() | end.after(window.lo))
+
+    return dates.on_days(contracts, test)
+
+
 def active_intervals(contracts: DataFrame, window: Window, keep: list[str] | None = None) -> DataFrame:
     """One row per (calendar month, line active on its first day): ``month`` + ``keep`` columns."""
     keep = keep or ["client_id", "product", "amount"]
-    s, e = F.col("start_date"), F.col("end_date")
-    # Necessary condition with literal bounds: prunes row groups at the scan.
-    touches = s.isNotNull() & (s <= F.lit(window.month0)) & (e.isNull() | (e > F.lit(window.lo)))
     lo, hi = covered_months(contracts, window)
     spans = (
-        contracts.filter(touches)
+        contracts.filter(touches(contracts, window))
         .select(*keep, lo.alias("_lo"), hi.alias("_hi"))
         .filter(F.col("_lo") <= F.col("_hi"))
     )
@@ -55,7 +65,7 @@ def active_intervals(contracts: DataFrame, window: Window, keep: list[str] | Non
     )
 
 
-def _month_index(d, origin) -> "F.Column":
+def month_index(d: Column, origin: date) -> Column:
     """Whole months from ``origin`` (a first-of-month date literal) to the month of ``d``."""
     return (F.year(d) * 12 + F.month(d)) - (origin.year * 12 + origin.month)
 
@@ -82,12 +92,10 @@ def active_counts(
     mask holds ``BLOCK`` months; a line that reaches into several blocks of the
     calendar has a mask for each.
     """
-    s, e = F.col("start_date"), F.col("end_date")
-    touches = s.isNotNull() & (s <= F.lit(window.month0)) & (e.isNull() | (e > F.lit(window.lo)))
     lo, hi = covered_months(contracts, window)
-    first, last = _month_index(F.col("_lo"), window.lo), _month_index(F.col("_hi"), window.lo)
+    first, last = month_index(F.col("_lo"), window.lo), month_index(F.col("_hi"), window.lo)
     spans = (
-        contracts.filter(touches)
+        contracts.filter(touches(contracts, window))
         .select(entity, group, lo.alias("_lo"), hi.alias("_hi"))
         .filter(F.col("_lo") <= F.col("_hi"))
         .select(entity, group, first.alias("_first"), last.alias("_last"))

@@ -15,13 +15,13 @@ one month-end renewal removes every ended line of that key.  Renewal evidence
 is looked up in the *unfiltered* contracts (any row, whatever its end date,
 amount or product class).
 
-Plans at scale.  Both forms rest on one frame, ``key_totals``: a single scan of
+Plans at scale.  The grouped datasets rest on ``key_totals``: a single scan of
 the contracts emits a tagged row for a line's end and one for its start, and one
 aggregation per ``(client_id, product, month)`` (partial first: a hot key
 collapses in each map task) holds the key's amount, whether a line of it ended
-on a month end, and whether it restarted.  The grouped datasets read the keys
-that are not renewed from it, without any join; the detail drops its lines by
-the renewed keys in an anti join that AQE may broadcast or split.
+on a month end, and whether it restarted; the keys that are not renewed are read
+from it, without any join.  The detail (``net.net_lost``) drops its lines by
+the months of ``key_masks``.
 """
 
 from __future__ import annotations
@@ -36,21 +36,46 @@ from attrition.operators.latest import latest_per_key
 KEY = ["client_id", "product", "month"]
 
 
-def _keep(base_plan_only: bool) -> Column:
+def line_rule(base_plan_only: bool) -> Column:
+    """Whether a line may count as lost: a rule on its product."""
     keep = rules.is_recurring("product")
     if base_plan_only:
         keep = keep & rules.is_base_plan_line("product")
     return keep
 
 
+def closes(contracts: DataFrame, window: Window) -> Column:
+    """Whether a line has an end date and its effective end falls in the window.
+
+    Same predicate as ``window.contains(coalesce(cancel, end))``, spelled so
+    that each side is a plain column range the Parquet reader can use.
+    """
+
+    def test(day):
+        cancel, end = day("cancel_date"), day("end_date")
+        in_window = cancel.between(window.lo, window.hi) | (cancel.missing() & end.between(window.lo, window.hi))
+        return end.present() & in_window
+
+    return dates.on_days(contracts, test)
+
+
+def restarts(contracts: DataFrame, window: Window) -> Column:
+    """Whether a line starts in a month after one of the window's."""
+    first = dates.shift_months(window.lo, 1)
+    last = dates.last_of_month(dates.shift_months(window.month0, 1))
+    return dates.on_days(contracts, lambda day: day("start_date").between(first, last))
+
+
+def cancelled_in(clients: DataFrame, window: Window) -> DataFrame:
+    """``client_id, ended_on`` of the cancellations in the window."""
+    inside = dates.on_days(clients, lambda day: day("cancel_date").between(window.lo, window.hi))
+    return clients.filter(inside).select("client_id", F.col("cancel_date").alias("ended_on"))
+
+
 def closed_ended(contracts: DataFrame, window: Window, base_plan_only: bool = False) -> DataFrame:
     """Lines with an end date whose effective end falls in the window."""
-    cancel, end = F.col("cancel_date"), F.col("end_date")
-    ended_on = dates.effective_end(cancel, end)
-    # Same predicate as window.contains(coalesce(cancel, end)), spelled so
-    # that each side is a plain column range the Parquet reader can use.
-    in_window = window.contains(cancel) | (cancel.isNull() & window.contains(end))
-    return contracts.filter(end.isNotNull() & in_window & _keep(base_plan_only)).select(
+    ended_on = dates.effective_end("cancel_date", "end_date")
+    return contracts.filter(closes(contracts, window) & line_rule(base_plan_only)).select(
         "client_id",
         "product",
         ended_on.alias("ended_on"),
@@ -76,12 +101,11 @@ def open_cancelled(
     latest-line rule (a maximum), and it stops a client listed many times
     from multiplying its lines.
     """
-    cancelled = clients.filter(
-        F.col("cancel_date").isNotNull() & window.contains("cancel_date")
-    ).select("client_id", F.col("cancel_date").alias("ended_on"))
+    cancelled = cancelled_in(clients, window)
     if distinct_clients:
         cancelled = cancelled.distinct()
-    lines = contracts.filter(F.col("end_date").isNull() & _keep(base_plan_only)).select(
+    is_open = dates.on_days(contracts, lambda day: day("end_date").missing())
+    lines = contracts.filter(is_open & line_rule(base_plan_only)).select(
         "client_id", "product", "start_date", "amount"
     )
     return lines.join(cancelled, "client_id", "inner").select(
@@ -122,11 +146,7 @@ def restarted_keys(contracts: DataFrame, window: Window | None = None) -> DataFr
     ``window`` (optional) bounds the start dates worth reading (the months
     after the window's months), which lets the scan of ``contracts`` skip data.
     """
-    starts = contracts.filter(F.col("start_date").isNotNull())
-    if window is not None:
-        first = dates.shift_months(window.lo, 1)
-        last = dates.last_of_month(dates.shift_months(window.month0, 1))
-        starts = starts.filter(F.col("start_date").between(F.lit(first), F.lit(last)))
+    starts = contracts.filter(F.col("start_date").isNotNull() if window is None else restarts(contracts, window))
     # "starts in the month after m"  ⇔  m = (month of start) − 1 month.
     return starts.select(
         "client_id",
@@ -157,21 +177,18 @@ def key_totals(
     ``ended`` counts the key's ended lines; a key of restarts alone has none.
     Starts count whatever the line's end, amount or class (unfiltered evidence).
     """
-    first = dates.shift_months(window.lo, 1)
-    last = dates.last_of_month(dates.shift_months(window.month0, 1))
     cancel, end, start = F.col("cancel_date"), F.col("end_date"), F.col("start_date")
     ended_on = dates.effective_end(cancel, end)
-    closes = end.isNotNull() & (window.contains(cancel) | (cancel.isNull() & window.contains(end))) & _keep(base_plan_only)
-    starts = start.between(F.lit(first), F.lit(last))
+    closed, starts = closes(contracts, window) & line_rule(base_plan_only), restarts(contracts, window)
 
     def tag(month: Column, amount: Column, ended: int, month_end: Column, restarted: bool) -> Column:
         parts = (month, amount, F.lit(ended), month_end, F.lit(restarted))
         return F.struct(*[c.alias(n) for c, n in zip(parts, ("month", "amount", "ended", "month_end", "restarted"), strict=True)])
 
     nothing = F.lit(None).cast(contracts.schema["amount"].dataType)
-    end_row = F.when(closes, tag(dates.month_bucket(ended_on), F.col("amount"), 1, dates.is_month_end(ended_on), False))
+    end_row = F.when(closed, tag(dates.month_bucket(ended_on), F.col("amount"), 1, dates.is_month_end(ended_on), False))
     start_row = F.when(starts, tag(F.add_months(dates.month_bucket(start), -1), nothing, 0, F.lit(False), True))
-    tagged = contracts.filter(closes | starts).select("client_id", "product", F.explode(F.array_compact(F.array(end_row, start_row))).alias("t"))
+    tagged = contracts.filter(closed | starts).select("client_id", "product", F.explode(F.array_compact(F.array(end_row, start_row))).alias("t"))
     lines = tagged.select("client_id", "product", "t.*")
     latest = latest_open_cancelled(contracts, clients, window, base_plan_only)
     open_lines = latest.select(
@@ -195,14 +212,6 @@ def key_totals(
 RENEWED = "month_end AND restarted AND client_id IS NOT NULL AND product IS NOT NULL"
 
 
-def net_lost(
-    contracts: DataFrame, clients: DataFrame, window: Window, base_plan_only: bool = False
-) -> DataFrame:
-    """Ended lines without the renewed ones (line level: the detail dataset)."""
-    renewed = key_totals(contracts, clients, window, base_plan_only).filter(RENEWED).select(*KEY)
-    return drop_renewed(ended_contracts(contracts, clients, window, base_plan_only), renewed)
-
-
 def net_lost_per_key(
     contracts: DataFrame, clients: DataFrame, window: Window, base_plan_only: bool = False
 ) -> DataFrame:

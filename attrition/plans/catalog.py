@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from attrition.functions import dates, rules
 from attrition.functions.dates import Window
 from attrition.operators import active, ended
+from attrition.operators.key_masks import base_and_lost
+from attrition.operators.net import net_lost
 from attrition.plans import datasets, reports
 from attrition.plans import sql as sql_spelling
 from attrition.sources import fixtures
@@ -213,7 +215,7 @@ def q_renewal_keys(spark, contracts, clients):
 
 @register("drop_renewed")
 def q_drop_renewed(spark, contracts, clients):
-    return _money(ended.net_lost(contracts, clients, WINDOW))
+    return _money(net_lost(contracts, clients, WINDOW))
 
 
 @register("active_intervals")
@@ -263,8 +265,7 @@ def _by_plan(contracts, clients, n_months: int = N_MONTHS, exact: bool = True) -
 
 
 def _rate(contracts, clients) -> DataFrame:
-    base = reports.last_n_months(datasets.active_by_plan_month(contracts, WINDOW), AS_OF, N_MONTHS)
-    return reports.loss_rate(base, _by_plan(contracts, clients))
+    return reports.with_rate(reports.last_n_months(base_and_lost(contracts, clients, WINDOW), AS_OF, N_MONTHS))
 
 
 @register("last_n_months")

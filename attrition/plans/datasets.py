@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from attrition.functions import rules
 from attrition.functions.dates import Window
-from attrition.operators.active import active_counts
-from attrition.operators.ended import net_lost, net_lost_per_key
+from attrition.operators.active import active_counts, touches
+from attrition.operators.ended import net_lost_per_key
+from attrition.operators.net import net_lost
 from attrition.plans.ordering import order_bounded
 
 
@@ -42,6 +43,27 @@ def lost_by(net: DataFrame, name: str, code: Column, exact: bool = False) -> Dat
     return order_bounded(out, "month", name)  # ≤ 16 months × 4 modules / 7 plans
 
 
+def lost_by_both(net: DataFrame) -> DataFrame:
+    """D1 and D2 in one pass: ``month, module, plan, lost_clients, lost_amount`` (exact), one of the codes NULL.
+
+    Rows with a module are ``lost_by(net, "module", …)``, those with a plan the
+    same by plan over the base plan lines.  Lines are summed per key first, so
+    the grouping sets double only a row per key.  At most 16 × (4 + 7) rows.
+    """
+    per_key = net.groupBy("client_id", "product", "month").agg(F.sum("amount").alias("amount"))
+    coded = per_key.select(
+        "month",
+        F.lower(rules.module_of("product")).alias("module"),
+        F.when(rules.is_base_plan_line("product"), F.lower(rules.plan_of("product"))).alias("plan"),
+        "client_id",
+        "amount",
+    )
+    sets = coded.groupingSets([["month", "module"], ["month", "plan"]], "month", "module", "plan")
+    out = sets.agg(F.count_distinct("client_id").alias("lost_clients"), F.sum("amount").alias("lost_amount"))
+    # Both codes are NULL where a module line has no plan.
+    return order_bounded(out.filter("module IS NOT NULL OR plan IS NOT NULL"), "month", "module", "plan")
+
+
 def lost_by_module_month(
     contracts: DataFrame, clients: DataFrame, window: Window, exact: bool = False
 ) -> DataFrame:
@@ -98,8 +120,7 @@ def sort_detail(detail: DataFrame) -> DataFrame:
     """
     columns = detail.columns
     counted = detail.groupBy(*columns).agg(F.count("*").alias("_copies"))
-    numbered = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    ordered = numbered.orderBy(
+    ordered = numbered_copies(counted, columns).orderBy(
         F.col("month").desc_nulls_last(),
         F.col("lost_amount").desc_nulls_last(),
         F.col("client_id").asc_nulls_last(),
@@ -110,6 +131,21 @@ def sort_detail(detail: DataFrame) -> DataFrame:
     return ordered.select(*columns)
 
 
+def numbered_copies(counted: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row ``_copies`` times, numbered by ``_copy`` from 0.
+
+    In two levels, blocks and places within a block, of about the square root of
+    the number of copies each: no row holds a number for every copy, and between
+    the levels the blocks of a row are dealt out, so no task makes them all.
+    """
+    size = F.ceil(F.sqrt("_copies"))
+    last = F.lit(1).cast("long")
+    blocks = counted.withColumn("_size", size).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - last) / F.col("_size")))))
+    dealt = blocks.repartition(*columns, "_block")
+    start = F.col("_block") * F.col("_size")
+    return dealt.withColumn("_copy", F.explode(F.sequence(start, F.least(start + F.col("_size"), F.col("_copies")) - last)))
+
+
 def sort_within_months(detail: DataFrame) -> DataFrame:
     """The detail in order within each task's rows, for files laid out by month."""
     return detail.sortWithinPartitions(F.col("month").asc(), F.col("lost_amount").desc_nulls_last())
@@ -122,7 +158,8 @@ def active_by_plan_month(contracts: DataFrame, window: Window) -> DataFrame:
     cancellation dates (a cancelled client's open line stays active): the
     numerator and denominator of the loss rate are defined differently.
     """
-    base = contracts.filter(rules.is_base_plan_line("product")).select(
+    # The bounds come first: the stored dates they use are not projected.
+    base = contracts.filter(touches(contracts, window) & rules.is_base_plan_line("product")).select(
         "client_id", "start_date", "end_date", F.lower(rules.plan_of("product")).alias("plan")
     )
     counts = active_counts(base, window, group="plan", entity="client_id")

@@ -5,7 +5,8 @@ base) and the frames built on them.  D1–D3 all start from the same net lost
 lines; D2 only adds the add-on exclusion, which depends on the product alone
 and therefore commutes with the latest-line rule and the renewal test.  So
 the net lines are computed once *without* the exclusion, written to the
-shared work folder as Parquet by month, and D1/D2/D3 are read from there.
+shared work folder as Parquet by month, and D3 is read from there.  D1 and D2
+come from one pass over it, by grouping sets, written too (a few hundred rows).
 
 The written copy replaces the source's one-hour result cache: each
 ``LossPage`` holds its own in ``folder``, which the caller deletes; rebuild the
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 
 from attrition.functions import rules
 from attrition.functions.dates import Window
-from attrition.operators.ended import net_lost
+from attrition.operators.net import net_lost
 from attrition.plans import datasets, reports
+from attrition.plans.ordering import order_bounded
 from attrition.session import work_dir
-from attrition.sources.sinks import write_dataset
+from attrition.sources.sinks import write_dataset, write_months
 
 
 def write_table(df: DataFrame, folder: str, name: str, by: str | None = None) -> DataFrame:
@@ -78,12 +80,19 @@ class LossPage:
         return self._small[name]
 
     # datasets -------------------------------------------------------------
+    def _grouped(self) -> DataFrame:
+        return self._shared("grouped", lambda: datasets.lost_by_both(self.net()))
+
+    def _by(self, name: str, exact: bool) -> DataFrame:
+        amount = F.col("lost_amount") if exact else F.col("lost_amount").cast("double").alias("lost_amount")
+        own = self._grouped().filter(F.col(name).isNotNull())
+        return order_bounded(own.select("month", name, "lost_clients", amount), "month", name)
+
     def by_module(self, exact: bool = True) -> DataFrame:
-        return datasets.lost_by(self.net(), "module", F.lower(rules.module_of("product")), exact)
+        return self._by("module", exact)
 
     def by_plan(self, exact: bool = True) -> DataFrame:
-        base_only = self.net().filter(rules.is_base_plan_line("product"))
-        return datasets.lost_by(base_only, "plan", F.lower(rules.plan_of("product")), exact)
+        return self._by("plan", exact)
 
     def detail(self) -> DataFrame:
         return datasets.with_names(self.net(), self.clients)
@@ -100,8 +109,7 @@ class LossPage:
 
     def frames(self) -> dict[str, DataFrame]:
         """Every report frame of the page, keyed like the registered queries."""
-        mod = self._shared("by-module", lambda: self._period(self.by_module()))
-        plan = self._shared("by-plan", lambda: self._period(self.by_plan()))
+        mod, plan = self._period(self.by_module()), self._period(self.by_plan())
         rate = self._shared(
             "rate", lambda: reports.loss_rate(self._period(self.active()), plan)
         )
@@ -128,7 +136,10 @@ class LossPage:
         }
 
     def write(self, path: str) -> dict[str, str]:
-        """Write the four datasets (amounts as DOUBLE) under ``path``, partitioned by month."""
+        """Write the four datasets (amounts as DOUBLE) under ``path``, partitioned by month.
+
+        Only the window's months are replaced: earlier runs' older months stay.
+        """
         double = lambda df: df.withColumn("lost_amount", F.col("lost_amount").cast("double"))
         out = {
             "lost_by_module_month": double(self.by_module()),
@@ -136,7 +147,8 @@ class LossPage:
             "lost_detail": datasets.sort_within_months(datasets.with_names(self.net(), self.clients, sort=False)),
             "active_by_plan_month": self.active(),
         }
-        return {name: write_dataset(df, f"{path.rstrip('/')}/{name}") for name, df in out.items()}
+        months = self.window.calendar()
+        return {name: write_months(df, f"{path.rstrip('/')}/{name}", months) for name, df in out.items()}
 
     def write_frames(self, path: str) -> dict[str, str]:
         """Write every report frame (each at most a few hundred rows except the detail) under ``path``."""

@@ -81,13 +81,16 @@ def complete_months(df: DataFrame, as_of: date) -> DataFrame:
 # -- totals and KPI ----------------------------------------------------------
 
 
-def monthly_totals(by_module: DataFrame) -> DataFrame:
-    """Per month: summed amount and summed distinct counts over modules."""
-    totals = by_module.groupBy("month").agg(
+def _month_sums(by_module: DataFrame) -> DataFrame:
+    return by_module.groupBy("month").agg(
         F.coalesce(F.sum("lost_amount"), F.lit(0)).alias("lost_amount"),
         F.coalesce(F.sum("lost_clients"), F.lit(0)).cast("long").alias("lost_clients"),
     )
-    out = totals.select(
+
+
+def monthly_totals(by_module: DataFrame) -> DataFrame:
+    """Per month: summed amount and summed distinct counts over modules."""
+    out = _month_sums(by_module).select(
         "month", formats.month_label("month").alias("month_label"), "lost_amount", "lost_clients"
     )
     return order_bounded(out, "month")
@@ -101,24 +104,28 @@ def period_totals(by_module: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(totals: DataFrame) -> DataFrame:
-    """Months numbered from the latest (1) back; ``totals`` has ≤16 rows."""
-    rn = F.row_number().over(W.orderBy(F.col("month").desc()))
-    return totals.select("month", "lost_amount", "lost_clients", rn.alias("_rn"))
+def _latest(c: str, n: int) -> Column:
+    """Value of ``c`` in the n-th last month present; NULL without one."""
+    return F.get(f"_months.{c}", F.lit(n - 1))
 
 
-def _pick(c: str, n: int) -> Column:
-    return F.max(F.when(F.col("_rn") == n, F.col(c)))
+def _months() -> Column:
+    """Aggregate: the months (at most the window's), latest first.
+
+    Arrays of structs merge across tasks, so this is no window over a single
+    partition.
+    """
+    return F.sort_array(F.collect_list(F.struct("month", "lost_amount", "lost_clients")), asc=False).alias("_months")
 
 
 def latest_previous(totals: DataFrame) -> DataFrame:
     """One row: value in the last month present, in the one before, and the difference."""
-    one = _ranked(totals).agg(
-        _pick("month", 1).alias("last_month"),
-        _pick("lost_amount", 1).alias("last_amount"),
-        _pick("lost_amount", 2).alias("prev_amount"),
-        _pick("lost_clients", 1).alias("last_clients"),
-        _pick("lost_clients", 2).alias("prev_clients"),
+    one = totals.agg(_months()).select(
+        _latest("month", 1).alias("last_month"),
+        _latest("lost_amount", 1).alias("last_amount"),
+        _latest("lost_amount", 2).alias("prev_amount"),
+        _latest("lost_clients", 1).alias("last_clients"),
+        _latest("lost_clients", 2).alias("prev_clients"),
     )
     return one.withColumn("delta_amount", F.col("last_amount") - F.col("prev_amount")).withColumn(
         "delta_clients", F.col("last_clients") - F.col("prev_clients")
@@ -127,15 +134,20 @@ def latest_previous(totals: DataFrame) -> DataFrame:
 
 def kpi_summary(by_module: DataFrame) -> DataFrame:
     """KPI row: last-month and period amount/clients, deltas, and display texts."""
-    row = _ranked(monthly_totals(by_module)).agg(
-        _pick("month", 1).alias("last_month"),
-        _pick("lost_amount", 1).alias("last_amount"),
-        (_pick("lost_amount", 1) - _pick("lost_amount", 2)).alias("delta_amount"),
+    totals = _month_sums(by_module).agg(
+        _months(),
         F.coalesce(F.sum("lost_amount"), F.lit(0)).alias("period_amount"),
-        _pick("lost_clients", 1).alias("last_clients"),
-        (_pick("lost_clients", 1) - _pick("lost_clients", 2)).alias("delta_clients"),
         F.coalesce(F.sum("lost_clients"), F.lit(0)).cast("long").alias("period_clients"),
     )
+    row = totals.select(
+        _latest("month", 1).alias("last_month"),
+        _latest("lost_amount", 1).alias("last_amount"),
+        (_latest("lost_amount", 1) - _latest("lost_amount", 2)).alias("delta_amount"),
+        "period_amount",
+        _latest("lost_clients", 1).alias("last_clients"),
+        (_latest("lost_clients", 1) - _latest("lost_clients", 2)).alias("delta_clients"),
+        "period_clients",
+    )
     return row.select(
         "last_month",
         F.col("last_amount").cast("double").alias("last_amount"),
@@ -229,7 +241,13 @@ def loss_rate(active_by_plan: DataFrame, lost_by_plan: DataFrame) -> DataFrame:
         "plan",
         "active_clients",
         F.coalesce(F.col("lost_clients"), F.lit(0)).cast("long").alias("lost_clients"),
-    ).withColumn("loss_pct", loss_pct("lost_clients", "active_clients"))
+    )
+    return with_rate(rate)
+
+
+def with_rate(base_and_lost: DataFrame) -> DataFrame:
+    """``month, plan, active_clients, lost_clients`` with ``loss_pct``, in order."""
+    rate = base_and_lost.withColumn("loss_pct", loss_pct("lost_clients", "active_clients"))
     return order_bounded(rate, "month", "plan")
 
 
@@ -251,17 +269,15 @@ def latest_complete_month(rate: DataFrame, as_of: date) -> DataFrame:
 def at_latest_complete_month(rate: DataFrame, as_of: date) -> DataFrame:
     """Rows of ``rate`` at its last complete month (fallback: last month present).
 
-    The month is picked by a window over the rate frame itself (≤ 16 × 7
-    rows), so the frame is computed once instead of joined with its own
-    aggregate.
+    One aggregate holds the month and the rows (≤ 16 × 7), so the frame is
+    computed once instead of joined with its own aggregate.
     """
     m0 = F.lit(first_of_month(as_of))
-    everything = W.partitionBy()
-    latest = F.coalesce(
-        F.max(F.when(F.col("month") < m0, F.col("month"))).over(everything),
-        F.max("month").over(everything),
+    one = rate.agg(
+        F.coalesce(F.max(F.when(F.col("month") < m0, F.col("month"))), F.max("month")).alias("_latest"),
+        F.collect_list(F.struct(*rate.columns)).alias("_rows"),
     )
-    return rate.withColumn("_latest", latest).filter(F.col("month") == F.col("_latest")).drop("_latest")
+    return one.select(F.inline(F.filter("_rows", lambda r: r["month"] == F.col("_latest"))))
 
 
 def base_vs_lost_latest(rate: DataFrame, as_of: date) -> DataFrame:

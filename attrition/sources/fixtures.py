@@ -15,6 +15,7 @@ expressions, from ``lineitem``, ``orders`` and ``customer``:
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,28 +62,39 @@ def derive_clients(customer: DataFrame) -> DataFrame:
     )
 
 
+def product_dimension(spark: SparkSession) -> DataFrame:
+    """``product_id, product``: the catalogue as a local table of ``len(PRODUCTS)`` rows."""
+    ids = pa.array(range(len(PRODUCTS)), pa.int64())
+    return spark.createDataFrame(pa.table({"product_id": ids, "product": pa.array(PRODUCTS)}))
+
+
 def derive_contracts(lineitem: DataFrame, orders: DataFrame, clients: DataFrame) -> DataFrame:
+    """One contract line per line item.
+
+    The product is joined from the catalogue and each date is cast on its own
+    side of the join, so that what reads the contracts finds plain columns: an
+    expression here would be copied into every rule and bound above it.
+    """
     li = lineitem.select(
-        "l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"
+        "l_orderkey", (F.col("l_partkey") % 4).alias("part"), "l_extendedprice", "l_returnflag", "l_linestatus",
+        F.col("l_shipdate").cast("date").alias("ship_day"),
     )
-    od = orders.select("o_orderkey", "o_custkey", "o_orderdate")
-    order_day = F.col("o_orderdate").cast("date")
-    ship_day = F.col("l_shipdate").cast("date")
-    later = F.greatest(order_day, ship_day)
-    product_idx = (F.col("o_custkey") * 4 + F.col("l_partkey") % 4) % len(PRODUCTS)
-    catalogue = F.array(*[F.lit(p) for p in PRODUCTS])
+    od = orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("order_day"))
+    later = F.greatest("order_day", "ship_day")
     lines = li.join(od, li.l_orderkey == od.o_orderkey, "inner").select(
         F.col("o_custkey").cast("string").alias("client_id"),
-        F.element_at(catalogue, (product_idx + 1).cast("int")).alias("product"),
-        F.least(order_day, ship_day).alias("start_date"),
+        ((F.col("o_custkey") * 4 + F.col("part")) % len(PRODUCTS)).alias("product_id"),
+        F.least("order_day", "ship_day").alias("start_date"),
         F.when(F.col("l_linestatus") == "O", F.lit(None).cast("date"))
         .when(F.col("l_returnflag").isin("R", "A"), F.last_day(later))
         .otherwise(later)
         .alias("end_date"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
     )
+    # The catalogue has a fixed number of rows, so it is broadcast on that bound.
+    named = lines.join(F.broadcast(product_dimension(lineitem.sparkSession)), "product_id", "left")
     cancel = clients.select("client_id", "cancel_date")
-    return conform(lines.join(cancel, "client_id", "left"), CONTRACTS_SCHEMA)
+    return conform(named.join(cancel, "client_id", "left"), CONTRACTS_SCHEMA)
 
 
 def derive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

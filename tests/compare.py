@@ -55,6 +55,19 @@ def rows_of(records, columns):
     return sorted(tuple(_norm(r[i]) for i in idx) for r in records)
 
 
+def in_order(records: list[dict], order: list[tuple[str, bool]]) -> bool:
+    """Whether rows follow ``(column, descending)`` terms, NULLs last in each."""
+
+    def step(a, b) -> int:
+        for column, down in order:
+            x, y = a[column], b[column]
+            if x != y:
+                return 1 if x is None else -1 if y is None else (x > y) - (x < y) if not down else (x < y) - (x > y)
+        return 0
+
+    return all(step(a, b) <= 0 for a, b in zip(records, records[1:], strict=False))
+
+
 def compare(spark, con, key: str, sf_dir: str, fn, sql: str | None) -> dict:
     t0 = time.time()
     sdf = fn(spark, sf_dir)
