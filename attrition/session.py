@@ -25,6 +25,8 @@ DEFAULT_CONF: dict[str, str] = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the call site of every expression costs more than planning them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Checkpointed intermediates are deleted once no DataFrame refers to them.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
