@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, ByteType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from attrition.session import work_dir
@@ -24,12 +26,33 @@ _POWERS: dict[int, np.ndarray] = {}
 _TYPES = {"int": IntegerType(), "long": LongType(), "double": DoubleType(), "string": StringType(), "binary": BinaryType(), "array<tinyint>": ArrayType(ByteType())}
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+#: Paths staged inside each open ``scratch``, the innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end: what is used later is staged outside, or written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def staged(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
     """``df`` written once to the shared work folder and read from there.
 
     Cuts the lineage: a lost executor costs a file read, not a recomputation.
+    One that ``stays`` outlives the ``scratch`` it is staged in, and belongs to
+    the one around that, if any.
     """
     path = f"{work_dir(df.sparkSession)}/llm/{label}-{uuid.uuid4().hex}"
+    owners = _open[:-1] if stays else _open
+    if owners:
+        owners[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

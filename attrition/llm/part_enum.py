@@ -22,7 +22,13 @@ times as many; ...) are compared with those after them that are not yet in their
 component, unless their sizes or their parities (of the shingles in 256 bins)
 show that too many shingles differ; a bucket whose sets are all connected is done.  So a bucket of
 near copies costs about one comparison a set, and no possible link is left out.
-Every pair is verified on the full shingle sets.
+Pairs that are left are held against parities in as many bins as a set has
+shingles (a bit for each, where a text takes some fifty), folded to the smaller
+set's: a bin whose parity differs holds a shingle that differs, so this too drops
+no link, and hardly a pair of unlike sets passes.  What passes is verified on the
+full shingle sets.
+
+Tables staged on the way are deleted once the result is written.
 
 Shingles and sets are known by 64-bit hashes.
 """
@@ -36,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrition.llm.common import mix, plus, shingle_hashes, signed, staged, word_hashes
+from attrition.llm.common import mix, plus, scratch, shingle_hashes, signed, staged, word_hashes
 from attrition.llm.components import components
 
 #: Least share of the union, in per cent, and words a shingle.
@@ -97,21 +103,38 @@ def signatures(shingles: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarr
     return np.concatenate(out)
 
 
+def spread(shingles: np.ndarray) -> bytes:
+    """The parities of a set's shingles by their low bits, in a power of two of bins: as many as it has, 256 at least."""
+    bins = max(256, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 256
+    odd = np.bincount((shingles & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(one: bytes, other: bytes) -> int:
+    """Bins in which the parities differ, at the smaller number of bins: no more than the shingles that differ."""
+    a, b = sorted((np.frombuffer(x, np.uint8) for x in (one, other)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _nodes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, spreads = [], [], []
+            keys, sizes, spreads, maps = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = np.unique(shingle_hashes(word_hashes(text), k))
                 keys.append(set_key(s) if len(s) else None)
                 sizes.append(len(s))
                 odd = np.bincount((s & np.uint64(64 * len(PARITIES) - 1)).astype(np.int64), minlength=64 * len(PARITIES)) & 1
                 spreads.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                maps.append(spread(s))
             parities = np.concatenate([*spreads, np.empty(0, np.int64)]).reshape(-1, len(PARITIES))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())]
-                + [pa.array(parities[:, i]) for i in range(len(PARITIES))],
-                names=["doc_id", "key", "n", *PARITIES],
+                + [pa.array(parities[:, i]) for i in range(len(PARITIES))]
+                + [pa.array(maps, pa.binary())],
+                names=["doc_id", "key", "n", *PARITIES, "spread"],
             )
 
     return run
@@ -164,6 +187,20 @@ def _checked_texts(k: int):
     return run
 
 
+def _possible(percent: int):
+    """Pairs whose parities allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            maps = zip(batch.column("spread_a").to_pylist(), batch.column("spread_b").to_pylist(), strict=True)
+            differ = np.fromiter((apart(a, b) for a, b in maps), np.int64, len(sizes))
+            keep = differ * (100 + percent) <= sizes * (100 - percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verified(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,6 +275,12 @@ def _may_link(percent: int) -> Column:
     return sizes & (apart * (100 + percent) <= (F.col("n") + F.col("n_a")) * (100 - percent))
 
 
+def _sifted(pairs: DataFrame, spreads: DataFrame, percent: int) -> DataFrame:
+    a, b = (spreads.select(*[F.col(c).alias(x if c == "key" else f"{c}_{x}") for c in spreads.columns]) for x in "ab")
+    both = pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "spread_a", "spread_b")
+    return both.mapInArrow(_possible(percent), "a long, b long")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
@@ -258,13 +301,22 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = WORDS)
 
 
 def _classes(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    docs = docs.select("doc_id", "text")
-    nodes = staged(docs.mapInArrow(_nodes(k), plus(docs.select("doc_id").schema, key="long", n="long", **dict.fromkeys(PARITIES, "long"))), "sets")
+    """``doc_id, n_shingles, component_id, key``, written; what was staged for it is gone."""
+    with scratch(docs.sparkSession):
+        found = _found_classes(docs.select("doc_id", "text"), percent, k)
+        return staged(found, "classes", stays=True)
+
+
+def _found_classes(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    columns = plus(docs.select("doc_id").schema, key="long", n="long", **dict.fromkeys(PARITIES, "long"), spread="binary")
+    nodes = staged(docs.mapInArrow(_nodes(k), columns), "sets")
     usable = nodes.filter("key IS NOT NULL AND doc_id IS NOT NULL")
     sets = usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in PARITIES])
     known = docs.filter("doc_id IS NOT NULL")
     buckets = staged(_buckets(known, k, percent).join(sets.drop("rep"), "key"), "buckets")
     texts = staged(_candidate_texts(known, sets, buckets, k), "texts")
+    own = usable.join(buckets.select("key").distinct(), "key", "left_semi")
+    spreads = staged(own.groupBy("key").agg(F.max("n").alias("n"), F.max("spread").alias("spread")), "spreads")
 
     links, tested, first = None, None, 1
     open_rows = buckets.withColumn("root", F.col("key"))
@@ -284,7 +336,8 @@ def _classes(docs: DataFrame, percent: int, k: int) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = staged(_verify(pairs, texts, k, percent), "found")
+        near = staged(_sifted(pairs, spreads, percent), "near")
+        found = staged(_verify(near, texts, k, percent), "found")
         first = until
         if found.isEmpty():
             continue
@@ -317,7 +370,7 @@ def keep_representatives(docs: DataFrame, percent: int = PERCENT, k: int = WORDS
     Documents without shingles, or with a null doc_id, link with nothing and
     stay.  Of rows with the same doc_id and text one stays.
     """
-    classes = staged(_classes(docs, percent, k), "classes")
+    classes = _classes(docs, percent, k)
     away = F.max(F.col("doc_id") != F.col("component_id"))
     marks = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(away.alias("_away"), F.count("*").alias("_rows"))
     marked = docs.join(marks.filter("_away OR _rows > 1"), "doc_id", "left").select(*docs.columns, "_away", "_rows")

@@ -58,6 +58,31 @@ def test_linked_sets_share_a_signature():
                 assert np.intersect1d(part_enum.signatures(a, ends, 85), part_enum.signatures(b, ends, 85)).size
 
 
+def test_parities_never_exceed_what_differs():
+    chance = np.random.default_rng(8)
+    for _ in range(400):
+        a = np.unique(chance.integers(0, 2**64, int(chance.integers(1, 1500)), dtype=np.uint64))
+        cut = int(chance.integers(0, len(a) + 1))
+        b = np.unique(np.concatenate([a[cut:], chance.integers(0, 2**64, int(chance.integers(1, 900)), dtype=np.uint64)]))
+        differ = len(np.setxor1d(a, b))
+        assert part_enum.apart(part_enum.spread(a), part_enum.spread(b)) <= differ
+        assert part_enum.apart(part_enum.spread(a), part_enum.spread(a)) == 0
+    a, b = (chance.integers(0, 2**64, 3000, dtype=np.uint64) for _ in range(2))
+    assert part_enum.apart(part_enum.spread(a), part_enum.spread(b)) > 6000 * 15 / 185  # unlike sets do not pass
+
+
+def test_nothing_staged_is_left_but_the_result(spark):
+    from attrition.session import work_dir
+
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/llm")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = lambda: {str(f.getPath().getName()) for f in system.listStatus(folder)} if system.exists(folder) else set()
+    before = held()
+    out = part_enum.jaccard_components(documents(spark, [prose(1, 40), prose(1, 40), prose(2, 50), prose(1, 39)]))
+    (left,) = held() - before
+    assert left.startswith("classes-") and [r.component_id for r in out.orderBy("doc_id").collect()] == [0, 0, 2, 0]
+
+
 def test_jaccard_components_equal_brute_force(spark):
     chance = random.Random(7)
     texts = []
