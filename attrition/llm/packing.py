@@ -7,14 +7,16 @@ make a bucket, so a batch of a bucket has no padding and no sequence crosses
 documents.
 
 Tokens never cross ASCII white space, so a task encodes each distinct run of
-other bytes once, remembers it for a while, and looks the rest up.
+other bytes once, remembers it for a while, and looks the rest up.  Where the
+tokenizer lower-cases, so does the task before, and runs of letters alone, which
+are one word each, are told apart by the tokenizer's word ends.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +52,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        definition = json.loads(tokenizer_json)
+        self.lowers = '"Lowercase"' in json.dumps(definition.get("normalizer"))
+        suffix = definition["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.mark_id = self.tokenizer.token_to_id(MARK)
         self.mark = f" {MARK} "
         self._forget()
@@ -65,6 +73,7 @@ class Encoder:
             new = list(dict.fromkeys(runs))
         if not new:
             return
+        new.sort(key=lambda r: not r.decode("utf-8", "replace").isalpha())  # letters alone, most runs, come first
         ids, lengths = self._encode(new)
         begins = len(self.ids) + np.cumsum(lengths) - lengths
         self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
@@ -74,12 +83,21 @@ class Encoder:
     def _encode(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All runs' ids in a row, and how many each has.
 
-        Many runs are encoded as one text, between them a special token, which
-        the tokenizer cuts out before it looks at the rest.
+        Many runs are encoded as one text.  Between letters alone a space will
+        do: the ids that end a word are counted, and if there are as many as
+        runs, each run is one word.  Else a special token goes between them,
+        which the tokenizer cuts out before it looks at the rest.
         """
         ids, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for at in range(0, len(runs), 250):
             some = [r.decode("utf-8", "replace") for r in runs[at : at + 250]]
+            if all(map(str.isalpha, some)):
+                found = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                last = np.flatnonzero(self.ends[found])
+                if len(last) == len(some):
+                    ids.append(found)
+                    lengths.append(np.diff(last, prepend=-1))
+                    continue
             if any("<|" in r for r in some):
                 found = [np.array(self.tokenizer.encode(r, add_special_tokens=False).ids, np.uint32) for r in some]
                 ids += found
@@ -104,8 +122,12 @@ class Encoder:
         for text in texts:
             data = (text or "").encode("utf-8", "replace")
             # The tokenizer itself parts a word from the signs after it, so a space there changes nothing.
-            parted = data if b"<|" in data else SIGNS.sub(rb" \1", data)
-            group.append(parted.split())
+            if b"<|" not in data:
+                # Some letters have a composed form with a mark in lower case only, so marks forbid it.
+                if self.lowers and b"\xcc" not in data and b"\xcd" not in data:
+                    data = data.lower()
+                data = SIGNS.sub(rb" \1", data)
+            group.append(data.split())
             held += len(data)
             if held >= AT_ONCE:
                 yield from self._group(group)
@@ -122,7 +144,7 @@ def _held_encoder(tokenizer_json: str) -> Encoder:
     """The encoder of this Python worker, which Spark keeps for its next task, with what it remembers."""
     import tokenizers
 
-    held = vars(tokenizers).setdefault("_attrition_encoders", {})
+    held = vars(tokenizers).setdefault("_attrition_encoders", {})  # this module itself travels by value, anew for each task
     key = hash(tokenizer_json)
     if key not in held:
         held.clear()
@@ -192,7 +214,3 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 
 def decoded(ids: bytes) -> list[int]:
     return np.frombuffer(ids, "<u4").tolist()
-
-
-def crc(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())

@@ -120,6 +120,8 @@ def test_encoder_equals_the_tokenizer():
     plain, chance = Tokenizer.from_file(TOKENIZER), random.Random(2)
     letters = " \t\n\xa0 \u0301aAbÉéßİΣσ'sdt0129%!<|endoftext|>.,漢😀"
     texts = ["".join(chance.choice(letters) for _ in range(chance.randrange(50))) for _ in range(500)]
+    texts += ["".join(chance.choice("HhJjTtWwYyİΣé aB \u0331\u030c\u0308\u030a") for _ in range(9)) for _ in range(300)]
+    texts += ["".join(chance.choice("HhJjTtİΣéÉabcABC  ") for _ in range(40)) for _ in range(300)]
     texts += ["x<|endoftext|>y <|startoftext|> z", "it's we'll, dogs' \"end.\"", None]
     with open(TOKENIZER, encoding="utf-8") as f:
         encoder = packing.Encoder(f.read())
@@ -127,6 +129,14 @@ def test_encoder_equals_the_tokenizer():
         assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+def test_buckets_hold_one_length(spark, tmp_path):
+    pieces = packing.pack(documents(spark, [prose(i, 3 + 7 * i) for i in range(30)]), TOKENIZER)
+    packing.write_buckets(pieces, str(tmp_path / "buckets"))
+    back = spark.read.parquet(str(tmp_path / "buckets"))
+    assert {(len(r.ids) // 4, r.length) for r in back.collect()} == {(n, n) for n in {r.length for r in pieces.collect()}}
+    assert back.count() == pieces.count()
+
+
 def test_piece_lengths():
     for n in range(1, 5000, 7):
         found = packing.piece_lengths(n)
