@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from attrition.functions import rules
 from attrition.functions.dates import Window
-from attrition.operators import active, ended, net
+from attrition.operators import active, ended
+from attrition.operators import net as net_lines
 from attrition.plans import catalog, datasets, reports
 from attrition.sources import fixtures
 from helpers import rows
@@ -36,8 +37,8 @@ def test_ended_is_net_plus_removed(spark, small):
 
 def test_exclusion_commutes_with_renewal_step(spark, small):
     c, k = small
-    early = net.net_lost(c, k, WIN, base_plan_only=True)
-    late = net.net_lost(c, k, WIN).filter(rules.is_base_plan_line("product"))
+    early = net_lines.net_lost(c, k, WIN, base_plan_only=True)
+    late = net_lines.net_lost(c, k, WIN).filter(rules.is_base_plan_line("product"))
     assert rows(early) == rows(late)
 
 

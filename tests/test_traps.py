@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from attrition.functions.dates import Window
-from attrition.operators import active, ended, net
+from attrition.operators import active, ended
+from attrition.operators import net as net_lines
 from attrition.plans import datasets, reports
 from helpers import D, client, contract, frames, rows
 
@@ -19,7 +20,7 @@ WIN = Window(AS_OF, 15)
 
 def net(spark, contracts, clients=None, base_plan_only=False):
     c, k = frames(spark, contracts, clients)
-    return net.net_lost(c, k, WIN, base_plan_only)
+    return net_lines.net_lost(c, k, WIN, base_plan_only)
 
 
 def test_null_product_absent_everywhere(spark):  # T3
@@ -150,7 +151,7 @@ def test_duplicate_clients(spark):  # T20
     cs = [contract(start_date=D(2000, 1, 1)), contract(start_date=D(2000, 2, 1))]
     ks = [client(cancel_date=D(2001, 5, 10)), client(cancel_date=D(2001, 5, 10), client_name="Dup")]
     c, k = frames(spark, cs, ks)
-    assert net.net_lost(c, k, WIN).count() == 1
+    assert net_lines.net_lost(c, k, WIN).count() == 1
     assert datasets.lost_detail(c, k, WIN).count() == 2
 
 
