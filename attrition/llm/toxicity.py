@@ -15,8 +15,9 @@ logistic curve that is calibrated on labelled documents neither dictionary has
 seen, weighted to the labels' own class shares, so a score is a probability.
 
 Training reads at most ``SAMPLE`` labelled texts a class, the first by a hash
-of the doc_id, of at most ``SAMPLE_CHARS`` characters each; scoring reads every
-text whole.
+of the doc_id, of at most ``SAMPLE_CHARS`` characters each, and trains the
+ordinary dictionary on at most ``PIECES`` of their windows, drawn at random;
+scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -34,11 +35,15 @@ from attrition.llm.common import plus
 
 #: Labelled texts a class that training may read (toxic, ordinary), and their length.
 SAMPLE, SAMPLE_CHARS = (2_000, 5_000), 20_000
+#: Windows that the ordinary dictionary is trained on, at most.
+PIECES = 60_000
 THRESHOLD = 0.3
 WINDOW, GRAM, CONTEXT = 192, 5, 12
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 2_048
 #: A toxic n-gram is this many times as frequent as in ordinary text, with this much evidence (twice a log likelihood).
 ODDS, EVIDENCE = 20, 100
+#: log2 of the parts in which contexts are counted.
+DEAL = 4
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -95,7 +100,17 @@ def _held(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def _contexts(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each n-gram (of ``only``), and after how many different contexts it stands."""
-    both: list[np.ndarray] = [np.empty((0, 2), np.uint64)]
+    # Dealt out by the n-gram's top bits, so that only a part is sorted at a time.
+    parts: list[list[np.ndarray]] = [[np.empty((0, 2), np.uint64)] for _ in range(1 << DEAL)]
+    held: list[np.ndarray] = []
+
+    def deal() -> None:
+        rows = np.concatenate(held)
+        held.clear()
+        own = rows[:, 0] >> np.uint64(64 - DEAL)
+        for i, part in enumerate(parts):
+            part.append(rows[own == i])
+
     for text in texts:
         padded = b" " * CONTEXT + text
         before = _hashes(padded, CONTEXT)
@@ -104,10 +119,18 @@ def _contexts(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.nd
         if only is not None:
             met = _held(only, after)
             after, before = after[met], before[met]
-        both.append(np.stack([after, after * np.uint64(0x9E3779B97F4A7C15) + before], axis=1))
-    found = np.concatenate(both)
-    _, first = np.unique(found[:, 1], return_index=True)
-    return np.unique(found[first, 0], return_counts=True)
+        held.append(np.stack([after, after * np.uint64(0x9E3779B97F4A7C15) + before], axis=1))
+        if sum(map(len, held)) >= 1 << 20:
+            deal()
+    if held:
+        deal()
+    grams, counts = [], []
+    while parts:
+        found = np.concatenate(parts.pop(0))
+        _, first = np.unique(found[:, 1], return_index=True)
+        for out, x in zip((grams, counts), np.unique(found[first, 0], return_counts=True), strict=True):
+            out.append(x)
+    return np.concatenate(grams), np.concatenate(counts)
 
 
 def _toxic_grams(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
@@ -195,7 +218,7 @@ def fit(labelled: list[tuple[str | None, int]], share: float) -> Model:
     kept = {y: [t for i, t in enumerate(x) if not i % 3] for y, x in texts.items()}
     pieces = [w for t in learn[0] for w in windows(t)]
     np.random.default_rng(0).shuffle(pieces)
-    ordinary = _trained(ORDINARY_BYTES, pieces[:60_000])
+    ordinary = _trained(ORDINARY_BYTES, pieces[:PIECES])
     model = Model(ordinary, _toxic_dictionary(learn[1], learn[0]), None, None, None, share)
     x = _features(kept[0] + kept[1], _compressor(model.ordinary), _compressor(model.toxic + model.ordinary))
     y = np.repeat([0.0, 1.0], [len(kept[0]), len(kept[1])])
