@@ -5,7 +5,9 @@ stands on are counted by a HyperLogLog sketch, made in the map tasks and merged
 by aggregation.  A line whose estimate is within the sketch's error of the
 limit has its sites counted exactly.  A line on ``MIN_SITES`` sites or more is
 boilerplate: it stays where it stands first (the smallest doc_id, its first
-place there) and goes everywhere else, so no content is lost for good.
+place there) and goes everywhere else, so no content is lost for good.  Lines
+of any length count; a blank one (ASCII white space only) parts paragraphs and
+always stays.
 
 Built-in functions only.  Lines are cut, digested and counted before any
 shuffle; the texts themselves are joined once, by row, to the places of their
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from attrition.llm.common import staged
 
-#: Sites from which a line counts as boilerplate, and the shortest line that can be (characters).
-MIN_SITES, MIN_CHARS = 5, 8
+#: Sites from which a line counts as boilerplate.
+MIN_SITES = 5
+#: What a line that is not blank holds.
+INK = r"[^\x20\x09-\x0D]"
 #: log2 of the sketch's registers: a relative error of about 1.04 / 2 ** (LG_K / 2).
 LG_K = 8
 #: Width of the band around the limit that is counted exactly, in relative errors.
@@ -28,11 +32,12 @@ SIGMAS = 4
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, site, at, line`` of every line that is long enough; ``line`` is a digest."""
-    cut = docs.select("doc_id", F.col("source").alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("at", "_t"))
-    trimmed = F.trim(F.col("_t"))
+    """``doc_id, text_hash, site, at, line`` of every line that is not blank; ``line`` is a digest."""
+    lines = F.posexplode(F.split("text", "\n", -1)).alias("at", "t")
+    cut = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("source").alias("site"), lines)
+    trimmed = F.trim(F.col("t"))
     digest = F.struct(F.xxhash64(trimmed).alias("x"), F.xxhash64(trimmed, F.lit(1)).alias("y"))
-    return cut.filter(F.length(trimmed) >= MIN_CHARS).select("doc_id", "site", "at", digest.alias("line"))
+    return cut.filter(F.col("t").rlike(INK)).select("doc_id", "text_hash", "site", "at", digest.alias("line"))
 
 
 def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -68,25 +73,30 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` without repeated boilerplate lines, plus ``n_lines`` and ``n_removed``.
 
-    ``docs`` has doc_id, text and source; other columns are kept as they are.
-    A null text has no lines and stays null; a text whose lines all go becomes
-    empty.  Rows that share a doc_id and text are cleaned alike, so each keeps
-    the line that stands there first.  A null doc_id is smaller than any other.
-    An empty table gives an empty result.
+    ``docs`` has doc_id, text and source; other columns are kept as they are,
+    but for any named ``n_lines`` or ``n_removed``, which are replaced.  A null
+    text has no lines and stays null; a text whose lines all go becomes empty.
+    Rows that share a doc_id and text are cleaned alike, so each keeps the line
+    that stands there first.  A null doc_id is smaller than any other.  An
+    empty table gives an empty result.
     """
     found = staged(boilerplate_lines(docs, min_sites), "boilerplate")
-    away = _lines(docs).join(found.select("line", "first"), "line")
+    lines = _lines(docs).join(found.select("line", "first"), "line")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))
-    away = away.filter(~stays).groupBy("doc_id").agg(F.collect_set(F.struct("at", "line")).alias("_away"))
-    joined = docs.join(away.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    lines = F.split("text", "\n", -1)
-    trimmed = lambda t: F.trim(t)
-    digest = lambda t: F.struct(F.xxhash64(trimmed(t)).alias("x"), F.xxhash64(trimmed(t), F.lit(1)).alias("y"))
-    goes = lambda t, i: F.array_contains(F.col("_away"), F.struct(i.alias("at"), digest(t).alias("line")))
-    kept = F.when(F.col("_away").isNull(), lines).otherwise(F.filter(lines, lambda t, i: ~goes(t, i)))
-    rows = joined.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)))
-    return rows.select(
-        *[F.col(c) if c != "text" else F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n")).alias("text") for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).alias("n_removed"),
+    # One row for each text that loses lines, so null ids do not meet in one.
+    away = lines.filter(~stays).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("away"))
+    # The rows' own columns go by number here, so none of their names can clash.
+    others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = {c: f"c{i}" for i, c in enumerate(others)}
+    rows = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in own.items()])
+    text = F.col(own["text"])
+    met = F.col(own["doc_id"]).eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_hash"))
+    joined = rows.join(away, met, "left").withColumn("lines", F.split(text, "\n", -1))
+    # Places that stay: a set difference, linear in a text's lines.
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("away"))
+    kept = F.when(F.col("away").isNull(), text).otherwise(F.array_join(F.transform(places, lambda i: F.col("lines")[i]), "\n"))
+    return joined.select(
+        *[(kept if c == "text" else F.col(n)).alias(c) for c, n in own.items()],
+        F.when(text.isNull(), 0).otherwise(F.size("lines")).alias("n_lines"),
+        F.coalesce(F.size(F.col("away")), F.lit(0)).alias("n_removed"),
     )

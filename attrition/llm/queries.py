@@ -160,7 +160,7 @@ WITH cut AS (
 ), one AS (
   SELECT doc_id, source, unnest(parts) AS raw, unnest(range(len(parts))) AS place FROM cut
 ), line AS (
-  SELECT doc_id, source, place, trim(raw) AS t FROM one WHERE length(trim(raw)) >= {line_dedup.MIN_CHARS}
+  SELECT doc_id, source, place, trim(raw) AS t FROM one WHERE regexp_matches(raw, '{line_dedup.INK}')
 ), boiler AS (
   SELECT t, arg_min(doc_id, (doc_id, place)) AS d0, arg_min(place, (doc_id, place)) AS a0
   FROM line GROUP BY t HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}

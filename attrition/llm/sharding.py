@@ -1,8 +1,9 @@
 """Sharding in the order of a Hilbert curve.
 
-Metadata columns are quantised to ``2 ** bits`` steps each: numbers at their
-own quantiles over all rows, other values by a hash.  A cell of that grid has a
-place on a Hilbert curve, which visits neighbouring cells one after another.
+Metadata columns are quantised to ``2 ** bits`` steps each, at their own
+quantiles over all rows: numbers by Spark's quantile sketch, other values in the
+order of their text by exact counts of the rows before each.  A cell of that
+grid has a place on a Hilbert curve, which visits neighbouring cells one after another.
 Rows in curve order are cut into runs, one a shard, so a shard (and each file
 of it) covers a small range of every dimension and the minima and maxima in its
 footers prune reads on any of them.
@@ -61,6 +62,37 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def text_cuts(df: DataFrame, column: str, steps: int) -> list[str]:
+    """The texts of ``column`` that begin a step, ascending: ``steps`` at most, with about as many rows from one to the next.
+
+    Rows are counted by value first; the values are sorted in ranges, and each
+    finds the rows before it from its own range and the ranges' totals.  A value
+    with many rows is one step, and the next value begins another.
+    """
+    counts = df.select(F.col(f"`{column}`").cast("string").alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+    spread = staged(counts, "values").repartitionByRange("value").sortWithinPartitions("value")
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = 0
+        for batch in batches:
+            ends = at + batch["n"].cumsum()
+            yield batch.assign(at=ends - batch["n"])
+            at = int(ends.iloc[-1]) if len(ends) else at
+
+    schema = plus(counts.schema, range="int", at="long")
+    spread = staged(spread.withColumn("range", F.spark_partition_id()).mapInPandas(summed, schema), "values")
+    totals = sorted((r["range"], r["rows"]) for r in spread.groupBy("range").agg(F.sum("n").alias("rows")).collect())
+    starts, total = [], 0
+    for part, n in totals:
+        starts.append((part, total))
+        total += n
+    start = df.sparkSession.createDataFrame(starts, "range int, start long")
+    placed = spread.join(F.broadcast(start), "range")  # a row for each range
+    step = F.expr(f"(start + at) * {steps} DIV {max(1, total)}")
+    begins = placed.groupBy(step.alias("step")).agg(F.min("value").alias("value")).collect()  # a row for each step
+    return [r["value"] for r in sorted(begins, key=lambda r: r["step"])]
+
+
 def _steps(df: DataFrame, dims: Sequence[str], bits: int) -> list[Column]:
     """The grid step of each dimension; a null is on step 0."""
     kinds = {c: isinstance(df.schema[c].dataType, T.NumericType) for c in dims}
@@ -71,7 +103,8 @@ def _steps(df: DataFrame, dims: Sequence[str], bits: int) -> list[Column]:
     out = []
     for c in dims:
         if not kinds[c]:
-            step = F.pmod(F.xxhash64(c), F.lit(2**bits))
+            at = F.array(*[F.lit(x) for x in text_cuts(df, c, 2**bits)]).cast("array<string>")
+            step = F.greatest(F.size(F.filter(at, _up_to(c))) - 1, F.lit(0))
         elif cuts[c]:
             at = F.array(*[F.lit(float(x)) for x in sorted(set(cuts[c]))])
             step = F.size(F.filter(at, _below(c)))
@@ -85,6 +118,10 @@ def _below(c: str):
     return lambda x: x < F.col(c)
 
 
+def _up_to(c: str):
+    return lambda x: x <= F.col(c).cast("string")
+
+
 def curve_order(df: DataFrame, dims: Sequence[str], bits: int = BITS, name: str = "_place") -> DataFrame:
     """``df`` with its place on the curve over the columns ``dims``."""
 

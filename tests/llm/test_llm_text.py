@@ -11,8 +11,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from llm_data import SCHEMA, documents, odd_rows, prose
+from pyspark.sql import functions as F
 
 from attrition.llm import decontaminate, katz, line_dedup, packing, secret_scan, sharding, toxicity
 from attrition.llm.common import shingle_hashes, word_hashes, words
@@ -89,6 +91,27 @@ def test_lines_on_few_sites_stay(spark):
     assert line_dedup.drop_boilerplate(docs, 4).filter("n_removed = 0").count() == 1
 
 
+def test_short_lines_count_and_blank_ones_stay(spark):
+    texts = [f"Home\n \t\n}}\nown {i}\n\nx{i % 4}\n\r" for i in range(9)]
+    docs = documents(spark, texts).withColumn("source", F.concat(F.lit("s"), "doc_id"))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.drop_boilerplate(docs).collect()}
+    assert got[0] == (texts[0], 7, 0)
+    assert all(got[i] == (f" \t\nown {i}\n\nx{i % 4}\n\r", 7, 2) for i in range(1, 9))
+
+
+def test_line_dedup_columns_and_null_ids(spark):
+    line = "seen on every site"
+    rows = [(None if i % 2 else i, f"{line}\nown {i}", f"s{i}", i, 1, 2, "c", "d") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines long, n_removed long, away int, c0 string, text_hash string")
+    out = line_dedup.drop_boilerplate(docs)
+    assert out.columns == ["doc_id", "text", "source", "away", "c0", "text_hash", "n_lines", "n_removed"]
+    got = {r.source: r for r in out.collect()}
+    # Null ids come first and stand at the same place: each is the line's first document.
+    for i in range(20):
+        assert (got[f"s{i}"].text, got[f"s{i}"].n_removed) == ((f"{line}\nown {i}", 0) if i % 2 else (f"own {i}", 1))
+        assert (got[f"s{i}"].away, got[f"s{i}"].c0, got[f"s{i}"].text_hash, got[f"s{i}"].n_lines) == (2, "c", "d", 2)
+
+
 def test_line_dedup_odd_rows(spark, odd):
     out = line_dedup.drop_boilerplate(odd)
     assert out.count() == odd.count() and out.columns == [*odd.columns, "n_lines", "n_removed"]
@@ -181,6 +204,34 @@ def test_shards_prune(spark):
     assert np.mean([w[0] for w in width.values()]) < 2000 and np.mean([w[1] for w in width.values()]) < 2000
 
 
+def test_text_cuts_follow_the_rows_before(spark):
+    chance = random.Random(4)
+    values = [None, *(chance.choice(["", "a", "https://one", "https://one.two", "é", "z" * 300] + [f"v{j:03}" for j in range(90)]) for _ in range(3000))]
+    values += ["hot"] * 1500
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    order = sorted((v for v in values if v is not None), key=lambda v: v.encode())
+    begins: dict[int, str] = {}
+    for v in sorted(set(order), key=lambda v: v.encode()):
+        begins.setdefault(order.index(v) * 32 // len(order), v)
+    assert sharding.text_cuts(df, "v", 32) == list(begins.values())
+    assert sharding.text_cuts(df.limit(0), "v", 32) == []
+
+
+def test_files_prune_on_text(spark, tmp_path):
+    docs = spark.range(6000).selectExpr("id", "concat('src', id * 7919 % 20) AS source", "id * 104729 % 6000 AS size")
+    sharding.write_shards(docs, str(tmp_path / "out"), ["size", "source"])
+    footers = [pq.ParquetFile(f) for f in (tmp_path / "out").rglob("*.parquet")]
+    assert sum(f.metadata.num_rows for f in footers) == 6000
+    wanted = {f"src{i}": 0 for i in range(20)}
+    for f in footers:
+        at = f.schema_arrow.names.index("source")
+        held = [f.metadata.row_group(g).column(at).statistics for g in range(f.metadata.num_row_groups)]
+        for s in wanted:
+            wanted[s] += any(h.min <= s <= h.max for h in held)
+    # By a hash of the source, a read of one source met nearly every file.
+    assert max(wanted.values()) <= len(footers) / 2 and np.mean(list(wanted.values())) <= len(footers) / 3
+
+
 # language model
 
 
