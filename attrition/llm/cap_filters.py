@@ -6,7 +6,13 @@ code living on its own slice of the (randomly rotated) space.  Because the
 product is a sum over slices, all filters a vector passes are listed from its
 inner products with the few code vectors, without trying every filter.  The
 codes grow with the square root of the number of vectors, so the vectors a
-filter catches do not.  Close vectors pass many filters in common.
+filter catches do not.  Close vectors pass many filters in common; one that
+passes none is given its best.
+
+Vectors are compared with those of the same length, and each length has codes
+for its own number of vectors.  Short ones get zeros behind, up to ``DIMS``
+components, so that their filters are as varied.  Of one-component vectors only
+the sign counts.
 
 Equal vectors are collapsed first and count by their number.  Vectors of one
 filter meet in one place, in blocks where there are many, and every pair of
@@ -17,6 +23,7 @@ the smallest filter both have passed, so once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,22 +31,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attrition.llm.common import staged
+from attrition.llm.common import plus, staged
 from attrition.llm.components import components
 
 COSINE = 0.9
-#: Filters that a vector passes on average, slices of the space, and vectors of a filter that meet at once.
+#: Filters that a vector passes on average, at least, slices of the space, and vectors of a filter that meet at once.
 PASSED, PARTS, BLOCK = 20, 2, 512
 #: Rows of small filters that are compared in one call, about, and pairs held at once.
 TOGETHER, PAIRS = 4_000, 200_000
+#: Share of pairs just at the limit that have to share a filter, and random pairs to measure it on.
+RECALL, PROBES = 0.95, 512
+#: Components that filters have, at least.
+DIMS = 16
+#: Entries of filter lists that are compared at once.
+ENTRIES = 4_000_000
 _SEED = 20_240_101
 
 
+def code_size(vectors: int) -> int:
+    """Code vectors of each slice."""
+    return max(8, int(np.ceil(np.sqrt(4.0 * vectors))))
+
+
 def codes(dims: int, vectors: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The rotation and the unit code vectors of each slice."""
     chance = np.random.default_rng(_SEED)
+    dims = max(dims, DIMS)
     rotation, _ = np.linalg.qr(chance.normal(size=(dims, dims)))
-    size = max(8, int(np.ceil(np.sqrt(4.0 * vectors))))
+    size = code_size(vectors)
     out = []
     for part in np.array_split(np.arange(dims), PARTS):
         code = chance.normal(size=(size, len(part)))
@@ -47,24 +66,56 @@ def codes(dims: int, vectors: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return rotation, out
 
 
-def limit(dims: int, vectors: int) -> float:
-    """The filter value that a random vector exceeds for ``PASSED`` filters on average."""
-    rotation, (first, second) = codes(dims, vectors)
+def _probes(dims: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors, and for each one at that cosine."""
     chance = np.random.default_rng(_SEED + 1)
-    probe = chance.normal(size=(256, dims))
-    probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-    cut = first.shape[1]
-    a, b = probe[:, :cut] @ first.T, probe[:, cut:] @ second.T
-    share = min(0.5, PASSED / (len(first) * len(second)))
-    some = chance.integers(0, len(second), size=(256, 64))
-    values = a[:, :, None] + np.take_along_axis(b, some, 1)[:, None, :]
-    return float(np.quantile(values, 1 - share))
+    a, b = chance.normal(size=(2, PROBES, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    if dims == 1:
+        return a, a
+    b -= (b * a).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+
+def _value(unit: np.ndarray, rotation: np.ndarray, parts: list[np.ndarray], share: float) -> float:
+    """The filter value that ``unit`` exceeds for that share of all filters, by bisection."""
+    first, second = parts
+    turned = unit @ rotation[: unit.shape[1]]
+    a, b = turned[:, : first.shape[1]] @ first.T, np.sort(turned[:, first.shape[1] :] @ second.T, axis=1)
+    wanted = share * len(unit) * len(first) * len(second)
+    low, high = -2.0, 2.0
+    for _ in range(30):
+        middle = (low + high) / 2
+        above = sum(int((len(y) - np.searchsorted(y, middle - x)).sum()) for x, y in zip(a, b, strict=True))
+        low, high = (middle, high) if above > wanted else (low, middle)
+    return low
+
+
+def limit(dims: int, vectors: int, cosine: float = COSINE) -> tuple[float, float]:
+    """Filters passed on average, and the filter value for it, so that vectors at the cosine meet.
+
+    The more vectors, the smaller the caps and the fewer of its filters a vector
+    shares with one at the limit.  So the number passed grows from ``PASSED``
+    until ``RECALL`` of random pairs just at the limit share a filter.
+    """
+    rotation, parts = codes(dims, vectors)
+    a, b = _probes(dims, cosine)
+    filters, wanted = len(parts[0]) * len(parts[1]), float(PASSED)
+    while True:
+        share = min(0.5, wanted / filters)
+        least = _value(a[:128], rotation, parts, share)
+        both = zip(passed(a, rotation, parts, least), passed(b, rotation, parts, least), strict=True)
+        met = np.mean([len(np.intersect1d(x, y, assume_unique=True)) > 0 for x, y in both])
+        if met >= RECALL or share == 0.5:
+            return wanted, least
+        wanted *= 1.25
 
 
 def passed(unit: np.ndarray, rotation: np.ndarray, parts: list[np.ndarray], least: float) -> list[np.ndarray]:
-    """The numbers of all filters that each row of ``unit`` passes, ascending."""
+    """The numbers of all filters that each row of ``unit`` passes, ascending; of one that passes none, its best."""
     first, second = parts
-    turned = unit @ rotation
+    turned = unit @ rotation[: unit.shape[1]]
     a, b = turned[:, : first.shape[1]] @ first.T, turned[:, first.shape[1] :] @ second.T
     out = []
     for x, y in zip(a, b, strict=True):
@@ -72,7 +123,8 @@ def passed(unit: np.ndarray, rotation: np.ndarray, parts: list[np.ndarray], leas
         held = np.searchsorted(-y[down], x - least, side="right")  # y >= least - x
         rows = np.repeat(np.arange(len(x)), held)
         begin = np.repeat(np.cumsum(held) - held, held)
-        out.append(np.sort(rows * len(y) + down[np.arange(len(rows)) - begin]))
+        found = rows * len(y) + down[np.arange(len(rows)) - begin]
+        out.append(np.sort(found) if len(found) else np.array([np.argmax(x) * len(y) + down[0]]))
     return out
 
 
@@ -87,14 +139,20 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _catch(dims: int, vectors: int):
+def _catch(vectors: dict[int, int], limits: dict[int, tuple[float, float]]):
+    """Filters of each vector; for each length, its number of distinct vectors and its ``limit``."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rotation, parts = codes(dims, vectors)
-        least = limit(dims, vectors)
+        @lru_cache(maxsize=4)
+        def model(dims: int):
+            return *codes(dims, vectors[dims]), limits[dims][1]
+
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                some = batch.iloc[at : at + 1024]
-                yield some.assign(filters=passed(_unit(some["v"].tolist()), rotation, parts, least))
+            for dims, own in batch.groupby("dims"):
+                few = max(1, int(TOGETHER * code_size(vectors[dims]) ** 2 / (limits[dims][0] * vectors[dims])))
+                for at in range(0, len(own), 1024):
+                    some = own.iloc[at : at + 1024]
+                    yield some.assign(few=few, filters=passed(_unit(some["v"].tolist()), *model(dims)))
 
     return run
 
@@ -128,6 +186,27 @@ def _proposed(filters: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarra
         yield first, np.repeat(start[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def _first_shared(lists: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest number that ``lists[i]`` and ``lists[j]`` share, for each pair; every pair shares one."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    flat = np.concatenate(lists).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+
+    def entries(at: np.ndarray) -> np.ndarray:
+        n = sizes[at]
+        begin = np.repeat(np.cumsum(n) - n, n)
+        filters = flat[np.repeat(starts[at], n) + np.arange(n.sum()) - begin]
+        return np.repeat(np.arange(len(at)), n) << 42 | filters
+
+    out = np.empty(len(i), np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes[i] + sizes[j]) // ENTRIES, prepend=0))
+    for part in np.split(np.arange(len(i)), cuts):
+        both = np.intersect1d(entries(i[part]), entries(j[part]), assume_unique=True)
+        _, first = np.unique(both >> 42, return_index=True)
+        out[part] = both[first] & ((1 << 42) - 1)
+    return out
+
+
 def _compare(cosine: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Links within filters or between blocks: each vector's links, and one link to its component's first vector."""
@@ -138,8 +217,7 @@ def _compare(cosine: float):
         for i, j in _proposed(filters, side):
             near = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
             i, j = i[near], j[near]
-            shared = [np.intersect1d(lists[a], lists[b], assume_unique=True)[0] for a, b in zip(i, j, strict=True)]
-            first = np.array(shared, np.int64) == filters[i]
+            first = _first_shared(lists, i, j) == filters[i]
             pairs.append((i[first], j[first]))
         i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
         known, place = np.unique(rows["id"].to_numpy(), return_inverse=True)
@@ -155,44 +233,47 @@ def _compare(cosine: float):
 def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``rows(vec_id, embedding, ...)``.
 
-    Vectors that are null, empty, zero, of another length than most, or with a
-    null or non-finite component link with nothing, and a null vec_id takes no
-    part.  Rows that repeat are vectors of their own.  Further columns are
-    ignored.  An empty table gives an empty result.
+    Vectors that are null, empty, zero, or with a null or non-finite component
+    link with nothing, and a null vec_id takes no part.  Vectors of different
+    lengths do not link.  Rows that repeat are vectors of their own.  Further
+    columns are ignored.  An empty table gives an empty result.
     """
-    rows = rows.select("vec_id", F.col("embedding").alias("v"))
+    v = F.col("embedding")
+    signs = F.transform(v, lambda x: F.signum(x).cast(rows.schema["embedding"].dataType.elementType))
+    rows = rows.select("vec_id", F.when(F.size(v) == 1, signs).otherwise(v).alias("v"))
     fine = _usable("v") & F.col("vec_id").isNotNull()
-    lengths = rows.filter(fine).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").take(1)
-    dims = lengths[0]["d"] if lengths else 0
-    good = fine & (F.size("v") == dims) if dims > 1 else F.lit(False)
-    rows = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
+    rows = rows.withColumn("_good", F.coalesce(fine, F.lit(False)))
     alone = rows.filter("NOT _good").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept")
     )
     classes = staged(
-        rows.filter("_good").groupBy("v").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("copies")), "classes"
+        rows.filter("_good").groupBy("v").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("copies")).withColumn("dims", F.size("v")),
+        "classes",
     )
-    vectors = classes.count()
+    # A row for each length that occurs.
+    vectors = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
     if not vectors:
         return alone
-    schema = T.StructType([*classes.schema.fields, T.StructField("filters", T.ArrayType(T.LongType()))])
-    caught = staged(classes.mapInPandas(_catch(dims, vectors), schema), "caught")
+    limits = {d: limit(d, n, cosine) for d, n in vectors.items()}
+    schema = plus(classes.schema, few="long")
+    schema.add("filters", T.ArrayType(T.LongType()))
+    caught = staged(classes.mapInPandas(_catch(vectors, limits), schema), "caught")
     at = caught.select("*", F.explode("filters").alias("filter"))
-    many = at.groupBy("filter").agg(F.count("*").alias("_n")).filter("_n > 1")
+    many = at.groupBy("dims", "filter").agg(F.count("*").alias("_n")).filter("_n > 1")
     # A filter's vectors are dealt into blocks; each goes to every pair that its block is in.
-    met = at.join(many.select("filter", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "filter")
+    met = at.join(many.select("dims", "filter", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), ["dims", "filter"])
     met = met.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    few = max(1, TOGETHER * len(codes(dims, vectors)[1][0]) ** 2 // (PASSED * vectors))
     small = F.col("_blocks") == 1
     met = met.select(
-        F.when(small, -1 - F.floor(F.col("filter") / few)).otherwise(F.col("filter")).alias("cell"),
+        "dims",
+        F.when(small, -1 - F.floor(F.col("filter") / F.col("few"))).otherwise(F.col("filter")).alias("cell"),
         F.least("_own", "_other").alias("b1"),
         F.greatest("_own", "_other").alias("b2"),
         F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1).alias("side"),
         "filter", "id", "copies", "v", "filters",
     )
-    found = staged(met.groupBy("cell", "b1", "b2").applyInPandas(_compare(cosine), "id long, n long, root long"), "found")
+    found = staged(met.groupBy("dims", "cell", "b1", "b2").applyInPandas(_compare(cosine), "id long, n long, root long"), "found")
     links = found.groupBy("id").agg(F.sum("n").alias("_links"))
     roots = components(found, "id", "root")
     tied = (

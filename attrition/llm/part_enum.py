@@ -50,8 +50,6 @@ PERCENT, WORDS = 85, 4
 SUBPARTS = 3
 #: Columns with the parities of a set's shingle counts in 64 bins each.
 PARITIES = ("p0", "p1", "p2", "p3")
-#: Candidate ids that may be broadcast (8 bytes each); more are shuffled.
-BROADCAST_IDS = 1_000_000
 _PLACE = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -262,8 +260,6 @@ def _buckets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def _candidate_texts(docs: DataFrame, sets: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
     wanted = staged(buckets.select("key").distinct().join(sets, "key").select("key", F.col("rep").alias("doc_id")), "cand")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
     found = docs.join(wanted, "doc_id").select("key", "text")
     return found.mapInArrow(_checked_texts(k), "key long, text string").dropDuplicates(["key"])
 
