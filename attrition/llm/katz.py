@@ -21,8 +21,10 @@ token stands at both ends.)
 
 *Tables.*  Words and runs are known by 64-bit hashes, that of a run coming from
 those of its context and of its end.  Counts, contexts and values are tables
-that are joined.  To score, a task sends each bucket the keys its texts ask for,
+that are joined.  To score, a task sends a bucket the keys its texts ask for,
 packed; where they meet the bucket's part of the table, sums by text come back.
+A bucket that is asked for nothing is sent nothing, so there are never more
+messages than keys, however many buckets there are.
 Tasks are sent only what is bounded: the runs that make up more than a share
 ``HOT`` of all (at most 1 / HOT of each length), so a very common one never
 gathers in a bucket.
@@ -39,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrition.llm.common import mix, signed, staged, word_hashes
+from attrition.llm.common import mix, scratch, signed, staged, word_hashes
 
 ORDER, K = 3, 5
 #: Keys of the end token and of the class that words beyond a given vocabulary share.
@@ -136,10 +138,11 @@ def _bucket_sql(key: str, buckets: int) -> Column:
     return (F.shiftrightunsigned(key, 33) % buckets).cast("int")
 
 
-def _split(order_by: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by bucket, and where each bucket begins in it."""
-    order = np.argsort(order_by, kind="stable")
-    return order, np.searchsorted(order_by[order], np.arange(buckets + 1))
+def _split(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by bucket, the buckets that are met, and where each begins in it (and the end)."""
+    order = np.argsort(bucket, kind="stable")
+    met, begins = np.unique(bucket[order], return_index=True)
+    return order, met, np.append(begins, len(order))
 
 
 def _lists(values: np.ndarray, begins: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -156,10 +159,10 @@ def _counted(kept, k: int, buckets: int):
                 for length, _, keys, context, tail in _runs(_classes(flat, kept and kept.value), place, k):
                     if length == k:
                         keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-                        order, begins = _split(_bucket(keys, buckets), buckets)
-                        lists = [(signed(context[first][order]), begins), (signed(tail[first][order]), begins), (counts[order], begins)]
+                        order, met, begins = _split(_bucket(keys, buckets))
+                        lists = (signed(context[first][order]), signed(tail[first][order]), counts[order])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.arange(buckets), pa.int32()), *(_lists(v, at, pa.int64()) for v, at in lists)],
+                            [pa.array(met, pa.int32()), *(_lists(x, begins, pa.int64()) for x in lists)],
                             names=["bucket", "context", "tail", "c"],
                         )
 
@@ -198,23 +201,23 @@ def _asked(held, kept, order: int, buckets: int):
                 met, at = known_here(flat)
                 add = lambda t, v: np.bincount(t, v, len(group))  # noqa: B023, E731
                 base, score, known = add(text[met], bases[at[met]]), add(text[met], values[at[met]]), add(text[met], None)
-                yield _message(1, _bucket(flat[~met], buckets), buckets, rows[text[~met]], signed(flat[~met]))
+                yield _message(1, _bucket(flat[~met], buckets), rows[text[~met]], signed(flat[~met]))
                 for _, last, keys, _, _ in _runs(_classes(flat, kept and kept.value), place, order):
                     met, at = known_here(keys)
                     score = score + add(text[last][met], values[at[met]])
-                    yield _message(2, _bucket(keys[~met], buckets), buckets, rows[text[last][~met]], signed(keys[~met]))
-                yield _message(0, rows % buckets, buckets, rows, np.arange(len(group)), base, score, known.astype(np.int64))
+                    yield _message(2, _bucket(keys[~met], buckets), rows[text[last][~met]], signed(keys[~met]))
+                yield _message(0, rows % buckets, rows, np.arange(len(group)), base, score, known.astype(np.int64))
 
     return run
 
 
-def _message(kind: int, bucket, buckets: int, row, key, x=None, y=None, known=None) -> pa.RecordBatch:
-    order, begins = _split(bucket, buckets)
-    none = np.zeros(buckets + 1, np.int64)
+def _message(kind: int, bucket, row, key, x=None, y=None, known=None) -> pa.RecordBatch:
+    order, to, begins = _split(bucket)
+    none = np.zeros(len(to) + 1, np.int64)
     lists = [_lists(row[order], begins, pa.int64()), _lists(key[order], begins, pa.int64())]
     for values, t in ((x, pa.float64()), (y, pa.float64()), (known, pa.int64())):
         lists.append(_lists(values[order], begins, t) if values is not None else _lists(np.empty(0), none, t))
-    columns = [pa.array(np.arange(buckets), pa.int32()), pa.array(np.full(buckets, kind), pa.int32()), *lists]
+    columns = [pa.array(to, pa.int32()), pa.array(np.full(len(to), kind), pa.int32()), *lists]
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", "row", "key", "x", "y", "known"])
 
 
@@ -312,13 +315,15 @@ def katz_scores(
         packed = learn.select("text").mapInArrow(_counted(own, k, buckets), "bucket int, context array<long>, tail array<long>, c array<long>")
         runs = packed.groupBy("bucket").applyInPandas(_added(k), "key long, context long, tail long, c long")
         below = lower.select(F.col("key").alias("tail"), F.col("p").alias("below"))
-        runs = staged(runs.join(below, "tail").select("key", "context", "c", "below"), "runs")
-        d = discounts(_spread(runs))
-        runs = runs.withColumn("cut", _discount_sql("c", d))
-        sums = runs.groupBy("context").agg(*[F.sum(x).alias(y) for x, y in (("c", "total"), ("cut", "kept"), ("below", "met"))])
-        weights.append(staged(sums.select("context", *_context_columns()), "contexts"))
-        lower = runs.join(weights[-1], "context").withColumn("p", F.col("cut") / F.col("whole"))
-        lower = staged(lower.select("key", "c", "p", (F.log10("p") - F.col("weight") - F.log10("below")).alias("g")), "values")
+        with scratch(spark):
+            runs = staged(runs.join(below, "tail").select("key", "context", "c", "below"), "runs")
+            d = discounts(_spread(runs))
+            runs = runs.withColumn("cut", _discount_sql("c", d))
+            sums = runs.groupBy("context").agg(*[F.sum(x).alias(y) for x, y in (("c", "total"), ("cut", "kept"), ("below", "met"))])
+            weights.append(staged(sums.select("context", *_context_columns()), "contexts", stays=True))
+            lower = runs.join(weights[-1], "context").withColumn("p", F.col("cut") / F.col("whole"))
+            lower = lower.select("key", "c", *["p"] * (k < order), (F.log10("p") - F.col("weight") - F.log10("below")).alias("g"))
+            lower = staged(lower, "values", stays=True)
         levels.append(lower.select("key", "c", "g", F.col("key").alias("class")))
 
     tables, hot = [], []

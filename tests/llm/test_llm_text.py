@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from llm_data import SCHEMA, documents, odd_rows, prose
@@ -309,6 +310,18 @@ def test_katz_keeps_every_word_apart(spark):
         assert got[tests[0]] == pytest.approx(got[learns[3]])
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 1 << 30])
+def test_katz_messages_are_no_more_than_keys(buckets):
+    """Each run goes to one bucket, and no bucket is sent an empty message."""
+    batch = pa.RecordBatch.from_pydict({"text": ["a b a b c", None, "", "b a b"]})
+    pairs = Counter(p for t in batch.column("text").to_pylist() for p in zip([None, *words(t)], [*words(t), None], strict=True))
+    sent = [r for part in katz._counted(None, 2, buckets)(iter([batch])) for r in part.to_pylist()]
+    assert all(r["c"] for r in sent) and len(sent) <= min(buckets, len(pairs))
+    assert len({r["bucket"] for r in sent}) == len(sent)
+    got = Counter((x, y) for r in sent for x, y in zip(r["context"], r["tail"], strict=True))
+    assert len(got) == len(pairs) and sum(c for r in sent for c in r["c"]) == sum(pairs.values())
+
+
 def plain_katz_any_order(rows, order):
     """P(word | history) by recursion over runs of all words, END at both ends."""
     learn = [[None, *words(t), None] for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 10 != 0]
