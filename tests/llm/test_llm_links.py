@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -243,7 +245,61 @@ def test_mined_rules_match_by_index(spark):
     rows += [(1000, "http://casino.site1.net/win/9"), (1001, "http://shop.site1.net/buy/9"), (1000, "http://casino.site1.net/win/9")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     got = {r.page_id: (r.verdict, r.learned) for r in url_filter.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
-    assert got[1000][0] == "block" and got[1000][1] and got[1001] == ("allow", None)
+    assert got[1000][0] == "block" and "casino" in got[1000][1]
+    assert got[1001][0] == "allow" and "casino" not in got[1001][1]
+
+
+def plain_rules(rows, support, least, items, confidence, certainty):
+    """Every rule of ``(tokens, block)`` rows by trying each set of tokens of each row."""
+    n, bad = len(rows), sum(b for _, b in rows)
+    support = max(support, least / n)
+    frequency = Counter(t for tokens, _ in rows for t in tokens)
+    every, marked = Counter(), Counter()
+    for tokens, b in rows:
+        some = tokens
+        if len(tokens) > items:
+            some = sorted((t for t in tokens if frequency[t] >= support * n), key=lambda t: (frequency[t], t))[:items]
+        for k in range(1, len(some) + 1):
+            for part in combinations(sorted(some), k):
+                every[part] += 1
+                marked[part, "=block" if b else "=allow"] += 1
+    rules = {}
+    for (part, label), m in marked.items():
+        share = bad / n if label == "=block" else 1 - bad / n
+        sure = m / every[part]
+        if m >= support * n - 1e-9 and sure >= confidence and share < 1 and (sure - share) / (1 - share) >= certainty:
+            rules[part, label] = (sure, m / n, (sure - share) / (1 - share))
+    inner = lambda p: (q for k in range(1, len(p)) for q in combinations(p, k))
+    return {r: x for r, x in rules.items() if all(rules.get((q, r[1]), (0,))[0] < x[0] for q in inner(r[0]))}
+
+
+@pytest.mark.parametrize("items", [3, 12])
+def test_rules_and_matches_equal_a_plain_version(spark, items):
+    rng = random.Random(items)
+    rows = []
+    for _ in range(300):
+        tokens = sorted({f"t{min(int(rng.expovariate(0.25)), 11)}" for _ in range(rng.randint(1, 6))})
+        rows.append((tokens, rng.random() < (0.8 if {"t1", "t2"} <= set(tokens) or "t7" in tokens else 0.15)))
+    labelled = spark.createDataFrame(rows, "tokens array<string>, block boolean")
+    terms = {"support": 0.01, "least": 4, "items": items, "confidence": 0.5, "certainty": 0.25}
+    mined = url_filter.mined_rules(labelled, **terms)
+    got = {(tuple(r["items"]), r["label"]): (r["confidence"], r["support"], r["certainty"]) for r in mined.collect()}
+    want = plain_rules(rows, **terms)
+    assert want.keys() == got.keys() and {label for _, label in want} == {"=block", "=allow"}
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    found = {tuple(r["tokens"]): (r["label"], r["learned"]) for r in url_filter.matched(labelled.select("tokens"), mined).collect()}
+    for tokens, _ in rows:
+        held = [(round(x[2], 9), round(x[1], 9), label, " ".join(part)) for (part, label), x in want.items() if set(part) <= set(tokens)]
+        assert found.get(tuple(tokens)) == (max(held)[2:] if held else None)
+
+
+def test_long_urls_and_one_label(spark):
+    """Thirty-five parts that always come together: a bounded number of sets, and no label share to beat where all are alike."""
+    pages = spark.createDataFrame([(i, "http://a.b/" + "/".join(f"x{chr(97 + j % 26) * (1 + j // 26)}" for j in range(35))) for i in range(40)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert {(r.verdict, r.learned) for r in url_filter.judge(pages, labels).collect()} == {("allow", None)}
+    alike = spark.createDataFrame([(i, 1, 1) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert {(r.verdict, r.learned) for r in url_filter.judge(pages, alike).collect()} == {("allow", None)}
 
 
 # registry and pipeline
