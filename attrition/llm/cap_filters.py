@@ -45,6 +45,8 @@ RECALL, PROBES = 0.95, 512
 DIMS = 16
 #: Entries of filter lists that are compared at once.
 ENTRIES = 4_000_000
+#: Vectors from which a filter's are compared by matrix products, and filters that a product takes at once.
+DENSE, WIDE = 24, 4096
 _SEED = 20_240_101
 
 
@@ -207,6 +209,36 @@ def _first_shared(lists: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
+def _met_before(lists: list[np.ndarray], number: int) -> np.ndarray:
+    """Whether two of ``lists`` share a number below ``number``, for all of them with all, by products of their incidence."""
+    below = [x[: np.searchsorted(x, number)] for x in lists]
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in below])
+    _, column, held = np.unique(np.concatenate(below), return_inverse=True, return_counts=True)
+    row, column = row[held[column] > 1], column[held[column] > 1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(lists), len(lists)), np.float32)
+    for at in range(0, len(held), WIDE):
+        some = slice(*np.searchsorted(column, (at, at + WIDE)))
+        if some.start < some.stop:
+            met = np.zeros((len(lists), WIDE), np.float32)
+            met[row[some], column[some] - at] = 1
+            shared += met @ met.T
+    return shared > 0
+
+
+def _pairs_of_one(unit: np.ndarray, lists: list[np.ndarray], side: np.ndarray, number: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one filter at the limit or closer that share no smaller one."""
+    one = side[:, None] * 3 + side[None, :]
+    wanted = np.triu(one == 8, 1) | (one == 1)  # both of one block, or of the two
+    wanted &= unit @ unit.T >= cosine - 1e-9
+    if wanted.any():
+        wanted &= ~_met_before(lists, number)
+    i, j = np.nonzero(wanted)
+    near = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
+    return i[near], j[near]
+
+
 def _compare(cosine: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Links within filters or between blocks: each vector's links, and one link to its component's first vector."""
@@ -214,7 +246,14 @@ def _compare(cosine: float):
         unit, lists = _unit(rows["v"].tolist()), rows["filters"].tolist()
         filters, side = rows["filter"].to_numpy(), rows["side"].to_numpy()
         pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        for i, j in _proposed(filters, side):
+        _, begins, place, sizes = np.unique(filters, return_index=True, return_inverse=True, return_counts=True)
+        for begin, size in zip(begins[sizes >= DENSE], sizes[sizes >= DENSE], strict=True):
+            one = slice(begin, begin + size)
+            i, j = _pairs_of_one(unit[one], lists[one], side[one], filters[begin], cosine)
+            pairs.append((i + begin, j + begin))
+        few = np.flatnonzero(sizes[place] < DENSE)
+        for i, j in _proposed(filters[few], side[few]):
+            i, j = few[i], few[j]
             near = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
             i, j = i[near], j[near]
             first = _first_shared(lists, i, j) == filters[i]

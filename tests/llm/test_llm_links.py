@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from llm_data import documents, odd_rows, prose
 from test_llm_text import ascii_words
@@ -249,6 +250,23 @@ def test_mined_rules_match_by_index(spark):
     assert got[1001][0] == "allow" and "casino" not in got[1001][1]
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_dense_filters_equal_pairs_one_by_one(blocks, monkeypatch):
+    """Matrix products give the links and components that single pairs give, within a filter and between blocks."""
+    chance = np.random.default_rng(blocks)
+    centres = chance.normal(size=(3, 16))
+    v = centres[chance.integers(0, 3, 90)] + 0.35 * chance.normal(size=(90, 16))
+    lists = [np.unique(np.append(chance.integers(0, 400, 6), 200)) for _ in v]
+    side = np.full(90, 2) if blocks == 1 else np.repeat([0, 1], 45)
+    rows = pd.DataFrame({"id": chance.permutation(90), "v": list(v), "copies": chance.integers(1, 4, 90), "filter": 200, "side": side, "filters": lists})
+    got = cap_filters._compare(0.9)(rows.copy())
+    monkeypatch.setattr(cap_filters, "DENSE", 1000)
+    assert len(got) and got.equals(cap_filters._compare(0.9)(rows.copy()))
+    monkeypatch.setattr(cap_filters, "DENSE", 2)
+    monkeypatch.setattr(cap_filters, "WIDE", 7)
+    assert got.equals(cap_filters._compare(0.9)(rows.copy()))
+
+
 def plain_rules(rows, support, least, items, confidence, certainty):
     """Every rule of ``(tokens, block)`` rows by trying each set of tokens of each row."""
     n, bad = len(rows), sum(b for _, b in rows)
