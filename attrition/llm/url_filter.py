@@ -11,9 +11,12 @@ is entered under one of its tokens, the one that the fewest labelled URLs have,
 and looked at only for URLs with that token.  Of the rules that a URL holds, the
 one furthest on that way decides.
 
-Of a URL with more than ``ITEMS`` frequent tokens only the rarest ``ITEMS`` are
-mined, so there are at most 2 ** ITEMS / SUPPORT combinations; rules are matched
-against all tokens.
+All tokens of a URL are mined.  Tokens that stand in the same labelled URLs (the
+fixed parts of a long template) are mined as one: a combination with two of them
+says no more than with one of them, so it is no rule.  The rules found are then
+written out for each of them, which gives just the rules of mining them all.
+Beyond that the work grows with the number of frequent combinations, whatever
+the lengths.
 """
 
 from __future__ import annotations
@@ -42,8 +45,6 @@ LISTED = (
 SUPPORT, LEAST = 0.001, 10
 #: Least share of the label among those with the combination, and how far that is from the label's overall share (0) to 1.
 CONFIDENCE, CERTAINTY = 0.5, 0.25
-#: Tokens of a URL that are mined.
-ITEMS = 12
 BLOCK, ALLOW = "=block", "=allow"
 
 
@@ -80,23 +81,81 @@ def tokens(url: str = "url") -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(suffixes, segments, keys), lambda x: x != "h:")))
 
 
-def _baskets(labelled: DataFrame, frequency: DataFrame, least: float, items: int) -> DataFrame:
-    """``items`` of each row of ``labelled(tokens, block)``: its tokens, the rarest frequent ones of a long row, and its label."""
+def _baskets(labelled: DataFrame, frequency: DataFrame, least: float, items: int | None) -> DataFrame:
+    """``tokens, label`` of each row of ``labelled(tokens, block)``; with ``items``, of a longer row the rarest frequent tokens only."""
+    label = F.when(F.col("block"), BLOCK).otherwise(ALLOW).alias("label")
+    if items is None:
+        return labelled.select("tokens", label)
     long = labelled.filter(F.size("tokens") > items).select("tokens").distinct()
     of = long.select("tokens", F.explode("tokens").alias("entry")).join(frequency.filter(F.col("_n") >= least), "entry")
     rarest = F.slice(F.sort_array(F.collect_list(F.struct("_n", "entry"))), 1, items)  # a list is one URL's tokens
     short = of.groupBy("tokens").agg(rarest["entry"].alias("_some"))
-    label = F.when(F.col("block"), BLOCK).otherwise(ALLOW)
     some = F.coalesce("_some", F.when(F.size("tokens") > items, F.array().cast("array<string>")).otherwise(F.col("tokens")))
-    return labelled.join(short, "tokens", "left").select(F.array_append(some, label).alias("items"))
+    return labelled.join(short, "tokens", "left").select(some.alias("tokens"), label)
+
+
+def _twins(baskets: DataFrame, least: float) -> DataFrame:
+    """``entry, members``: frequent tokens that stand in the same baskets, two or more, under the first of them.
+
+    The baskets that a token is in are known by 128 bits of hashes.
+    """
+    sets = baskets.groupBy("tokens").agg(F.count("*").alias("_n"))
+    hashes = [F.xxhash64(F.lit(i), "tokens").alias(f"_x{i}") for i in range(2)]
+    marks = sets.select(F.explode("tokens").alias("entry"), "_n", *hashes)
+    marks = marks.groupBy("entry").agg(F.sum("_n").alias("_n"), *[F.bit_xor(f"_x{i}").alias(f"_x{i}") for i in range(2)])
+    members = F.array_sort(F.collect_list("entry")).alias("members")  # all of one URL
+    alike = marks.filter(F.col("_n") >= least).groupBy("_x0", "_x1").agg(members).filter(F.size("members") > 1)
+    return alike.select(F.col("members")[0].alias("entry"), "members")
+
+
+def _without_twins(baskets: DataFrame, twins: DataFrame) -> DataFrame:
+    """``baskets`` with the first of each twins alone."""
+    more = twins.select(F.explode(F.slice("members", 2, F.size("members"))).alias("entry"))
+    held = baskets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("entry"))
+    gone = held.join(F.broadcast(more), "entry").groupBy("tokens").agg(F.collect_list("entry").alias("_gone"))
+    rest = F.when(F.col("_gone").isNull(), F.col("tokens")).otherwise(F.array_except("tokens", "_gone"))
+    return baskets.join(gone, "tokens", "left").select(rest.alias("tokens"), "label")
+
+
+def _with_twins(rules: DataFrame, twins: DataFrame) -> DataFrame:
+    """Each rule once for every choice of a twin for each of its tokens."""
+    said = [c for c in rules.columns if c not in ("items", "label")]
+    each = rules.select("*", F.explode("items").alias("entry")).join(F.broadcast(twins), "entry", "left")
+    options = F.collect_list(F.coalesce("members", F.array("entry"))).alias("_of")
+    wide = each.groupBy("items", "label").agg(*[F.first(c).alias(c) for c in said], options)
+    none = F.array(F.array().cast("array<string>"))
+    chosen = F.aggregate("_of", none, lambda all, some: F.flatten(F.transform(all, lambda x: F.transform(some, lambda y: F.array_append(x, y)))))
+    return wide.select(F.explode(chosen).alias("items"), "label", *said).withColumn("items", F.array_sort("items"))
+
+
+def _least_rules(rules: DataFrame, sure: DataFrame) -> DataFrame:
+    """``rules`` of which no part gives the same label with the same confidence or more.
+
+    ``sure(items, label, confidence)`` holds the rules and all their parts.  From
+    size to size, a combination takes the best confidence of any part of it from
+    those with one token less.
+    """
+    largest = rules.agg(F.max(F.size("items"))).first()[0] or 1
+    best = sure.filter(F.size("items") == 1).select("items", "label", F.col("confidence").alias("_best"))
+    beaten = None
+    for size in range(2, largest + 1):
+        own = sure.filter(F.size("items") == size).withColumnRenamed("items", "_whole")
+        parts = own.select("_whole", "label", "confidence", F.explode(F.transform("_whole", lambda x: F.array_remove("_whole", x))).alias("items"))
+        within = parts.join(best, ["items", "label"]).groupBy(F.col("_whole").alias("items"), "label")
+        level = staged(within.agg(F.first("confidence").alias("confidence"), F.max("_best").alias("_within")), "parts")
+        best = level.select("items", "label", F.greatest("confidence", "_within").alias("_best"))
+        lost = level.filter(F.col("_within") >= F.col("confidence")).select("items", "label")
+        beaten = lost if beaten is None else beaten.unionByName(lost)
+    return rules if beaten is None else rules.join(beaten, ["items", "label"], "left_anti")
 
 
 def mined_rules(
-    labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, certainty: float = CERTAINTY, items: int = ITEMS, least: int = LEAST
+    labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, certainty: float = CERTAINTY, items: int | None = None, least: int = LEAST
 ) -> DataFrame:
     """``items, label, confidence, support, certainty, entry`` of the rules in ``labelled(tokens, block)``.
 
     ``entry`` is the index token.  With fewer than ``least`` rows there are none.
+    Only when asked by ``items`` does a row give no more than so many tokens.
     """
     spark = labelled.sparkSession
     schema = "items array<string>, label string, confidence double, support double, certainty double, entry string"
@@ -106,24 +165,21 @@ def mined_rules(
     support = max(support, least / rows)
     frequency = labelled.select(F.explode("tokens").alias("entry")).groupBy("entry").agg(F.count("*").alias("_n"))
     baskets = _baskets(labelled, frequency, support * rows - 1e-6, items)
-    found = FPGrowth(itemsCol="items", minSupport=support).fit(baskets).freqItemsets
+    twins = staged(_twins(baskets, support * rows - 1e-6), "twins")
+    some = not twins.isEmpty()
+    baskets = _without_twins(baskets, twins) if some else baskets
+    found = FPGrowth(itemsCol="items", minSupport=support).fit(baskets.select(F.array_append("tokens", F.col("label")).alias("items"))).freqItemsets
     sets = staged(found.select(F.array_sort("items").alias("items"), "freq"), "frequent")
     # The labels sort before every token.
-    label, rest = F.col("items")[0], F.slice("items", 2, items)
+    label, rest = F.col("items")[0], F.slice("items", 2, F.size("items"))
     sure = sets.filter(label.isin(BLOCK, ALLOW) & (F.size("items") > 1)).select(rest.alias("items"), label.alias("label"), "freq")
+    sure = sure.join(sets.withColumnRenamed("freq", "_all"), "items").withColumn("confidence", F.col("freq") / F.col("_all"))
+    sure = staged(sure.select("items", "label", "confidence", (F.col("freq") / rows).alias("support")), "sure")
     share = F.when(F.col("label") == BLOCK, bad / rows).otherwise(1 - bad / rows)
-    rules = sure.join(sets.withColumnRenamed("freq", "_all"), "items").withColumn("confidence", F.col("freq") / F.col("_all"))
-    rules = rules.withColumn("certainty", F.try_divide(F.col("confidence") - share, 1 - share))
+    rules = sure.withColumn("certainty", F.try_divide(F.col("confidence") - share, 1 - share))
     rules = rules.filter((F.col("confidence") >= confidence) & (F.col("certainty") >= certainty))
-    rules = staged(rules.select("items", "label", "confidence", (F.col("freq") / rows).alias("support"), "certainty"), "rules")
-    # Each part of a rule, less one token or more, is looked up.
-    sizes = F.size("items")
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2), sizes).cast("int") - 1)
-    part = lambda m: F.filter("items", lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1)
-    parts = rules.select("items", "label", "confidence", F.explode(F.transform(masks, part)).alias("_part")).filter(F.size("_part") < sizes)
-    wider = rules.select(F.col("items").alias("_part"), "label", F.col("confidence").alias("_sure"))
-    wider = parts.join(wider, ["_part", "label"]).filter(F.col("_sure") >= F.col("confidence")).select("items", "label").distinct()
-    rules = rules.join(wider, ["items", "label"], "left_anti")
+    rules = _least_rules(rules, sure.select("items", "label", "confidence"))
+    rules = _with_twins(rules, twins) if some else rules
     ranked = rules.select("*", F.explode("items").alias("entry")).join(frequency, "entry")
     said = ["confidence", "support", "certainty"]
     return ranked.groupBy("items", "label").agg(*[F.first(c).alias(c) for c in said], F.min(F.struct("_n", "entry"))["entry"].alias("entry"))
