@@ -481,5 +481,24 @@ def test_recall_counts_blanked_contexts():
     assert net.thresholds["mixed"] <= blank and net.recalls["mixed"] == 1 and net.false_rates["mixed"] == (1.0, 1200)
 
 
+def test_thresholds_come_from_every_finding(spark, monkeypatch):
+    """Thousands of findings of a class: all that are held out set the thresholds and are counted, whatever the number of parts."""
+    chance = random.Random(17)
+    key = lambda n: "".join(chance.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(n)) + "a1"
+    texts = [" ".join(f"{prose(i + j, 2)} password = {key(28)} ;" for j in range(40)) for i in range(100)]
+    texts += [" ".join(f"to user.{i}.{j}@mail-server-number{chance.randrange(10**6)}.example.com and" for j in range(145)) for i in range(100)]
+    monkeypatch.setattr(secret_scan, "PART", 2000)
+    docs = documents(spark, texts)
+    net = secret_scan.train(docs)
+    found = docs.select("text").mapInArrow(secret_scan._findings, "view string, shape string, secret int").distinct()
+    held = [r for r in found.selectExpr("*", "pmod(xxhash64(view), 3) = 0 AS held").collect() if r.held]
+    assert net.false_rates["mixed"][1] == sum(r.secret == 0 for r in held) > 4500
+    plain = secret_scan.Network(net.kernel, net.bias, net.weights, net.offset)
+    plain.set_thresholds([(r.view, r.shape, r.secret) for r in held])
+    assert net.thresholds == pytest.approx(plain.thresholds) and net.recalls == pytest.approx(plain.recalls)
+    assert net.false_rates["mixed"] == pytest.approx(plain.false_rates["mixed"]) and net.recalls["mixed"] >= secret_scan.RECALL
+    assert sum(bool(secret_scan.added_spans(f"see {key(28)} there", [], net)) for _ in range(60)) >= 45
+
+
 def test_schema_is_what_the_tests_use():
     assert "doc_id long" in SCHEMA
