@@ -20,7 +20,8 @@ signature that only one set has needs no look; the others form buckets.  Round
 by round, growing numbers of bucket members (the first; the next six; four
 times as many; ...) are compared with those after them that are not yet in their
 component, unless their sizes or their parities (of the shingles in 256 bins)
-show that too many shingles differ; a bucket whose sets are all connected is done.  So a bucket of
+show that too many shingles differ; a bucket whose sets are all connected is done, and so is one
+whose members have all been compared: only open buckets are read in a later round.  So a bucket of
 near copies costs about one comparison a set, and no possible link is left out.
 Pairs that are left are held against parities in as many bins as a set has
 shingles (a bit for each, where a text takes some fifty), folded to the smaller
@@ -339,10 +340,12 @@ def _found_classes(docs: DataFrame, percent: int, k: int) -> DataFrame:
             continue
         links = found if links is None else links.unionByName(found)
         roots = staged(components(links), "roots")
-        rows = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+        # Classes only grow, so a bucket that is done stays done; so does one without members after those compared.
+        rows = open_rows.drop("root").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
             "sig", "key", "rank", "n", *PARITIES, F.coalesce("root", "key").alias("root")
         )
-        undone = rows.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+        ends = [F.min("root").alias("x"), F.max("root").alias("y"), F.max("rank").alias("last")]
+        undone = rows.groupBy("sig").agg(*ends).filter((F.col("x") != F.col("y")) & (F.col("last") > first))
         open_rows = staged(rows.join(undone.select("sig"), "sig", "left_semi"), "open")
 
     if links is None:

@@ -121,6 +121,26 @@ def test_jaccard_components_equal_brute_force(spark):
     assert part_enum.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_compared_buckets_are_not_read_again(spark, monkeypatch):
+    """Buckets of two unlike sets are compared in the first round and gone in the next; a larger one stays."""
+    half = lambda i, n: " ".join(f"w{i}a{j}" for j in range(n))
+    texts = [f"{half(i, 120)} {half(100 + 2 * i + j, 40)}" for i in range(12) for j in range(2)]  # pairs that are too far apart
+    texts += [half(900, 60), half(900, 60) + " more"]
+    put, held = part_enum.staged, []
+
+    def staged(df, label, stays=False):
+        out = put(df, label, stays)
+        if label in ("buckets", "open"):
+            held.append((label, out.groupBy("sig").count().filter("count = 2").count(), out.count()))
+        return out
+
+    monkeypatch.setattr(part_enum, "staged", staged)
+    got = {r.doc_id: r.component_id for r in part_enum.jaccard_components(documents(spark, texts)).collect()}
+    assert got == {i: i for i in range(25)} | {25: 24}
+    assert held[0][0] == "buckets" and held[0][1] > 20
+    assert held[1:] and all(rows == 0 for label, _, rows in held if label == "open")
+
+
 def test_shingles_of_short_texts():
     assert len(shingle_hashes(word_hashes("a b"), 4)) == 1
     assert len(shingle_hashes(word_hashes("a b"), 4, short=False)) == 0
