@@ -42,10 +42,27 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files when they end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
     """``df`` written once to the shared work folder and read from there.
 
     Cuts the lineage: a lost executor costs a file read, not a recomputation.
+    The shuffle files it took go as soon as it is written, not when the driver
+    next collects garbage.
     One that ``stays`` outlives the ``scratch`` it is staged in, and belongs to
     the one around that, if any.
     """
@@ -53,7 +70,8 @@ def staged(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
     owners = _open[:-1] if stays else _open
     if owners:
         owners[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

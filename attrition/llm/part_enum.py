@@ -12,12 +12,16 @@ A set signs for its own band, and for the next one when a partner can be there.
 domain is cut into ``n1`` parts; so many that some part differs in at most one
 shingle.  Each part is cut into three, and a signature is the content of two of
 them: one difference spoils at most two of a part's three signatures, so linked
-sets share one.  ``spare`` extra parts allow skipping empty contents (which
-would match at random) unless a set has more of them than that.
+sets share one.  Empty contents would match at random.  A set of ``n`` shingles
+differs from any partner in the band in at most
+``floor((n + min(u, 100n / percent))(100 - percent) / (100 + percent))`` of them, mostly fewer than
+``d``, so a number of its parts that may hold empty contents can be done without:
+it skips them unless it has more such parts.  ``spare`` extra parts add to that
+number.  A signature is sent as 48 bits; chance matches fail as other pairs do.
 
 *Search.*  Equal sets carry one key and are collapsed in the map tasks.  A
 signature that only one set has needs no look; the others form buckets.  Round
-by round, growing numbers of bucket members (the first; the next six; four
+by round, growing numbers of bucket members (the first; the next fourteen; eight
 times as many; ...) are compared with those after them that are not yet in their
 component, unless their sizes or their parities (of the shingles in 256 bins)
 show that too many shingles differ; a bucket whose sets are all connected is done, and so is one
@@ -49,8 +53,12 @@ from attrition.llm.components import components
 #: Least share of the union, in per cent, and words a shingle.
 PERCENT, WORDS = 85, 4
 SUBPARTS = 3
+#: Bits of a signature that are kept.
+SIGNATURE = np.uint64(2**48 - 1)
 #: Columns with the parities of a set's shingle counts in 64 bins each.
 PARITIES = ("p0", "p1", "p2", "p3")
+#: Bits of a bitmap that tasks are sent, at most: 16 MB.
+BITMAP = 2**27
 _PLACE = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -77,8 +85,11 @@ def part_signatures(shingles: np.ndarray, sums: np.ndarray, label: int, last: in
     if differ == 0:
         return mix(sums[-1:] + salt)
     needed = differ // 2 + 1
-    spare = needed // 20
-    n1 = needed + spare
+    n1 = needed + needed // 20
+    size = len(shingles)
+    own = (size + min(last, size * 100 // percent)) * (100 - percent) // (100 + percent)
+    # Parts that differ in two shingles or more from a partner are own // 2 at most; one other part has to be left.
+    dispensable = n1 - own // 2 - 1
     place = np.arange(n1 * SUBPARTS, dtype=np.uint64)
     at = np.append(np.searchsorted(shingles, place * np.uint64(2**64 // len(place))), len(shingles))
     counts = np.diff(at).reshape(n1, SUBPARTS)
@@ -87,7 +98,7 @@ def part_signatures(shingles: np.ndarray, sums: np.ndarray, label: int, last: in
     others = content.sum(1, keepdims=True, dtype=np.uint64) - content
     signatures = mix(others.ravel() + (place + salt) * _PLACE)
     empty = held == 0
-    if not empty.any() or empty.any(1).sum() > spare:
+    if not empty.any() or empty.any(1).sum() > dispensable:
         return signatures
     return signatures[~empty.ravel()]
 
@@ -99,7 +110,7 @@ def signatures(shingles: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarr
     out = [part_signatures(shingles, sums, band, int(ends[band]), percent)]
     if len(shingles) * 100 // percent > ends[band]:
         out.append(part_signatures(shingles, sums, band + 1, int(ends[band + 1]), percent))
-    return np.concatenate(out)
+    return np.concatenate(out) & SIGNATURE
 
 
 def spread(shingles: np.ndarray) -> bytes:
@@ -259,9 +270,25 @@ def _buckets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     )
 
 
+def _sieved(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``wanted``, which is staged; the rest is for a join to drop.
+
+    Tasks are sent a bitmap of hashes (2 MB for a million values, ``BITMAP`` bits at most), so what is
+    not wanted is not shuffled.
+    """
+    bits = min(BITMAP, max(2**15, 1 << (16 * wanted.count()).bit_length()))
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    marks = wanted.groupBy(F.bitmap_bucket_number(at).alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.expr("shiftright(_byte, _place) & 1") == 1
+    met = rows.join(F.broadcast(marks), F.bitmap_bucket_number(at) == F.col("_block"))
+    return met.withColumns({"_byte": byte, "_place": (place % 8).cast("int")}).filter(marked).select(*rows.columns)
+
+
 def _candidate_texts(docs: DataFrame, sets: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
     wanted = staged(buckets.select("key").distinct().join(sets, "key").select("key", F.col("rep").alias("doc_id")), "cand")
-    found = docs.join(wanted, "doc_id").select("key", "text")
+    found = _sieved(docs, wanted, "doc_id").join(wanted, "doc_id").select("key", "text")
     return found.mapInArrow(_checked_texts(k), "key long, text string").dropDuplicates(["key"])
 
 
@@ -279,6 +306,8 @@ def _sifted(pairs: DataFrame, spreads: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+    texts = _sieved(texts, ends, "key")
     a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(b, "b").join(a, "a").select("a", "text_a", "b", "text_b")
@@ -318,7 +347,7 @@ def _found_classes(docs: DataFrame, percent: int, k: int) -> DataFrame:
     links, tested, first = None, None, 1
     open_rows = buckets.withColumn("root", F.col("key"))
     while (top := open_rows.agg(F.max("rank")).first()[0]) is not None and first < top:
-        until = 2 if first == 1 else 4 * first
+        until = 2 if first == 1 else 8 * first
         lead = open_rows.filter(F.col("rank").between(first, until - 1)).select(
             "sig", *[F.col(c).alias(f"{c}_a") for c in ("key", "rank", "root", "n", *PARITIES)]
         )
@@ -338,8 +367,8 @@ def _found_classes(docs: DataFrame, percent: int, k: int) -> DataFrame:
         first = until
         if found.isEmpty():
             continue
-        links = found if links is None else links.unionByName(found)
-        roots = staged(components(links), "roots")
+        roots = staged(components(found if links is None else links.unionByName(found)), "roots")
+        links = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         # Classes only grow, so a bucket that is done stays done; so does one without members after those compared.
         rows = open_rows.drop("root").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
             "sig", "key", "rank", "n", *PARITIES, F.coalesce("root", "key").alias("root")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import random
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -10,11 +12,12 @@ import numpy as np
 import pandas as pd
 import pytest
 from llm_data import documents, odd_rows, prose
+from pyspark.sql import functions as F
 from test_llm_text import ascii_words
 
 import corpus_pipeline
 from attrition.llm import cap_filters, components, part_enum, queries, url_filter
-from attrition.llm.common import shingle_hashes, word_hashes
+from attrition.llm.common import shingle_hashes, staged, word_hashes
 
 
 def closure(nodes, links):
@@ -61,6 +64,51 @@ def test_linked_sets_share_a_signature():
                 assert np.intersect1d(part_enum.signatures(a, ends, 85), part_enum.signatures(b, ends, 85)).size
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_unlike_sets_share_no_empty_contents(percent):
+    """Sets at the lower end of a band, or that sign for the next one too, leave empty contents out, and still meet what links."""
+    chance = np.random.default_rng(9)
+    ends = part_enum.size_bands(percent)
+    for end in ends[(ends > 100) & (ends < 1200)]:
+        for size in (end * percent // 100 + 1, end * percent**2 // 10_000 + 2, end):
+            sets = [np.unique(chance.integers(0, 2**64, size, dtype=np.uint64)) for _ in range(40)]
+            met, held = np.unique(np.concatenate([part_enum.signatures(s, ends, percent) for s in sets]), return_counts=True)
+            assert held[held > 1].sum() <= 0.002 * len(met), (size, held[held > 1].sum(), len(met))
+            for a in sets:
+                for drop in (0, size * (100 - percent) // 100):  # as many as may go, or as may come
+                    fresh = chance.integers(0, 2**64, 0 if drop else size * (100 - percent) // percent, dtype=np.uint64)
+                    b = np.unique(np.concatenate([chance.permutation(a)[drop:], fresh]))
+                    assert 100 * min(len(a), len(b)) >= percent * max(len(a), len(b))
+                    assert np.intersect1d(part_enum.signatures(a, ends, percent), part_enum.signatures(b, ends, percent)).size
+
+
+def test_sieve_keeps_all_that_is_wanted(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("key"), F.lit("x").alias("text"))
+    wanted = spark.range(0, 20_000, 100).withColumnRenamed("id", "key")
+    left = part_enum._sieved(rows, wanted, "key")
+    assert left.columns == rows.columns
+    assert left.join(wanted, "key").count() == 200 and left.count() < 2_000
+    assert part_enum._sieved(rows, wanted.limit(0), "key").count() == 0
+    odd = spark.createDataFrame([("", "a"), ("b", "b"), (None, "c"), ("b", "d")], "key string, text string")
+    left = part_enum._sieved(odd, odd.filter("key = 'b'").select("key"), "key").join(spark.createDataFrame([("b",)], "key string"), "key")
+    assert sorted(r.text for r in left.collect()) == ["b", "d"]
+
+
+def test_shuffle_files_go_once_a_table_is_staged(spark):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in files if f.rsplit("/", 1)[-1].startswith("shuffle_") and f.endswith(".data")}
+
+    before = held()
+    assert staged(spark.range(5000).repartition(7, "id").groupBy((F.col("id") % 9).alias("x")).count(), "few").count() == 9
+    last = time.monotonic() + 10
+    # What the count itself shuffled may stay; it is one row a task.
+    left = lambda: [f for f in held() - before if os.path.exists(f) and os.path.getsize(f) > 2000]
+    while left() and time.monotonic() < last:
+        time.sleep(0.1)
+    assert not left()
+
+
 def test_parities_never_exceed_what_differs():
     chance = np.random.default_rng(8)
     for _ in range(400):
