@@ -21,7 +21,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     sym = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = sym.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
     up = sym.filter("v > u").join(low, "u")
-    return up.select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    return up.select(F.col("v").alias("u"), F.col("low").alias("v"))  # repeats go in the next step
 
 
 def _small_star(links: DataFrame) -> DataFrame:
