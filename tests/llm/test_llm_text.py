@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -365,6 +366,35 @@ def test_katz_order_three_equals_a_plain_version(spark):
         assert sum(p((*history, *w)) for w in vocabulary) == pytest.approx(1)
 
 
+def test_katz_stages_texts_not_runs(spark, monkeypatch):
+    """No table of runs: what is staged stays near the size of the texts, though nearly all runs differ."""
+    chance = random.Random(15)
+    texts = [" ".join(f"w{chance.randrange(3000)}" for _ in range(1000)) for _ in range(100)]
+    sizes, staged = [], katz.staged
+
+    def seen(df, *args, **kwargs):
+        out = staged(df, *args, **kwargs)
+        sizes.extend(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(katz, "staged", seen)
+    assert katz.katz_scores(documents(spark, texts), order=3).count() == 100
+    assert 0 < sum(sizes) < 2 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize(("hot_share", "buckets"), [(1.0, 1), (0.03, 2), (0.002, 9)])
+def test_katz_in_portions(spark, monkeypatch, hot_share, buckets):
+    """However tokens are dealt, and with few looked at at once, scores are those of the plain version."""
+    monkeypatch.setattr(katz, "PORTION", 50)
+    chance = random.Random(16)
+    texts = [" ".join(chance.choice("aaaaabbcdefgh") for _ in range(chance.randrange(40))) for _ in range(60)]
+    docs = documents(spark, [*texts, None, "a never b"])
+    p, _ = plain_katz_any_order([(r.doc_id, r.text) for r in docs.collect()], 3)
+    for r in katz.katz_scores(docs, hot_share=hot_share, buckets=buckets, order=3).collect():
+        chain = [None, *words([*texts, None, "a never b"][r.doc_id]), None]
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(chain[max(0, j - 2) : j + 1]))) for j in range(1, len(chain))))
+
+
 # decontamination
 
 
