@@ -14,39 +14,53 @@ for its own number of vectors.  Short ones get zeros behind, up to ``DIMS``
 components, so that their filters are as varied.  Of one-component vectors only
 the sign counts.
 
-Equal vectors are collapsed first and count by their number.  Vectors of one
-filter meet in one place, in blocks where there are many, and every pair of
-blocks is compared by a matrix product in double precision.  A pair counts at
-the smallest filter both have passed, so once.
+Equal vectors are collapsed first and count by their number.  Filters are
+dealt into cells of consecutive numbers, by exact counts, so that a cell's
+vectors fit one task; a vector goes to each cell once, however many of its
+filters it passes there.  A filter that has too many vectors alone is a cell in
+blocks, and every pair of blocks meets.  Cells are compared in rounds: what one
+round sends is bounded by the size of the vectors themselves, and is deleted
+before the next.  A pair counts at the smallest filter both have passed, so
+once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attrition.llm.common import plus, staged
+from attrition.llm.common import mix, scratch, staged
 from attrition.llm.components import components
 
 COSINE = 0.9
-#: Filters that a vector passes on average, at least, slices of the space, and vectors of a filter that meet at once.
-PASSED, PARTS, BLOCK = 20, 2, 512
-#: Rows of small filters that are compared in one call, about, and pairs held at once.
-TOGETHER, PAIRS = 4_000, 200_000
+#: Filters that a vector passes on average, at least, slices of the space, and vectors of a cell that meet at once, up to twice as many.
+PASSED, PARTS, BLOCK = 20, 2, 1 << 16
+#: Vectors of a cell, at least, if there are so many, and cells, about, as long as they are smaller than a block.
+LEAST, CELLS = 1 << 14, 96
+#: Bytes of a block's vectors, in double precision, if it has over 512.
+BLOCK_BYTES = 1 << 25
+#: What a round sends, in sizes of the vectors, or bytes if that is less; bytes of a row besides its vector and list.
+ROUND, ROUND_BYTES, ROW_BYTES = 1.5, 1 << 27, 84
+#: Numbers held at once where filters are listed and small filters compared.
+AT_ONCE = 1 << 22
 #: Share of pairs just at the limit that have to share a filter, and random pairs to measure it on.
 RECALL, PROBES = 0.95, 512
 #: Components that filters have, at least.
 DIMS = 16
 #: Entries of filter lists that are compared at once.
 ENTRIES = 4_000_000
-#: Vectors from which a filter's are compared by matrix products, and filters that a product takes at once.
-DENSE, WIDE = 24, 4096
+#: Vectors from which a filter's have their lists compared by matrix products too, vectors and filters that a product takes at once, and filters of the first.
+DENSE, TILE, WIDE, FIRST = 24, 1024, 4096, 256
+#: Cosines in single precision are looked at again if this near the limit.
+CLOSE = 1e-4
 _SEED = 20_240_101
 
 
@@ -114,20 +128,34 @@ def limit(dims: int, vectors: int, cosine: float = COSINE) -> tuple[float, float
         wanted *= 1.25
 
 
+def _listed(unit: np.ndarray, rotation: np.ndarray, parts: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row of ``unit`` the filters it passes, or its best: codes ``x`` of the first slice, ascending, and for each
+    how many of ``y`` go with it, codes of the second, best first."""
+    first, second = parts
+    step = max(1, min(1024, AT_ONCE // len(first)))
+    for at in range(0, len(unit), step):
+        turned = unit[at : at + step] @ rotation[: unit.shape[1]]
+        a, b = turned[:, : first.shape[1]] @ first.T, turned[:, first.shape[1] :] @ second.T
+        best_a, best_b = a.max(1, keepdims=True), b.max(1, keepdims=True)
+        row_x, xs = np.nonzero(a - least >= -best_b)
+        row_y, ys = np.nonzero(-b <= best_a - least)
+        down = np.lexsort((-b[row_y, ys], row_y))
+        ys, low = ys[down], -b[row_y, ys][down]
+        need = a[row_x, xs] - least
+        begin_x, begin_y = (np.searchsorted(r, np.arange(len(turned) + 1)) for r in (row_x, row_y))
+        for i in range(len(turned)):
+            of_x, of_y = slice(*begin_x[i : i + 2]), slice(*begin_y[i : i + 2])
+            held = np.searchsorted(low[of_y], need[of_x], side="right")  # y >= least - x
+            if len(held):
+                yield xs[of_x], held, ys[of_y]
+            else:
+                yield np.array([np.argmax(a[i])]), np.array([1]), np.array([np.argmax(b[i])])
+
+
 def passed(unit: np.ndarray, rotation: np.ndarray, parts: list[np.ndarray], least: float) -> list[np.ndarray]:
     """The numbers of all filters that each row of ``unit`` passes, ascending; of one that passes none, its best."""
-    first, second = parts
-    turned = unit @ rotation[: unit.shape[1]]
-    a, b = turned[:, : first.shape[1]] @ first.T, turned[:, first.shape[1] :] @ second.T
-    out = []
-    for x, y in zip(a, b, strict=True):
-        down = np.argsort(-y)
-        held = np.searchsorted(-y[down], x - least, side="right")  # y >= least - x
-        rows = np.repeat(np.arange(len(x)), held)
-        begin = np.repeat(np.cumsum(held) - held, held)
-        found = rows * len(y) + down[np.arange(len(rows)) - begin]
-        out.append(np.sort(found) if len(found) else np.array([np.argmax(x) * len(y) + down[0]]))
-    return out
+    size = len(parts[1])
+    return [np.sort(np.concatenate([x * size + y[:n] for x, n in zip(xs, held, strict=True)])) for xs, held, y in _listed(unit, rotation, parts, least)]
 
 
 def _usable(column: str) -> Column:
@@ -141,20 +169,189 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _catch(vectors: dict[int, int], limits: dict[int, tuple[float, float]]):
-    """Filters of each vector; for each length, its number of distinct vectors and its ``limit``."""
+def _short(vectors: int) -> np.dtype:
+    """The type of the numbers in a list of filters."""
+    return np.dtype("<u2" if code_size(vectors) < 1 << 16 else "<u4")
+
+
+def _column(column: pa.Array | pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """A column of byte strings as one array of numbers, and where each string begins and the last ends."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // kind.itemsize
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[: ends[-1] * kind.itemsize].view(kind), ends
+
+
+def _runs(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``begin``, ``begin + 1``, ... for each of them, ``n`` numbers each."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _entries(column: pa.Array | pa.ChunkedArray, vectors: int, low: int = 0, high: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of the filters from ``low`` to below ``high`` in packed lists; rows ascend."""
+    flat, ends = _column(column, _short(vectors))
+    size, begin = code_size(vectors), ends[:-1]
+    n = flat[begin].astype(np.int64)
+    row, at = np.repeat(np.arange(len(n)), n), _runs(begin + 1, n)
+    x = flat[at]
+    some = np.flatnonzero((x >= low // size) & (x <= (high - 1) // size))
+    row, x, held = row[some], x[some].astype(np.int64), flat[(at + n[row])[some]].astype(np.int64)
+    y = flat[_runs(begin[row] + 1 + 2 * n[row], held)]
+    row, filters = np.repeat(row, held), np.repeat(x * size, held) + y
+    fine = (filters >= low) & (filters < high)
+    return row[fine], filters[fine]
+
+
+def _lists(column: pa.Array | pa.ChunkedArray, vectors: int) -> list[np.ndarray]:
+    """All filters of each row, ascending."""
+    row, filters = _entries(column, vectors)
+    order = np.lexsort((filters, row))
+    return np.split(filters[order], np.searchsorted(row, np.arange(1, len(column))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _catch(vectors: dict[int, int], limits: dict[int, tuple[float, float]], kind: np.dtype):
+    """Vectors and the filters each passes, packed; for each length, its number of distinct vectors and its ``limit``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(maxsize=4)
         def model(dims: int):
             return *codes(dims, vectors[dims]), limits[dims][1]
 
         for batch in batches:
-            for dims, own in batch.groupby("dims"):
-                few = max(1, int(TOGETHER * code_size(vectors[dims]) ** 2 / (limits[dims][0] * vectors[dims])))
+            lengths = batch.column("dims").to_numpy()
+            for dims in np.unique(lengths).tolist():
+                own, short = np.flatnonzero(lengths == dims), _short(vectors[dims])
                 for at in range(0, len(own), 1024):
-                    some = own.iloc[at : at + 1024]
-                    yield some.assign(few=few, filters=passed(_unit(some["v"].tolist()), *model(dims)))
+                    some = batch.take(pa.array(own[at : at + 1024]))
+                    v = some.column("v").flatten().to_numpy().astype(kind).reshape(-1, dims)
+                    lists = [np.concatenate([[len(x)], x, held, y]).astype(short).tobytes() for x, held, y in _listed(_unit(v), *model(dims))]
+                    columns = [*some.select(["id", "copies", "dims", "digest"]).columns, pa.array([x.tobytes() for x in v], pa.binary()), pa.array(lists, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "copies", "dims", "digest", "v", "filters"])
+
+    return run
+
+
+class Cells(NamedTuple):
+    """Cells of the filters of one length: the distinct vectors of that length, the first filter of each cell, its blocks and its first unit.
+
+    A unit is a block with all pairs of blocks of which it is the lower one.
+    """
+
+    vectors: int
+    starts: np.ndarray
+    blocks: np.ndarray
+    units: np.ndarray
+
+    def end(self, cell: int) -> int:
+        return int(self.starts[cell + 1]) if cell + 1 < len(self.starts) else code_size(self.vectors) ** 2
+
+
+def _count(starts: dict[int, tuple[int, np.ndarray]]):
+    """Vectors of each cell; as cell -1 the bytes of their lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, size = {d: np.zeros(len(x), np.int64) for d, (_, x) in starts.items()}, dict.fromkeys(starts, 0)
+        for batch in batches:
+            lengths = batch.column("dims").to_numpy()
+            for dims in np.unique(lengths).tolist():
+                vectors, begins = starts[dims]
+                lists = batch.column("filters").take(pa.array(np.flatnonzero(lengths == dims)))
+                size[dims] += lists.nbytes
+                n[dims] += np.bincount(_met_cells(lists, vectors, begins)[1], minlength=len(begins))
+        for dims, of in n.items():
+            if size[dims]:
+                cells = np.flatnonzero(of)
+                columns = [np.full(len(cells) + 1, dims, np.int32), np.append(cells, -1), np.append(of[cells], size[dims])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["dims", "cell", "n"])
+
+    return run
+
+
+def _met_cells(lists: pa.Array, vectors: int, starts: np.ndarray, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and cell of each cell from ``first`` to before ``last`` that a row passes a filter of."""
+    high = int(starts[last]) if last is not None and last < len(starts) else 1 << 62
+    row, filters = _entries(lists, vectors, int(starts[first]), high)
+    both = np.unique(row * len(starts) + np.searchsorted(starts, filters, side="right") - 1)
+    return both // len(starts), both % len(starts)
+
+
+def _block(dims: int) -> int:
+    """Vectors of that length that meet at once."""
+    return min(BLOCK, max(512, BLOCK_BYTES // (8 * dims)))
+
+
+def _divided(n: np.ndarray, starts: np.ndarray, end: int, block: int) -> np.ndarray | None:
+    """Starts of cells where those with too many vectors are divided, if there are any."""
+    width = np.diff(np.append(starts, end))
+    if not ((n > 2 * block) & (width > 1)).any():
+        return None
+    parts = np.where(n > 2 * block, np.minimum(width, 2 * -(-n // block)), 1)
+    return np.repeat(starts, parts) + np.repeat(width, parts) * _runs(np.zeros_like(parts), parts) // np.repeat(parts, parts)
+
+
+def _joined(n: np.ndarray, block: int) -> np.ndarray:
+    """Which cells begin one when neighbours are put together, up to a block or what gives enough cells."""
+    most, held, out = min(block, max(LEAST, int(n.sum()) // CELLS)), 0, []
+    for i, x in enumerate(n.tolist()):
+        held += x
+        if not out or held > most:
+            out.append(i)
+            held = x
+    return np.array(out)
+
+
+def _cells(caught: DataFrame, vectors: dict[int, int], kind: np.dtype) -> tuple[dict[int, Cells], np.ndarray]:
+    """The cells of each length, and the bytes that each unit sends."""
+    starts = {d: np.arange(code_size(n), dtype=np.int64) * code_size(n) for d, n in vectors.items()}
+    while True:
+        rows = caught.select("dims", "filters").mapInArrow(_count({d: (vectors[d], x) for d, x in starts.items()}), "dims int, cell long, n long")
+        n, size = {d: np.zeros(len(x), np.int64) for d, x in starts.items()}, {}
+        for dims, cell, held in rows.groupBy("dims", "cell").agg(F.sum("n")).collect():  # a row for each cell
+            if cell < 0:
+                size[dims] = held
+            else:
+                n[dims][cell] = held
+        divided = {d: _divided(n[d], x, code_size(vectors[d]) ** 2, _block(d)) for d, x in starts.items()}
+        if all(x is None for x in divided.values()):
+            break
+        starts = {d: starts[d] if x is None else x for d, x in divided.items()}
+    cells, sent, units = {}, [], 0
+    for dims, begins in starts.items():
+        first, block = _joined(n[dims], _block(dims)), _block(dims)
+        held = np.add.reduceat(n[dims], first)
+        blocks = np.where(held > 2 * block, -(-held // block), 1)
+        cells[dims] = Cells(vectors[dims], begins[first], blocks, units + np.cumsum(blocks) - blocks)
+        units += int(blocks.sum())
+        row = kind.itemsize * dims + size[dims] / vectors[dims] + ROW_BYTES
+        each, lower = np.repeat(held / blocks, blocks), _runs(np.zeros_like(blocks), blocks)
+        sent.append(each * (2 * (np.repeat(blocks, blocks) - lower) - 1) * row)
+    return cells, np.concatenate(sent)
+
+
+def _send(cells: dict[int, Cells], first: int, last: int):
+    """Vectors for the units from ``first`` to before ``last``, once for each pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column("dims").to_numpy()
+            for dims in np.unique(lengths).tolist():
+                own, (vectors, starts, blocks, units) = batch.take(pa.array(np.flatnonzero(lengths == dims))), cells[dims]
+                some = np.searchsorted(units, (first, last), side="right") - 1
+                if last <= units[0] or first >= units[-1] + blocks[-1]:
+                    continue
+                row, cell = _met_cells(own.column("filters"), vectors, starts, max(0, int(some[0])), int(some[1]) + 1)
+                n = blocks[cell]
+                block = (mix(own.column("id").to_numpy().view(np.uint64))[row] % n.astype(np.uint64)).astype(np.int64)
+                row, cell, block, other = np.repeat(row, n), np.repeat(cell, n), np.repeat(block, n), _runs(np.zeros_like(n), n)
+                unit = units[cell] + np.minimum(block, other)
+                fine = (unit >= first) & (unit < last)
+                row, cell, block, other, unit = (x[fine] for x in (row, cell, block, other, unit))
+                side = np.where(block == other, 2, np.where(block < other, 0, 1))
+                columns = [pa.array(x) for x in (unit, np.maximum(block, other), cell, side.astype(np.int32))]
+                names = ["dims", "id", "copies", "v", "filters"]
+                yield pa.RecordBatch.from_arrays([*columns, *own.select(names).take(pa.array(row)).columns], ["unit", "other", "cell", "side", *names])
 
     return run
 
@@ -172,22 +369,6 @@ def _roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _proposed(filters: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places of one filter, in runs of bounded size; of two blocks, those between the blocks only.
-
-    ``filters`` ascends, and within a filter the side does.
-    """
-    ends = np.searchsorted(filters, filters, side="right")
-    at = np.arange(len(filters))
-    start = np.where(side == 0, np.searchsorted(filters * 4 + side, filters * 4 + 1), at + 1)
-    times = np.where(side == 1, 0, ends - np.minimum(start, ends))
-    cuts = np.flatnonzero(np.diff(np.cumsum(times) // PAIRS, prepend=0))
-    for part in np.split(at, cuts):
-        n = times[part]
-        first = np.repeat(part, n)
-        yield first, np.repeat(start[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
 def _first_shared(lists: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest number that ``lists[i]`` and ``lists[j]`` share, for each pair; every pair shares one."""
     sizes = np.array([len(x) for x in lists], np.int64)
@@ -209,66 +390,166 @@ def _first_shared(lists: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
-def _met_before(lists: list[np.ndarray], number: int) -> np.ndarray:
-    """Whether two of ``lists`` share a number below ``number``, for all of them with all, by products of their incidence."""
-    below = [x[: np.searchsorted(x, number)] for x in lists]
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in below])
-    _, column, held = np.unique(np.concatenate(below), return_inverse=True, return_counts=True)
-    row, column = row[held[column] > 1], column[held[column] > 1]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    shared = np.zeros((len(lists), len(lists)), np.float32)
-    for at in range(0, len(held), WIDE):
-        some = slice(*np.searchsorted(column, (at, at + WIDE)))
-        if some.start < some.stop:
-            met = np.zeros((len(lists), WIDE), np.float32)
-            met[row[some], column[some] - at] = 1
-            shared += met @ met.T
-    return shared > 0
-
-
-def _pairs_of_one(unit: np.ndarray, lists: list[np.ndarray], side: np.ndarray, number: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of one filter at the limit or closer that share no smaller one."""
-    one = side[:, None] * 3 + side[None, :]
-    wanted = np.triu(one == 8, 1) | (one == 1)  # both of one block, or of the two
-    wanted &= unit @ unit.T >= cosine - 1e-9
-    if wanted.any():
-        wanted &= ~_met_before(lists, number)
-    i, j = np.nonzero(wanted)
-    near = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
-    return i[near], j[near]
+class _Below:
+    """The filters below a number that lists share, those of most lists first."""
+
+    def __init__(self, lists: list[np.ndarray], number: int):
+        below = [x[: np.searchsorted(x, number)] for x in lists]
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in below])
+        _, column, held = np.unique(np.concatenate(below), return_inverse=True, return_counts=True)
+        rank = np.empty(len(held), np.int64)
+        rank[np.argsort(-held, kind="stable")] = np.arange(len(held))
+        self.size = int((held > 1).sum())
+        shared = held[column] > 1
+        row, self.column = row[shared], rank[column[shared]]
+        self.begin = np.searchsorted(row, np.arange(len(lists) + 1))
+
+    def _incidence(self, rows: np.ndarray, low: int, high: int) -> np.ndarray:
+        n = self.begin[rows + 1] - self.begin[rows]
+        row, column = np.repeat(np.arange(len(rows)), n), self.column[_runs(self.begin[rows], n)]
+        some = (column >= low) & (column < high)
+        out = np.zeros((len(rows), high - low), np.float32)
+        out[row[some], column[some] - low] = 1
+        return out
+
+    def unmet(self, wanted: np.ndarray, a: int, b: int) -> np.ndarray:
+        """``wanted`` pairs, of lists from ``a`` and from ``b`` on, without those that share a number, by products of their incidence."""
+        cuts = [0, *range(min(FIRST, self.size), self.size, WIDE), self.size]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            i, j = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
+            if not len(i):
+                break
+            if low < high:
+                wanted[np.ix_(i, j)] &= self._incidence(a + i, low, high) @ self._incidence(b + j, low, high).T == 0
+        return wanted
+
+
+def _pairs_of_one(
+    unit: np.ndarray, single: np.ndarray, lists: Callable[[], list[np.ndarray]], side: np.ndarray, number: int, cosine: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of one filter at the limit or closer that share no smaller one; ``single`` is ``unit`` in single precision."""
+    below = None
+    for a in range(0, len(unit), TILE):
+        for b in range(a, len(unit), TILE):
+            one = side[a : a + TILE, None] * 3 + side[None, b : b + TILE]
+            wanted = (one == 8) | (one == 1)  # both of one block, or of the two
+            if a == b:
+                wanted = np.triu(wanted, 1)
+            if not wanted.any():
+                continue
+            near = single[a : a + TILE] @ single[b : b + TILE].T
+            wanted &= near >= cosine - CLOSE
+            if not wanted.any():
+                continue
+            below = below or _Below(lists(), number)
+            i, j = np.nonzero(below.unmet(wanted, a, b))
+            sure = near[i, j] >= cosine + CLOSE
+            sure[~sure] = np.einsum("ij,ij->i", unit[a + i[~sure]], unit[b + j[~sure]]) >= cosine
+            yield a + i[sure], b + j[sure]
+
+
+def _pairs_of_small(single: np.ndarray, place: np.ndarray, begins: np.ndarray, sizes: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``place`` of pairs, about at the limit or closer, of each of the runs of ``sizes`` that begin there."""
+    order = np.argsort(sizes, kind="stable")
+    begins, sizes = begins[order], sizes[order]
+    at = 0
+    while at < len(sizes):
+        few = max(1, AT_ONCE // (int(sizes[at]) * max(int(sizes[at]), single.shape[1])))
+        end = min(at + few, int(np.searchsorted(sizes, max(sizes[at] + 1, sizes[at] * 1.2), side="right")))
+        n = int(sizes[end - 1])
+        real = np.arange(n) < sizes[at:end, None]
+        some = single[place[np.where(real, begins[at:end, None] + np.arange(n), 0)]]
+        near = some @ some.transpose(0, 2, 1) >= cosine - CLOSE
+        near &= np.triu(np.ones((n, n), bool), 1) & real[:, None, :]
+        run, i, j = np.nonzero(near)
+        yield begins[at:end][run] + i, begins[at:end][run] + j
+        at = end
+
+
+def _linked(
+    ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, lists: Callable[[np.ndarray], list[np.ndarray]], row: np.ndarray, filters: np.ndarray, side: np.ndarray, cosine: float
+) -> pd.DataFrame:
+    """Links among vectors that pass the same of the ``filters``, each given with its vector's row: each vector's links, and one link to its component's first vector."""
+    order = np.lexsort((ids[row], side[row], filters))
+    row, filters = row[order], filters[order]
+    single = unit.astype(np.float32)
+    _, begins, sizes = np.unique(filters, return_index=True, return_counts=True)
+    known: dict[int, np.ndarray] = {}
+
+    def of(rows: np.ndarray) -> list[np.ndarray]:
+        new = np.array([x for x in np.unique(rows).tolist() if x not in known], np.int64)
+        known.update(zip(new.tolist(), lists(new) if len(new) else (), strict=True))
+        return [known[x] for x in rows.tolist()]
+
+    pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for begin, size in zip(begins[sizes >= DENSE], sizes[sizes >= DENSE], strict=True):
+        own = row[begin : begin + size]
+        for i, j in _pairs_of_one(unit[own], single[own], lambda own=own: of(own), side[own], filters[begin], cosine):
+            pairs.append((own[i], own[j]))
+    small = (sizes > 1) & (sizes < DENSE)
+    for i, j in _pairs_of_small(single, row, begins[small], sizes[small], cosine):
+        one = side[row[i]] * 3 + side[row[j]]
+        i, j = (x[(one == 8) | (one == 1)] for x in (i, j))
+        met = np.einsum("ij,ij->i", unit[row[i]], unit[row[j]]) >= cosine
+        i, j = i[met], j[met]
+        held, places = np.unique(np.concatenate([row[i], row[j]]), return_inverse=True)
+        first = _first_shared(of(held), places[: len(i)], places[len(i) :]) == filters[i] if len(i) else np.empty(0, bool)
+        pairs.append((row[i[first]], row[j[first]]))
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    names, place = np.unique(ids, return_inverse=True)
+    n = np.bincount(place[i], copies[j], len(names)) + np.bincount(place[j], copies[i], len(names))
+    root = _roots(len(names), place[i], place[j])
+    met = n > 0
+    return pd.DataFrame({"id": names[met], "n": n[met].astype(np.int64), "root": names[root[met]]})
 
 
 def _compare(cosine: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links within filters or between blocks: each vector's links, and one link to its component's first vector."""
-        rows = rows.sort_values(["filter", "side", "id"])
-        unit, lists = _unit(rows["v"].tolist()), rows["filters"].tolist()
-        filters, side = rows["filter"].to_numpy(), rows["side"].to_numpy()
-        pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        _, begins, place, sizes = np.unique(filters, return_index=True, return_inverse=True, return_counts=True)
-        for begin, size in zip(begins[sizes >= DENSE], sizes[sizes >= DENSE], strict=True):
-            one = slice(begin, begin + size)
-            i, j = _pairs_of_one(unit[one], lists[one], side[one], filters[begin], cosine)
-            pairs.append((i + begin, j + begin))
-        few = np.flatnonzero(sizes[place] < DENSE)
-        for i, j in _proposed(filters[few], side[few]):
-            i, j = few[i], few[j]
-            near = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
-            i, j = i[near], j[near]
-            first = _first_shared(lists, i, j) == filters[i]
-            pairs.append((i[first], j[first]))
-        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        known, place = np.unique(rows["id"].to_numpy(), return_inverse=True)
-        copies = rows["copies"].to_numpy()
-        n = np.bincount(place[i], copies[j], len(known)) + np.bincount(place[j], copies[i], len(known))
-        root = _roots(len(known), place[i], place[j])
-        met = n > 0
-        return pd.DataFrame({"id": known[met], "n": n[met].astype(np.int64), "root": known[root[met]]})
+        """``_linked`` of a frame with a row for each vector and filter."""
+        lists = rows["filters"].tolist()
+        columns = (rows[x].to_numpy() for x in ("id", "copies", "filter", "side"))
+        ids, copies, filters, side = columns
+        return _linked(ids, copies, _unit(rows["v"].tolist()), lambda at: [lists[i] for i in at], np.arange(len(rows)), filters, side, cosine)
+
+    return run
+
+
+def _meet(cells: dict[int, Cells], kind: np.dtype, cosine: float):
+    def run(rows: pa.Table) -> pa.Table:
+        """``_linked`` of the vectors of a cell, or of two of its blocks."""
+        dims, cell = (rows.column(x)[0].as_py() for x in ("dims", "cell"))
+        own, lists = cells[dims], rows.column("filters").combine_chunks()
+        v, _ = _column(rows.column("v"), kind)
+        row, filters = _entries(lists, own.vectors, int(own.starts[cell]), own.end(cell))
+        ids, copies, side = (rows.column(x).to_numpy() for x in ("id", "copies", "side"))
+        found = _linked(ids, copies, _unit(v.reshape(-1, dims)), lambda at: _lists(lists.take(pa.array(at)), own.vectors), row, filters, side, cosine)
+        return pa.Table.from_pandas(found, preserve_index=False)
 
     return run
 
 
+def _found(caught: DataFrame, vectors: dict[int, int], kind: np.dtype, cosine: float) -> DataFrame:
+    """Links of the vectors of all cells, ``id, n, root``, round by round."""
+    cells, sent = _cells(caught, vectors, kind)
+    most = max(ROUND_BYTES, ROUND * sum(kind.itemsize * d * n for d, n in vectors.items()))
+    cuts, held = [0], 0.0
+    for unit, size in enumerate(sent.tolist()):
+        held += size
+        if held > most and unit > cuts[-1]:
+            cuts.append(unit)
+            held = size
+    schema = "unit long, other long, cell long, side int, dims int, id long, copies long, v binary, filters binary"
+    out = []
+    for first, last in zip(cuts, [*cuts[1:], len(sent)], strict=True):
+        met = caught.mapInArrow(_send(cells, first, last), schema)
+        out.append(staged(met.groupBy("unit", "other").applyInArrow(_meet(cells, kind, cosine), "id long, n long, root long"), "found"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _digest(column: str) -> Column:
+    return F.xxhash64(column)
+
+
 def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``rows(vec_id, embedding, ...)``.
 
@@ -285,41 +566,32 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     alone = rows.filter("NOT _good").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept")
     )
-    classes = staged(
-        rows.filter("_good").groupBy("v").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("copies")).withColumn("dims", F.size("v")),
-        "classes",
-    )
-    # A row for each length that occurs.
-    vectors = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
-    if not vectors:
-        return alone
-    limits = {d: limit(d, n, cosine) for d, n in vectors.items()}
-    schema = plus(classes.schema, few="long")
-    schema.add("filters", T.ArrayType(T.LongType()))
-    caught = staged(classes.mapInPandas(_catch(vectors, limits), schema), "caught")
-    at = caught.select("*", F.explode("filters").alias("filter"))
-    many = at.groupBy("dims", "filter").agg(F.count("*").alias("_n")).filter("_n > 1")
-    # A filter's vectors are dealt into blocks; each goes to every pair that its block is in.
-    met = at.join(many.select("dims", "filter", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), ["dims", "filter"])
-    met = met.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    small = F.col("_blocks") == 1
-    met = met.select(
-        "dims",
-        F.when(small, -1 - F.floor(F.col("filter") / F.col("few"))).otherwise(F.col("filter")).alias("cell"),
-        F.least("_own", "_other").alias("b1"),
-        F.greatest("_own", "_other").alias("b2"),
-        F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1).alias("side"),
-        "filter", "id", "copies", "v", "filters",
-    )
-    found = staged(met.groupBy("dims", "cell", "b1", "b2").applyInPandas(_compare(cosine), "id long, n long, root long"), "found")
-    links = found.groupBy("id").agg(F.sum("n").alias("_links"))
-    roots = components(found, "id", "root")
-    tied = (
-        classes.join(links, "id", "left")
-        .join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .select("v", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    )
-    linked = rows.filter("_good").select("vec_id", "v").join(tied, "v")
+    good, spark = rows.filter("_good").select("vec_id", "v", _digest("v").alias("digest")), rows.sparkSession
+    with scratch(spark):
+        with scratch(spark):
+            classes = good.groupBy("v").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("copies"), F.first("digest").alias("digest"))
+            classes = staged(classes.withColumn("dims", F.size("v")), "classes")
+            # A row for each length that occurs.
+            vectors = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+            if not vectors:
+                return alone
+            limits = {d: limit(d, n, cosine) for d, n in vectors.items()}
+            kind = np.dtype("<f4" if isinstance(rows.schema["v"].dataType.elementType, T.FloatType) else "<f8")
+            schema = "id long, copies long, dims int, digest long, v binary, filters binary"
+            caught = staged(classes.mapInArrow(_catch(vectors, limits, kind), schema), "caught", stays=True)
+            # Rows find their class by its digest; by the vector itself only if two classes have the same.
+            key = "v" if classes.groupBy("digest").count().filter("count > 1").limit(1).count() else "digest"
+            names = caught if key == "digest" else staged(classes, "names", stays=True)
+        found = _found(caught, vectors, kind, cosine)
+        links = found.groupBy("id").agg(F.sum("n").alias("_links"))
+        roots = components(found, "id", "root")
+        tied = (
+            names.select("id", "copies", key)
+            .join(links, "id", "left")
+            .join(roots.withColumnRenamed("node", "id"), "id", "left")
+            .select(key, (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+        )
+        tied = staged(tied, "tied", stays=True)
+    linked = good.select("vec_id", key).join(tied, key)
     linked = linked.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return linked.unionByName(alone)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import random
+import threading
 import time
 from collections import Counter
+from contextlib import suppress
 from itertools import combinations
 
 import numpy as np
@@ -275,6 +277,91 @@ def test_recall_just_above_the_limit(spark, pairs):
     assert met >= 0.9, met
 
 
+def test_embeddings_take_little_disk(spark, monkeypatch):
+    """Shuffle files at any time, over the bytes of the vectors; each vector passes about 49 filters."""
+    monkeypatch.setattr(cap_filters, "ROUND_BYTES", 0, raising=False)
+    vectors = np.random.default_rng(4).normal(size=(10_000, 64)).astype(np.float32)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(vectors)), "embedding": list(vectors)}), "vec_id long, embedding array<float>")
+    folders = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    held, over = [], threading.Event()
+
+    def sizes():
+        with suppress(OSError):  # files go meanwhile
+            return sum(os.path.getsize(f"{d}/{x}") for top in folders for d, _, names in os.walk(top) for x in names if x.startswith(("shuffle", "temp")))
+
+    def watch():
+        while not over.wait(0.02):
+            held.append(sizes() or 0)
+
+    before, watching = sizes() or 0, threading.Thread(target=watch)
+    watching.start()
+    try:
+        assert cap_filters.near_duplicates(frame).agg(F.sum("n_links")).first()[0] == 0
+    finally:
+        over.set()
+        watching.join()
+    assert max(held) - before < 4 * vectors.nbytes
+
+
+def odd_vectors():
+    """Vectors of some lengths in groups, many alike, with zeros of both signs, equal ones and some that link with nothing."""
+    chance = np.random.default_rng(33)
+    out = []
+    for d, groups, each in ((1, 1, 3), (3, 4, 6), (24, 30, 8), (40, 2, 70)):
+        centres = chance.normal(size=(groups, d))
+        out += [c + chance.normal(size=d) * s for c in centres for s in chance.choice((0.0, 0.02, 0.25), each)]
+    out += [np.array([0.0, 1.0, 1.0]), np.array([-0.0, 1.0, 1.0]), np.array([0.0, 1.0, 1.0]), np.zeros(3)]
+    return [x.tolist() for x in out]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_cells_blocks_and_rounds_give_the_same(spark, monkeypatch, kind):
+    vectors = odd_vectors()
+    rows = [(i % 200, v) for i, v in enumerate(vectors)] + [(None, vectors[0]), (7, None)]
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    want = sorted(cap_filters.near_duplicates(frame).collect(), key=str)
+    assert len(want) == len(rows) and sum(r.n_links for r in want) > 5000
+    rounds = []
+    send = cap_filters._send
+    monkeypatch.setattr(cap_filters, "_send", lambda cells, first, last: rounds.append((first, last)) or send(cells, first, last))
+    for name, value in {"BLOCK": 25, "ROUND_BYTES": 1 << 19, "ROUND": 0.1, "TILE": 9, "FIRST": 3, "WIDE": 11}.items():
+        monkeypatch.setattr(cap_filters, name, value)
+    assert sorted(cap_filters.near_duplicates(frame).collect(), key=str) == want
+    assert len(rounds) > 2 and all(a[1] == b[0] for a, b in zip(rounds, rounds[1:], strict=False))
+    monkeypatch.undo()
+    monkeypatch.setattr(cap_filters, "_digest", lambda column: F.size(column).cast("long"))
+    assert sorted(cap_filters.near_duplicates(frame).collect(), key=str) == want
+
+
+def test_cells_are_divided_and_joined_by_counts(monkeypatch):
+    monkeypatch.setattr(cap_filters, "LEAST", 1)
+    monkeypatch.setattr(cap_filters, "CELLS", 2)
+    assert cap_filters._divided(np.array([20, 3, 500]), np.array([0, 10, 20]), 21, 10) is None  # one filter is not divided
+    assert cap_filters._divided(np.array([21, 3]), np.array([0, 10]), 20, 10).tolist() == [0, 1, 3, 5, 6, 8, 10]
+    assert cap_filters._joined(np.array([4, 5, 3, 9, 40, 1, 1]), 10).tolist() == [0, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("dims", [2, 33])
+def test_filters_passed_equal_those_of_all_tried(dims):
+    chance = np.random.default_rng(dims)
+    unit = chance.normal(size=(60, dims))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    rotation, parts = cap_filters.codes(dims, 900)
+    for least in (0.3, 0.6, 0.95):
+        turned = unit @ rotation[:dims]
+        cut = parts[0].shape[1]
+        a, b = turned[:, :cut] @ parts[0].T, turned[:, cut:] @ parts[1].T
+        value = (a[:, :, None] + b[:, None, :]).reshape(60, -1)
+        want = [(np.flatnonzero(x >= least) if (x >= least).any() else [np.argmax(x)]) for x in value]
+        got = cap_filters.passed(unit, rotation, parts, least)
+        assert [x.tolist() for x in got] == [list(x) for x in want]
+        lists = cap_filters.pa.array([np.concatenate([[len(x)], x, n, y]).astype("<u2").tobytes() for x, n, y in cap_filters._listed(unit, rotation, parts, least)])
+        assert [x.tolist() for x in cap_filters._lists(lists, 900)] == [x.tolist() for x in got]
+        low, high = 500, 1700
+        row, filters = cap_filters._entries(lists[5:40], 900, low, high)
+        assert sorted(zip(row.tolist(), filters.tolist(), strict=True)) == [(i, f) for i, x in enumerate(got[5:40]) for f in x.tolist() if low <= f < high]
+
+
 def test_first_shared_equals_intersections():
     chance = np.random.default_rng(2)
     lists = [np.unique(np.append(chance.integers(0, 60, chance.integers(1, 30)), 60)) for _ in range(50)]
