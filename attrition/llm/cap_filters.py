@@ -43,22 +43,24 @@ from attrition.llm.components import components
 COSINE = 0.9
 #: Filters that a vector passes on average, at least, slices of the space, and vectors of a cell that meet at once, up to twice as many.
 PASSED, PARTS, BLOCK = 20, 2, 1 << 16
-#: Vectors of a cell, at least, if there are so many, and cells, about, as long as they are smaller than a block.
-LEAST, CELLS = 1 << 14, 96
+#: Vectors of a cell, at least, if there are so many, and cells of a round, about, as long as they are smaller than a block.
+LEAST, CELLS = 1 << 14, 16
 #: Bytes of a block's vectors, in double precision, if it has over 512.
 BLOCK_BYTES = 1 << 25
 #: What a round sends, in sizes of the vectors, or bytes if that is less; bytes of a row besides its vector and list.
-ROUND, ROUND_BYTES, ROW_BYTES = 1.5, 1 << 27, 84
-#: Numbers held at once where filters are listed and small filters compared.
-AT_ONCE = 1 << 22
+ROUND, ROUND_BYTES, ROW_BYTES = 2, 1 << 27, 64
+#: Numbers held at once where filters are listed and small filters compared, pairs held at once, and rows whose lists are unpacked at once.
+AT_ONCE, PAIRS, UNPACKED = 1 << 22, 1 << 20, 1 << 13
 #: Share of pairs just at the limit that have to share a filter, and random pairs to measure it on.
 RECALL, PROBES = 0.95, 512
 #: Components that filters have, at least.
 DIMS = 16
 #: Entries of filter lists that are compared at once.
 ENTRIES = 4_000_000
-#: Vectors from which a filter's have their lists compared by matrix products too, vectors and filters that a product takes at once, and filters of the first.
-DENSE, TILE, WIDE, FIRST = 24, 1024, 4096, 256
+#: Vectors from which a filter's are compared by products of their lists too if there are more close pairs a vector, and from which by themselves.
+DENSE, CROWDED, LARGE = 24, 4, 128
+#: Vectors and filters that a product takes at once, and filters of the first.
+TILE, WIDE, FIRST = 1024, 4096, 64
 #: Cosines in single precision are looked at again if this near the limit.
 CLOSE = 1e-4
 _SEED = 20_240_101
@@ -189,26 +191,44 @@ def _runs(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+class _Packed:
+    """Packed lists of filters, as ``_listed`` gives them."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray, vectors: int):
+        self.flat, ends = _column(column, _short(vectors))
+        self.size, self.begin = code_size(vectors), ends[:-1]
+        self.n = self.flat[self.begin].astype(np.int64)
+
+    def firsts(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and place of the codes of the first slice that have filters from ``low`` to below ``high``, and the codes; rows ascend."""
+        row, at = np.repeat(np.arange(len(self.n)), self.n), _runs(self.begin + 1, self.n)
+        x = self.flat[at]
+        some = np.flatnonzero((x >= low // self.size) & (x <= (high - 1) // self.size))
+        return row[some], at[some], x[some].astype(np.int64)
+
+    def entries(self, low: int = 0, high: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
+        """Row and number of the filters from ``low`` to below ``high``; rows ascend."""
+        row, at, x = self.firsts(low, high)
+        held = self.flat[at + self.n[row]].astype(np.int64)
+        y = self.flat[_runs(self.begin[row] + 1 + 2 * self.n[row], held)]
+        row, filters = np.repeat(row, held), np.repeat(x * self.size, held) + y
+        fine = (filters >= low) & (filters < high)
+        return row[fine], filters[fine]
+
+
 def _entries(column: pa.Array | pa.ChunkedArray, vectors: int, low: int = 0, high: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
-    """Row and number of the filters from ``low`` to below ``high`` in packed lists; rows ascend."""
-    flat, ends = _column(column, _short(vectors))
-    size, begin = code_size(vectors), ends[:-1]
-    n = flat[begin].astype(np.int64)
-    row, at = np.repeat(np.arange(len(n)), n), _runs(begin + 1, n)
-    x = flat[at]
-    some = np.flatnonzero((x >= low // size) & (x <= (high - 1) // size))
-    row, x, held = row[some], x[some].astype(np.int64), flat[(at + n[row])[some]].astype(np.int64)
-    y = flat[_runs(begin[row] + 1 + 2 * n[row], held)]
-    row, filters = np.repeat(row, held), np.repeat(x * size, held) + y
-    fine = (filters >= low) & (filters < high)
-    return row[fine], filters[fine]
+    return _Packed(column, vectors).entries(low, high)
 
 
 def _lists(column: pa.Array | pa.ChunkedArray, vectors: int) -> list[np.ndarray]:
     """All filters of each row, ascending."""
-    row, filters = _entries(column, vectors)
-    order = np.lexsort((filters, row))
-    return np.split(filters[order], np.searchsorted(row, np.arange(1, len(column))))
+    out, kind = [], np.int32 if code_size(vectors) ** 2 < 1 << 31 else np.int64
+    for at in range(0, len(column), UNPACKED):
+        some = column[at : at + UNPACKED]
+        row, filters = _entries(some, vectors)
+        order = np.lexsort((filters, row))
+        out += np.split(filters[order].astype(kind), np.searchsorted(row, np.arange(1, len(some))))
+    return out
 
 
 def _catch(vectors: dict[int, int], limits: dict[int, tuple[float, float]], kind: np.dtype):
@@ -244,8 +264,13 @@ class Cells(NamedTuple):
     blocks: np.ndarray
     units: np.ndarray
 
-    def end(self, cell: int) -> int:
-        return int(self.starts[cell + 1]) if cell + 1 < len(self.starts) else code_size(self.vectors) ** 2
+    def holds(self, unit: int) -> bool:
+        return bool(self.units[0] <= unit < self.units[-1] + self.blocks[-1])
+
+    def filters(self, unit: int) -> tuple[int, int]:
+        """The first filter of the unit's cell and the first after it."""
+        cell = int(np.searchsorted(self.units, unit, side="right")) - 1
+        return int(self.starts[cell]), int(self.starts[cell + 1]) if cell + 1 < len(self.starts) else code_size(self.vectors) ** 2
 
 
 def _count(starts: dict[int, tuple[int, np.ndarray]]):
@@ -272,7 +297,12 @@ def _count(starts: dict[int, tuple[int, np.ndarray]]):
 def _met_cells(lists: pa.Array, vectors: int, starts: np.ndarray, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row and cell of each cell from ``first`` to before ``last`` that a row passes a filter of."""
     high = int(starts[last]) if last is not None and last < len(starts) else 1 << 62
-    row, filters = _entries(lists, vectors, int(starts[first]), high)
+    packed = _Packed(lists, vectors)
+    if (starts % packed.size).any():
+        row, filters = packed.entries(int(starts[first]), high)
+    else:
+        row, _, x = packed.firsts(int(starts[first]), high)
+        filters = x * packed.size
     both = np.unique(row * len(starts) + np.searchsorted(starts, filters, side="right") - 1)
     return both // len(starts), both % len(starts)
 
@@ -291,9 +321,9 @@ def _divided(n: np.ndarray, starts: np.ndarray, end: int, block: int) -> np.ndar
     return np.repeat(starts, parts) + np.repeat(width, parts) * _runs(np.zeros_like(parts), parts) // np.repeat(parts, parts)
 
 
-def _joined(n: np.ndarray, block: int) -> np.ndarray:
-    """Which cells begin one when neighbours are put together, up to a block or what gives enough cells."""
-    most, held, out = min(block, max(LEAST, int(n.sum()) // CELLS)), 0, []
+def _joined(n: np.ndarray, most: int) -> np.ndarray:
+    """Which cells begin one when neighbours are put together, up to ``most`` vectors."""
+    held, out = 0, []
     for i, x in enumerate(n.tolist()):
         held += x
         if not out or held > most:
@@ -302,8 +332,8 @@ def _joined(n: np.ndarray, block: int) -> np.ndarray:
     return np.array(out)
 
 
-def _cells(caught: DataFrame, vectors: dict[int, int], kind: np.dtype) -> tuple[dict[int, Cells], np.ndarray]:
-    """The cells of each length, and the bytes that each unit sends."""
+def _cells(caught: DataFrame, vectors: dict[int, int], kind: np.dtype, most: float) -> tuple[dict[int, Cells], np.ndarray]:
+    """The cells of each length, and the bytes that each unit sends; ``most`` is what a round sends."""
     starts = {d: np.arange(code_size(n), dtype=np.int64) * code_size(n) for d, n in vectors.items()}
     while True:
         rows = caught.select("dims", "filters").mapInArrow(_count({d: (vectors[d], x) for d, x in starts.items()}), "dims int, cell long, n long")
@@ -319,12 +349,12 @@ def _cells(caught: DataFrame, vectors: dict[int, int], kind: np.dtype) -> tuple[
         starts = {d: starts[d] if x is None else x for d, x in divided.items()}
     cells, sent, units = {}, [], 0
     for dims, begins in starts.items():
-        first, block = _joined(n[dims], _block(dims)), _block(dims)
+        row, block = kind.itemsize * dims + size[dims] / vectors[dims] + ROW_BYTES, _block(dims)
+        first = _joined(n[dims], min(block, max(LEAST, int(most / row) // CELLS)))
         held = np.add.reduceat(n[dims], first)
         blocks = np.where(held > 2 * block, -(-held // block), 1)
         cells[dims] = Cells(vectors[dims], begins[first], blocks, units + np.cumsum(blocks) - blocks)
         units += int(blocks.sum())
-        row = kind.itemsize * dims + size[dims] / vectors[dims] + ROW_BYTES
         each, lower = np.repeat(held / blocks, blocks), _runs(np.zeros_like(blocks), blocks)
         sent.append(each * (2 * (np.repeat(blocks, blocks) - lower) - 1) * row)
     return cells, np.concatenate(sent)
@@ -347,11 +377,11 @@ def _send(cells: dict[int, Cells], first: int, last: int):
                 row, cell, block, other = np.repeat(row, n), np.repeat(cell, n), np.repeat(block, n), _runs(np.zeros_like(n), n)
                 unit = units[cell] + np.minimum(block, other)
                 fine = (unit >= first) & (unit < last)
-                row, cell, block, other, unit = (x[fine] for x in (row, cell, block, other, unit))
+                row, block, other, unit = (x[fine] for x in (row, block, other, unit))
                 side = np.where(block == other, 2, np.where(block < other, 0, 1))
-                columns = [pa.array(x) for x in (unit, np.maximum(block, other), cell, side.astype(np.int32))]
-                names = ["dims", "id", "copies", "v", "filters"]
-                yield pa.RecordBatch.from_arrays([*columns, *own.select(names).take(pa.array(row)).columns], ["unit", "other", "cell", "side", *names])
+                columns = [pa.array(x) for x in (unit, np.maximum(block, other), side.astype(np.int32))]
+                names = ["id", "copies", "v", "filters"]
+                yield pa.RecordBatch.from_arrays([*columns, *own.select(names).take(pa.array(row)).columns], ["unit", "other", "side", *names])
 
     return run
 
@@ -390,14 +420,13 @@ def _first_shared(lists: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
-class _Below:
-    """The filters below a number that lists share, those of most lists first."""
+class _Shared:
+    """Numbers that lists share, those of most lists first."""
 
-    def __init__(self, lists: list[np.ndarray], number: int):
-        below = [x[: np.searchsorted(x, number)] for x in lists]
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in below])
-        _, column, held = np.unique(np.concatenate(below), return_inverse=True, return_counts=True)
-        rank = np.empty(len(held), np.int64)
+    def __init__(self, lists: list[np.ndarray]):
+        row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+        _, column, held = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        rank = np.empty(len(held), np.int32)
         rank[np.argsort(-held, kind="stable")] = np.arange(len(held))
         self.size = int((held > 1).sum())
         shared = held[column] > 1
@@ -412,44 +441,61 @@ class _Below:
         out[row[some], column[some] - low] = 1
         return out
 
-    def unmet(self, wanted: np.ndarray, a: int, b: int) -> np.ndarray:
-        """``wanted`` pairs, of lists from ``a`` and from ``b`` on, without those that share a number, by products of their incidence."""
-        cuts = [0, *range(min(FIRST, self.size), self.size, WIDE), self.size]
+    def without(self, wanted: np.ndarray, a: int, b: int) -> np.ndarray:
+        """``wanted`` pairs, of lists from ``a`` and from ``b`` on, but those that share a number, by products of their incidence."""
+        wanted, cuts = wanted.copy(), [0, *range(min(FIRST, self.size), self.size, WIDE), self.size]
         for low, high in zip(cuts, cuts[1:], strict=False):
             i, j = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
             if not len(i):
                 break
             if low < high:
-                wanted[np.ix_(i, j)] &= self._incidence(a + i, low, high) @ self._incidence(b + j, low, high).T == 0
+                apart = self._incidence(a + i, low, high) @ self._incidence(b + j, low, high).T == 0
+                if apart.size == wanted.size:
+                    wanted &= apart
+                else:
+                    wanted[np.ix_(i, j)] &= apart
         return wanted
 
 
-def _pairs_of_one(
-    unit: np.ndarray, single: np.ndarray, lists: Callable[[], list[np.ndarray]], side: np.ndarray, number: int, cosine: float
+def _pairs_of_crowd(
+    v: np.ndarray, single: np.ndarray, own: list[np.ndarray], below: list[np.ndarray], side: np.ndarray, cosine: float
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of one filter at the limit or closer that share no smaller one; ``single`` is ``unit`` in single precision."""
-    below = None
-    for a in range(0, len(unit), TILE):
-        for b in range(a, len(unit), TILE):
-            one = side[a : a + TILE, None] * 3 + side[None, b : b + TILE]
-            wanted = (one == 8) | (one == 1)  # both of one block, or of the two
+    """Places of the pairs at the limit or closer that share a number of ``own``, and none of ``below``."""
+    own, below, blocks = _Shared(own), _Shared(below), (side != 2).any()
+    for a in range(0, len(v), TILE):
+        for b in range(a, len(v), TILE):
+            near = single[a : a + TILE] @ single[b : b + TILE].T
+            wanted = near >= cosine - CLOSE
+            if blocks:
+                wanted &= _meet_sides(side[a : a + TILE, None], side[None, b : b + TILE])
             if a == b:
                 wanted = np.triu(wanted, 1)
-            if not wanted.any():
-                continue
-            near = single[a : a + TILE] @ single[b : b + TILE].T
-            wanted &= near >= cosine - CLOSE
-            if not wanted.any():
-                continue
-            below = below or _Below(lists(), number)
-            i, j = np.nonzero(below.unmet(wanted, a, b))
+            wanted = below.without(wanted, a, b)
+            if wanted.any():
+                wanted &= ~own.without(wanted, a, b)
+            i, j = np.nonzero(wanted)
             sure = near[i, j] >= cosine + CLOSE
-            sure[~sure] = np.einsum("ij,ij->i", unit[a + i[~sure]], unit[b + j[~sure]]) >= cosine
+            sure[~sure] = _near(v, a + i[~sure], b + j[~sure], cosine)
             yield a + i[sure], b + j[sure]
 
 
-def _pairs_of_small(single: np.ndarray, place: np.ndarray, begins: np.ndarray, sizes: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places in ``place`` of pairs, about at the limit or closer, of each of the runs of ``sizes`` that begin there."""
+def _near(v: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: float) -> np.ndarray:
+    """Whether the pairs of these rows are at the limit or closer."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 14):
+        some = slice(at, at + (1 << 14))
+        out[some] = np.einsum("ij,ij->i", _unit(v[i[some]]), _unit(v[j[some]])) >= cosine
+    return out
+
+
+def _meet_sides(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether a pair of these sides is compared: both of one block (2), or of the two (0 and 1)."""
+    both = one * 3 + other
+    return (both == 8) | (both == 1) | (both == 3)
+
+
+def _close_of_small(single: np.ndarray, row: np.ndarray, begins: np.ndarray, sizes: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``row`` of the pairs, about at the limit or closer, of each of the runs of ``sizes`` that begin there; and where runs begin whose pairs are too many to list."""
     order = np.argsort(sizes, kind="stable")
     begins, sizes = begins[order], sizes[order]
     at = 0
@@ -458,49 +504,131 @@ def _pairs_of_small(single: np.ndarray, place: np.ndarray, begins: np.ndarray, s
         end = min(at + few, int(np.searchsorted(sizes, max(sizes[at] + 1, sizes[at] * 1.2), side="right")))
         n = int(sizes[end - 1])
         real = np.arange(n) < sizes[at:end, None]
-        some = single[place[np.where(real, begins[at:end, None] + np.arange(n), 0)]]
+        some = single[row[np.where(real, begins[at:end, None] + np.arange(n), 0)]]
         near = some @ some.transpose(0, 2, 1) >= cosine - CLOSE
         near &= np.triu(np.ones((n, n), bool), 1) & real[:, None, :]
         run, i, j = np.nonzero(near)
-        yield begins[at:end][run] + i, begins[at:end][run] + j
+        crowded = (sizes[at:end] >= DENSE) & (np.bincount(run, minlength=end - at) > CROWDED * sizes[at:end])
+        fine = ~crowded[run]
+        yield begins[at:end][run[fine]] + i[fine], begins[at:end][run[fine]] + j[fine], begins[at:end][crowded]
         at = end
 
 
+def _close_of_one(single: np.ndarray, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Places of the pairs of one filter about at the limit or closer; none if they are too many to list."""
+    out, n, blocks = [], 0, (side != 2).any()
+    for a in range(0, len(single), TILE):
+        for b in range(a, len(single), TILE):
+            near = single[a : a + TILE] @ single[b : b + TILE].T >= cosine - CLOSE
+            if a == b and np.count_nonzero(near) <= len(near):  # each with itself
+                continue
+            if blocks:
+                near &= _meet_sides(side[a : a + TILE, None], side[None, b : b + TILE])
+            i, j = np.nonzero(np.triu(near, 1) if a == b else near)
+            n += len(i)
+            if n > CROWDED * len(single):
+                return None
+            out.append((a + i, b + j))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
+
+
+def _crowds(row: np.ndarray, crowded: list[slice], rows: int) -> list[tuple[np.ndarray, list[slice]]]:
+    """Crowded filters with those they share vectors with, if so they take fewer pairs, as rows and the filters' places; else one by one."""
+    if not crowded:
+        return []
+    members = np.concatenate([row[x] for x in crowded])
+    first = np.repeat([row[x.start] for x in crowded], [x.stop - x.start for x in crowded])
+    root = _roots(rows, members, first)
+    out = []
+    of = root[[row[x.start] for x in crowded]]
+    for one in np.unique(of).tolist():
+        places = [x for x, y in zip(crowded, of.tolist(), strict=True) if y == one]
+        together = np.unique(np.concatenate([row[x] for x in places]))
+        if len(together) ** 2 <= sum((x.stop - x.start) ** 2 for x in places):
+            out.append((together, places))
+        else:
+            out += [(row[x], [x]) for x in places]
+    return out
+
+
+class _Links:
+    """Links of each vector and its component, from pairs of rows; pairs are held until there are ``PAIRS``."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray):
+        self.names, self.place = np.unique(ids, return_inverse=True)
+        self.copies, self.n, self.root = copies, np.zeros(len(self.names)), np.arange(len(self.names))
+        self.held, self.size = [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.held.append((i, j))
+        self.size += len(i)
+        if self.size >= PAIRS:
+            self._settle()
+
+    def _settle(self) -> None:
+        if self.held:
+            i, j = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            a, b, size = self.place[i], self.place[j], len(self.names)
+            self.n += np.bincount(a, self.copies[j], size) + np.bincount(b, self.copies[i], size)
+            self.root = _roots(size, np.append(a, np.arange(size)), np.append(b, self.root))
+        self.held, self.size = [], 0
+
+    def ended(self) -> pd.DataFrame:
+        """Each vector's links, and one link to its component's first vector."""
+        self._settle()
+        met = self.n > 0
+        return pd.DataFrame({"id": self.names[met], "n": self.n[met].astype(np.int64), "root": self.names[self.root[met]]})
+
+
 def _linked(
-    ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, lists: Callable[[np.ndarray], list[np.ndarray]], row: np.ndarray, filters: np.ndarray, side: np.ndarray, cosine: float
+    ids: np.ndarray, copies: np.ndarray, v: np.ndarray, lists: Callable[[np.ndarray], list[np.ndarray]], row: np.ndarray, filters: np.ndarray, side: np.ndarray, cosine: float
 ) -> pd.DataFrame:
     """Links among vectors that pass the same of the ``filters``, each given with its vector's row: each vector's links, and one link to its component's first vector."""
-    order = np.lexsort((ids[row], side[row], filters))
+    order = np.argsort(filters, kind="stable")
     row, filters = row[order], filters[order]
-    single = unit.astype(np.float32)
+    single = np.concatenate([_unit(v[at : at + 4096]).astype(np.float32) for at in range(0, len(v), 4096)])
     _, begins, sizes = np.unique(filters, return_index=True, return_counts=True)
-    known: dict[int, np.ndarray] = {}
-
-    def of(rows: np.ndarray) -> list[np.ndarray]:
-        new = np.array([x for x in np.unique(rows).tolist() if x not in known], np.int64)
-        known.update(zip(new.tolist(), lists(new) if len(new) else (), strict=True))
-        return [known[x] for x in rows.tolist()]
-
-    pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for begin, size in zip(begins[sizes >= DENSE], sizes[sizes >= DENSE], strict=True):
+    close, crowded = [(np.empty(0, np.int64), np.empty(0, np.int64))], []
+    small = (sizes > 1) & (sizes < LARGE)
+    for i, j, many in _close_of_small(single, row, begins[small], sizes[small], cosine):
+        close.append((i, j))
+        crowded += many.tolist()
+    for begin, size in zip(begins[sizes >= LARGE].tolist(), sizes[sizes >= LARGE].tolist(), strict=True):
         own = row[begin : begin + size]
-        for i, j in _pairs_of_one(unit[own], single[own], lambda own=own: of(own), side[own], filters[begin], cosine):
-            pairs.append((own[i], own[j]))
-    small = (sizes > 1) & (sizes < DENSE)
-    for i, j in _pairs_of_small(single, row, begins[small], sizes[small], cosine):
-        one = side[row[i]] * 3 + side[row[j]]
-        i, j = (x[(one == 8) | (one == 1)] for x in (i, j))
-        met = np.einsum("ij,ij->i", unit[row[i]], unit[row[j]]) >= cosine
-        i, j = i[met], j[met]
-        held, places = np.unique(np.concatenate([row[i], row[j]]), return_inverse=True)
-        first = _first_shared(of(held), places[: len(i)], places[len(i) :]) == filters[i] if len(i) else np.empty(0, bool)
-        pairs.append((row[i[first]], row[j[first]]))
-    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    names, place = np.unique(ids, return_inverse=True)
-    n = np.bincount(place[i], copies[j], len(names)) + np.bincount(place[j], copies[i], len(names))
-    root = _roots(len(names), place[i], place[j])
-    met = n > 0
-    return pd.DataFrame({"id": names[met], "n": n[met].astype(np.int64), "root": names[root[met]]})
+        if (some := _close_of_one(single[own], side[own], cosine)) is None:
+            crowded.append(begin)
+        else:
+            close.append((begin + some[0], begin + some[1]))
+    crowded.sort()
+    crowded = [slice(x, y) for x, y in zip(crowded, (begins + sizes)[np.searchsorted(begins, crowded)].tolist(), strict=True)]
+    # The first filter here of each close pair, if that is the first of all.
+    at, to = (np.concatenate(x) for x in zip(*close, strict=True))
+    number, i, j = filters[at], np.minimum(row[at], row[to]), np.maximum(row[at], row[to])
+    down = np.argsort(number, kind="stable")
+    keys, first = np.unique((i * len(v) + j)[down], return_index=True)
+    number, i, j = number[down][first], keys // len(v), keys % len(v)
+    fine = _meet_sides(side[i], side[j]) & _near(v, i, j, cosine)
+    crowds = _crowds(row, crowded, len(v))
+    of = np.full(len(v), -1)
+    for k, (rows, places) in enumerate(crowds):
+        if len(places) > 1:
+            of[rows] = k
+    fine &= (of[i] < 0) | (of[i] != of[j])
+    number, i, j = number[fine], i[fine], j[fine]
+    links = _Links(ids, copies)
+    known = np.unique(np.concatenate([i, j, *(rows for rows, _ in crowds)]))
+    held_of = lists(known) if len(known) else []
+    if len(i):
+        first = _first_shared(held_of, np.searchsorted(known, i), np.searchsorted(known, j)) == number
+        links.add(i[first], j[first])
+    for rows, places in crowds:
+        held = [held_of[x] for x in np.searchsorted(known, rows).tolist()]
+        low, high = (filters[0], filters[-1]) if len(places) > 1 else (filters[places[0].start],) * 2
+        own = [x[np.searchsorted(x, low) : np.searchsorted(x, high, side="right")] for x in held]
+        below = [x[: np.searchsorted(x, low)] for x in held]
+        for a, b in _pairs_of_crowd(v[rows], single[rows], own, below, side[rows], cosine):
+            links.add(rows[a], rows[b])
+    return links.ended()
 
 
 def _compare(cosine: float):
@@ -509,7 +637,7 @@ def _compare(cosine: float):
         lists = rows["filters"].tolist()
         columns = (rows[x].to_numpy() for x in ("id", "copies", "filter", "side"))
         ids, copies, filters, side = columns
-        return _linked(ids, copies, _unit(rows["v"].tolist()), lambda at: [lists[i] for i in at], np.arange(len(rows)), filters, side, cosine)
+        return _linked(ids, copies, np.array(rows["v"].tolist(), np.float64), lambda at: [lists[i] for i in at], np.arange(len(rows)), filters, side, cosine)
 
     return run
 
@@ -517,12 +645,12 @@ def _compare(cosine: float):
 def _meet(cells: dict[int, Cells], kind: np.dtype, cosine: float):
     def run(rows: pa.Table) -> pa.Table:
         """``_linked`` of the vectors of a cell, or of two of its blocks."""
-        dims, cell = (rows.column(x)[0].as_py() for x in ("dims", "cell"))
-        own, lists = cells[dims], rows.column("filters").combine_chunks()
+        unit, lists = rows.column("unit")[0].as_py(), rows.column("filters").combine_chunks()
+        dims, own = next(x for x in cells.items() if x[1].holds(unit))
         v, _ = _column(rows.column("v"), kind)
-        row, filters = _entries(lists, own.vectors, int(own.starts[cell]), own.end(cell))
+        row, filters = _entries(lists, own.vectors, *own.filters(unit))
         ids, copies, side = (rows.column(x).to_numpy() for x in ("id", "copies", "side"))
-        found = _linked(ids, copies, _unit(v.reshape(-1, dims)), lambda at: _lists(lists.take(pa.array(at)), own.vectors), row, filters, side, cosine)
+        found = _linked(ids, copies, v.reshape(-1, dims), lambda at: _lists(lists.take(pa.array(at)), own.vectors), row, filters, side, cosine)
         return pa.Table.from_pandas(found, preserve_index=False)
 
     return run
@@ -530,15 +658,15 @@ def _meet(cells: dict[int, Cells], kind: np.dtype, cosine: float):
 
 def _found(caught: DataFrame, vectors: dict[int, int], kind: np.dtype, cosine: float) -> DataFrame:
     """Links of the vectors of all cells, ``id, n, root``, round by round."""
-    cells, sent = _cells(caught, vectors, kind)
     most = max(ROUND_BYTES, ROUND * sum(kind.itemsize * d * n for d, n in vectors.items()))
+    cells, sent = _cells(caught, vectors, kind, most)
     cuts, held = [0], 0.0
     for unit, size in enumerate(sent.tolist()):
         held += size
         if held > most and unit > cuts[-1]:
             cuts.append(unit)
             held = size
-    schema = "unit long, other long, cell long, side int, dims int, id long, copies long, v binary, filters binary"
+    schema = "unit long, other long, side int, id long, copies long, v binary, filters binary"
     out = []
     for first, last in zip(cuts, [*cuts[1:], len(sent)], strict=True):
         met = caught.mapInArrow(_send(cells, first, last), schema)

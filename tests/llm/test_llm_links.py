@@ -324,7 +324,7 @@ def test_cells_blocks_and_rounds_give_the_same(spark, monkeypatch, kind):
     rounds = []
     send = cap_filters._send
     monkeypatch.setattr(cap_filters, "_send", lambda cells, first, last: rounds.append((first, last)) or send(cells, first, last))
-    for name, value in {"BLOCK": 25, "ROUND_BYTES": 1 << 19, "ROUND": 0.1, "TILE": 9, "FIRST": 3, "WIDE": 11}.items():
+    for name, value in {"BLOCK": 25, "ROUND_BYTES": 1 << 18, "ROUND": 0.1, "TILE": 9, "FIRST": 3, "WIDE": 11, "LARGE": 30, "DENSE": 10, "CROWDED": 1, "PAIRS": 50, "UNPACKED": 7}.items():
         monkeypatch.setattr(cap_filters, name, value)
     assert sorted(cap_filters.near_duplicates(frame).collect(), key=str) == want
     assert len(rounds) > 2 and all(a[1] == b[0] for a, b in zip(rounds, rounds[1:], strict=False))
@@ -333,9 +333,7 @@ def test_cells_blocks_and_rounds_give_the_same(spark, monkeypatch, kind):
     assert sorted(cap_filters.near_duplicates(frame).collect(), key=str) == want
 
 
-def test_cells_are_divided_and_joined_by_counts(monkeypatch):
-    monkeypatch.setattr(cap_filters, "LEAST", 1)
-    monkeypatch.setattr(cap_filters, "CELLS", 2)
+def test_cells_are_divided_and_joined_by_counts():
     assert cap_filters._divided(np.array([20, 3, 500]), np.array([0, 10, 20]), 21, 10) is None  # one filter is not divided
     assert cap_filters._divided(np.array([21, 3]), np.array([0, 10]), 20, 10).tolist() == [0, 1, 3, 5, 6, 8, 10]
     assert cap_filters._joined(np.array([4, 5, 3, 9, 40, 1, 1]), 10).tolist() == [0, 2, 3, 4, 5]
